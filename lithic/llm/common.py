@@ -10,6 +10,7 @@ import uuid
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _STAGED: list[tuple[SparkSession, str]] = []
 
@@ -95,3 +96,49 @@ def components(edges: DataFrame) -> DataFrame:
         now = after
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
+def with_columns_of_text(df: DataFrame, text_col: str, make, fields: list[tuple[str, str]], slice_chars: int = 8_000_000) -> DataFrame:
+    """Append `fields` (name, type) to every row: `make` maps a list of texts (null as "") to one Arrow array per field.
+
+    `make` sees at most `slice_chars` characters at a time, or one text if that is longer.
+    """
+    at_column = df.columns.index(text_col)
+    added = spark_schema(fields)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = batch.column(at_column).to_pylist()
+            start = 0
+            while start < len(texts):
+                end, chars = start, 0
+                while end < len(texts) and (end == start or chars + len(texts[end] or "") <= slice_chars):
+                    chars += len(texts[end] or "")
+                    end += 1
+                part = batch.slice(start, end - start)
+                made = make([t or "" for t in texts[start:end]])
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *(name for name, _ in fields)])
+                start = end
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *added.fields]))
+
+
+def spark_schema(fields: list[tuple[str, str]]) -> T.StructType:
+    return T._parse_datatype_string(", ".join(f"`{name}` {kind}" for name, kind in fields))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, modulus: int, remainder: int, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, label, text) of at most `most` labelled documents outside the held-out fold, those of the smallest hash.
+
+    The ids are few by construction (`most`), so they are broadcast and the documents are read without a shuffle.
+    Labels that are null and ids that are null teach nothing.
+    """
+    usable = labels.where(~held_out(id_col, modulus, remainder) & F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
+    chosen = usable.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).orderBy(F.xxhash64("id"), "id", "label").limit(most)
+    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    return texts.join(F.broadcast(chosen), "id")
+
+
+ship(__name__)

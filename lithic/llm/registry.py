@@ -1,7 +1,7 @@
 """All queries of the training-data operators."""
 
-from lithic.llm import queries_packing, queries_simhash, queries_topk
+from lithic.llm import queries_ann, queries_license, queries_packing, queries_pii, queries_quality, queries_simhash, queries_topk, queries_toxicity
 
-_MODULES = (queries_topk, queries_simhash, queries_packing)
+_MODULES = (queries_toxicity, queries_ann, queries_topk, queries_pii, queries_license, queries_simhash, queries_quality, queries_packing)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
