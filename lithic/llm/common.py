@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import sys
 import tempfile
 import uuid
@@ -37,6 +38,8 @@ def staged(df: DataFrame) -> DataFrame:
     if not _STAGED:
         atexit.register(_drop_staged)
     _STAGED.append((spark, path))
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files that only this write needed
     return spark.read.schema(df.schema).parquet(path)
 
 
