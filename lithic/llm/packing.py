@@ -15,79 +15,128 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lithic.llm.common import ship, shuffle_width, staged, text_or_empty
+from lithic.llm.common import ship, shuffle_width, staged, text_or_empty, with_columns_of_text
 
 ship(__name__)
 
 SIZE = 4096
 END_ID = 2
-#: Entries that a task's cache of tokenised words may hold before it starts anew (about 100 MB).
-CACHE = 400_000
-#: Bytes of text that are tokenised in one go.
-GO = 4_000_000
+#: Entries that a task's cache of tokenised words may hold before it starts anew (about 200 MB).
+CACHE = 1_000_000
+#: Characters of text that are tokenised in one go.
+GO = 8_000_000
 
 
 class WordEncoder:
     """Ids of texts, word by word: the tokenizer drops white space, so ASCII-separated words are independent.
 
-    Only words that the cache lacks go through the tokenizer.
+    Words are cut and numbered by Arrow; only distinct words that the cache lacks go through the tokenizer. It cuts
+    letters from punctuation and ends each such part with a token that closes a word, so letters before a run of TAIL
+    marks are encoded apart from it, many in one go.
     """
 
+    #: ASCII marks that may follow letters; no apostrophe (contractions) and none that special tokens contain.
+    TAIL = ".,!?*#$%&;:"
+    #: How special tokens begin; texts with it are encoded whole.
+    SPECIAL = "<|"
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > CACHE:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.known.update(zip(part, [np.array(x.ids, dtype="<u4").tobytes() for x in found]))
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        at = 0
-        while at < len(texts):
-            words, volume = [], 0
-            while at < len(texts) and (not words or volume < GO):
-                raw = (texts[at] or "").encode("utf-8", "replace")
-                words.append(raw.split())
-                volume += len(raw)
-                at += 1
-            self.learn(set().union(*words))
-            get = self.known.__getitem__
-            out += [b"".join(map(get, w)) for w in words]
-        return out
+        self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.closing = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.closing[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _each(self, words: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters only: all at once, cut after the tokens that close a word."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = (np.flatnonzero(self.closing[ids]) + 1) * 4
+        if len(ends) != len(words):
+            return self._each(words)
+        raw, ends = ids.tobytes(), ends.tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _of(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words."""
+        known = self.known
+        new = [w for w in words if w not in known]
+        if len(known) + 2 * len(new) > CACHE:
+            known.clear()
+            new = words
+        split, other = [], []
+        for word in new:
+            head = word.rstrip(self.TAIL)
+            # U+0130 has a lower case with a mark that is no letter
+            if head.isalpha() and "\u0130" not in head:
+                split.append((word, head, word[len(head) :]))
+            else:
+                other.append(word)
+        heads = [h for h in {h for _, h, _ in split} if h not in known]
+        other += [t for t in {t for _, _, t in split} if t not in known]
+        for group, encode in ((heads, self._letters), (other, self._each)):
+            for at in range(0, len(group), 10_000):
+                part = group[at : at + 10_000]
+                known.update(zip(part, encode(part)))
+        for word, head, tail in split:
+            if tail:
+                known[word] = known[head] + known[tail]
+        return [known[w] for w in words]
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's begin and the last one's end)."""
+        whole = [k for k, t in enumerate(texts) if self.SPECIAL in t]
+        plain = pa.array(["" if self.SPECIAL in t else t for t in texts], pa.large_string())
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(plain))
+        coded = lists.flatten().dictionary_encode()
+        each = self._of(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, each), dtype=np.int64, count=len(each)) // 4
+        begins = np.cumsum(sizes) - sizes
+        word = coded.indices.to_numpy(zero_copy_only=False)
+        many = sizes[word]
+        ends = np.concatenate(([0], np.cumsum(many)))
+        at = np.repeat(begins[word] - ends[:-1], many) + np.arange(ends[-1])
+        ids = np.frombuffer(b"".join(each), dtype="<u4")[at]
+        offsets = lists.offsets.to_numpy()
+        bounds = ends[offsets - offsets[0]]
+        if whole:
+            special = dict(zip(whole, self._each([texts[k] for k in whole])))
+            parts = [np.frombuffer(special[k], dtype="<u4") if k in special else ids[bounds[k] : bounds[k + 1]] for k in range(len(texts))]
+            ids, bounds = np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+        return ids, bounds
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of at most `size` tokens of every document: (id, start, length, ids_crc32, doc_tokens)."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = WordEncoder(tokenizer_path), np.array([END_ID], dtype="<u4").tobytes()
-        for batch in batches:
-            rows, columns = [], [[], [], [], []]
-            for k, ids in enumerate(encoder(batch.column(1).to_pylist())):
-                raw = ids + end
-                total = len(raw) // 4
-                for start in range(0, total, size):
-                    part = raw[4 * start : 4 * (start + size)]
-                    rows.append(k)
-                    for column, value in zip(columns, (start, len(part) // 4, zlib.crc32(part), total)):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, pa.int64()) for c in columns)], names=["id", "start", "length", "ids_crc32", "doc_tokens"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(cut, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    encoder: list[WordEncoder] = []
+
+    def make(texts: list[str]) -> list[pa.Array]:
+        if not encoder:
+            encoder.append(WordEncoder(tokenizer_path))
+        ids, bounds = encoder[0](texts)
+        raw, last, out = memoryview(ids.tobytes()), np.array([END_ID], dtype="<u4").tobytes(), []
+        for first, end in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            total, own = end - first + 1, []
+            for start in range(0, total, size):
+                part = zlib.crc32(raw[4 * (first + start) : 4 * min(end, first + start + size)])
+                own.append((start, min(size, total - start), zlib.crc32(last, part) if start + size >= total else part, total))
+            out.append(own)
+        names = ("start", "length", "ids_crc32", "doc_tokens")
+        return [pa.array([[dict(zip(names, p)) for p in own] for own in out], pa.list_(pa.struct([(n, pa.int64()) for n in names])))]
+
+    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    made = with_columns_of_text(texts, "text", make, [("pieces", "array<struct<start:long,length:long,ids_crc32:long,doc_tokens:long>>")], GO)
+    return made.select("id", F.explode("pieces").alias("piece")).select("id", "piece.*")
 
 
 def patterns(histogram: dict[int, int], size: int) -> list[tuple[int, tuple[int, ...]]]:
