@@ -23,11 +23,13 @@ ship(__name__)
 
 BUCKETS = 1 << 18
 PREFIX = 5
-FEATURES = 2048
+FEATURES = 1024
 RANK = 8
 #: Labelled rows that training may read.
 SAMPLE = 20_000
-EPOCHS, BATCH, RATE, DECAY = 30, 256, 0.1, 2e-3
+EPOCHS, BATCH, RATE, DECAY = 12, 128, 0.1, 1e-4
+#: Where Adagrad's sums of squares begin.
+START = 1e-4
 _WORD = re.compile(r"\w+")
 #: Words whose buckets a task remembers before it starts anew.
 _CACHE = 500_000
@@ -98,7 +100,7 @@ def train(buckets: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machi
         x[k, f[f >= 0]] = 1
     rng, y = np.random.default_rng(seed), labels.astype(np.float32)
     bias, w, v = float(np.log(positive / (n - positive))), np.zeros(len(chosen), np.float32), (rng.standard_normal((len(chosen), RANK)) * 0.01).astype(np.float32)
-    sum_b, sum_w, sum_v = 1.0, np.ones_like(w), np.ones_like(v)
+    sum_b, sum_w, sum_v = START, np.full_like(w, START), np.full_like(v, START)
     for _ in range(EPOCHS):
         order = rng.permutation(n)
         for at in range(0, n, BATCH):
@@ -108,12 +110,12 @@ def train(buckets: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machi
             z = bias + part @ w + 0.5 * ((s**2).sum(axis=1) - part @ (v**2).sum(axis=1))
             g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) / len(rows)
             through = part.T @ g
-            grad_w = through + DECAY * w / 10
+            grad_w = through + DECAY * w
             grad_v = part.T @ (g[:, None] * s) - through[:, None] * v + DECAY * v
             grad_b = float(g.sum())
             sum_b, sum_w, sum_v = sum_b + grad_b**2, sum_w + grad_w**2, sum_v + grad_v**2
             bias -= RATE * grad_b / sum_b**0.5
-            w -= RATE * 10 * grad_w / np.sqrt(sum_w)
+            w -= RATE * grad_w / np.sqrt(sum_w)
             v -= RATE * grad_v / np.sqrt(sum_v)
     return Machine(bucket_of, bias, w.astype(np.float64), v.astype(np.float64))
 
