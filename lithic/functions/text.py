@@ -87,7 +87,7 @@ def route_pattern(path: Column) -> Column:
 def abbreviated_path(path: Column, most: int) -> Column:
     """The longest tail of a path's parts that fits `most` characters, marked by `.../` if parts are gone."""
     tails = path_suffixes(path)
-    fitting = F.element_at(F.filter(tails, lambda t: F.length(t) <= most), 1)
+    fitting = F.try_element_at(F.filter(tails, lambda t: F.length(t) <= most), F.lit(1))
     return F.when(F.length(path) <= most, path).otherwise(F.concat(F.lit(".../"), F.coalesce(fitting, last_segment(path, "/"))))
 
 

@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from lithic.functions.vectors import cosine, overlap
 
@@ -15,7 +16,7 @@ TITLE_RATIO, COSINE, LINES = 0.8, 0.85, 0.5
 WARN, CRITICAL = 0.05, 0.1
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def title_ratio(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Ratcliff-Obershelp likeness of lower-cased titles, 0 to 1."""
     for a, b in parts:

@@ -116,7 +116,7 @@ def _unquoted(arg: Column) -> Column:
 
 def _method(args: Column) -> Column:
     named = F.transform(args, lambda a: F.regexp_extract(F.upper(a), r"METHODS?\s*=.*?\b(GET|POST|PUT|DELETE|PATCH)\b", 1))
-    return F.coalesce(F.element_at(F.filter(named, lambda m: m != ""), 1), F.lit("GET"))
+    return F.coalesce(F.try_element_at(F.filter(named, lambda m: m != ""), F.lit(1)), F.lit("GET"))
 
 
 def annotated_routes(nodes: DataFrame) -> DataFrame:
@@ -130,7 +130,7 @@ def annotated_routes(nodes: DataFrame) -> DataFrame:
     best = Window.partitionBy("id", "at", "framework").orderBy("rule")
     first = found.withColumn("__rank", F.row_number().over(best)).where("__rank = 1")
     cleaned = F.transform("a.args", lambda x: _unquoted(F.regexp_replace(x, r"^\s*(value|path)\s*=\s*", "")))
-    path = F.coalesce(F.element_at(F.filter(cleaned, lambda x: x.startswith("/")), 1), F.lit("/"))
+    path = F.coalesce(F.try_element_at(F.filter(cleaned, lambda x: x.startswith("/")), F.lit(1)), F.lit("/"))
     asks = (F.col("http") == "") | F.col("prefix").endswith(".route")
     return first.select(F.when(asks, _method(F.col("a.args"))).otherwise(F.col("http")).alias("http_method"), route_pattern(path).alias("path_pattern"), "handler", "file_path", "framework")
 

@@ -61,7 +61,12 @@ def npm(files: DataFrame) -> DataFrame:
     """package.json: four sections; `@scope/name` has the scope as group."""
     read = F.from_json("content", ", ".join(f"{s} map<string,string>" for s in NPM_SECTIONS))
     parsed = _named(files, "package.json").select("path", read.alias("j"))
-    sections = [F.transform(F.map_entries(F.coalesce(F.col("j")[s], F.create_map().cast("map<string,string>"))), lambda e, k=scope: F.struct(e["key"].alias("n"), e["value"].alias("v"), F.lit(k).alias("s"))) for s, scope in NPM_SECTIONS.items()]
+
+    def section(name: str, scope: str) -> Column:
+        entries = F.map_entries(F.coalesce(F.col("j")[name], F.create_map().cast("map<string,string>")))
+        return F.transform(entries, lambda e: F.struct(e["key"].alias("n"), e["value"].alias("v"), F.lit(scope).alias("s")))
+
+    sections = [section(*s) for s in NPM_SECTIONS.items()]
     each = parsed.select("path", F.posexplode(F.concat(*sections)).alias("at", "d"))
     scoped = F.col("d.n").startswith("@") & F.col("d.n").contains("/")
     rows = each.select("path", F.when(scoped, F.substring_index("d.n", "/", 1)).alias("group_name"), F.when(scoped, F.substring_index("d.n", "/", -1)).otherwise(F.col("d.n")).alias("artifact_name"), F.col("d.v").alias("version_range"), F.col("d.s").alias("scope"), "at")

@@ -61,7 +61,7 @@ def profiled(files: DataFrame, content: str = "content") -> DataFrame:
 def repository(spark: SparkSession, root: str, most: int = MAX_FILES) -> DataFrame:
     """(path, content, size_bytes, content_hash, line_count, language) of a repository's files, the first `most` by path.
 
-    Names and sizes are filtered before contents are read.
+    Names and sizes are filtered before contents are read. Spark does not list files without content.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     clean_root = root.rstrip("/") + "/"
