@@ -49,7 +49,8 @@ def pom(files: DataFrame) -> DataFrame:
 
 
 def gradle(files: DataFrame) -> DataFrame:
-    pattern = rf"({'|'.join(GRADLE_SCOPES)})\s+['\"]([^:]+):([^:]+):?([^'\"]*)['\"]"
+    """Gradle: quoted `group:artifact[:version]` of known configurations; a part never reaches past its quotes."""
+    pattern = rf"({'|'.join(GRADLE_SCOPES)})\s+['\"]([^:'\"]+):([^:'\"]+):?([^'\"]*)['\"]"
     part = lambda g: F.regexp_extract_all("content", F.lit(pattern), F.lit(g))
     each = _named(files, "build.gradle", "build.gradle.kts").select("path", F.posexplode(F.arrays_zip(part(1).alias("c"), part(2).alias("g"), part(3).alias("a"), part(4).alias("v"))).alias("at", "d"))
     scopes = F.create_map(*(F.lit(x) for kv in GRADLE_SCOPES.items() for x in kv))
