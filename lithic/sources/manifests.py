@@ -15,9 +15,9 @@ ECOSYSTEMS = {
     "pyproject.toml": "pip", "Pipfile": "pip", "go.mod": "go", "Cargo.toml": "cargo",
 }
 #: Scopes of Gradle configurations and of package.json and Cargo.toml sections.
-GRADLE_SCOPES = {"implementation": "compile", "api": "compile", "compileOnly": "compile", "runtimeOnly": "runtime", "testImplementation": "test", "testCompileOnly": "test", "testRuntimeOnly": "test"}
-NPM_SECTIONS = {"dependencies": "compile", "devDependencies": "dev", "peerDependencies": "peer", "optionalDependencies": "optional"}
-CARGO_SECTIONS = {"dependencies": "compile", "dev-dependencies": "dev", "build-dependencies": "build"}
+GRADLE_SCOPES = {"implementation": "compile", "api": "compile", "compileOnly": "runtime", "runtimeOnly": "runtime", "testImplementation": "test", "testCompileOnly": "test", "testRuntimeOnly": "test"}
+NPM_SECTIONS = {"dependencies": "compile", "devDependencies": "dev", "peerDependencies": "peer", "optionalDependencies": "runtime"}
+CARGO_SECTIONS = {"dependencies": "compile", "dev-dependencies": "dev", "build-dependencies": "runtime"}
 _SCHEMA = "path string, group_name string, artifact_name string, version_range string, scope string, at int"
 _OUT = ["path", "ecosystem", "group_name", "artifact_name", "version", "version_range", "scope", "at"]
 
