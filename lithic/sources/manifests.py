@@ -35,6 +35,11 @@ def _empty_as_null(c: Column) -> Column:
     return F.when(c != "", c)
 
 
+def _stripped(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def _finish(rows: DataFrame, eco: str, version: Column) -> DataFrame:
     return rows.withColumns({"ecosystem": F.lit(eco), "version": version}).select(*_OUT)
 
@@ -43,7 +48,7 @@ def pom(files: DataFrame) -> DataFrame:
     """Maven: each <dependency> outside of comments; scope compile unless named."""
     bare = F.regexp_replace("content", r"(?s)<!--.*?-->", "")
     blocks = _named(files, "pom.xml").select("path", F.posexplode(F.regexp_extract_all(bare, F.lit(r"(?s)<(?:\w+:)?dependency>(.*?)</(?:\w+:)?dependency>"), F.lit(1))).alias("at", "b"))
-    tag = lambda n: _empty_as_null(F.trim(F.regexp_extract("b", rf"(?s)<(?:\w+:)?{n}>(.*?)</(?:\w+:)?{n}>", 1)))
+    tag = lambda n: _empty_as_null(_stripped(F.regexp_extract("b", rf"(?s)<(?:\w+:)?{n}>(.*?)</(?:\w+:)?{n}>", 1)))
     rows = blocks.select("path", tag("groupId").alias("group_name"), tag("artifactId").alias("artifact_name"), tag("version").alias("version_range"), F.coalesce(tag("scope"), F.lit("compile")).alias("scope"), "at")
     return _finish(rows.where("artifact_name is not null"), "maven", F.col("version_range"))
 
@@ -90,14 +95,14 @@ def pinned(spec: Column) -> Column:
 def requirements(files: DataFrame) -> DataFrame:
     """requirements.txt: lines `name spec`; comments, options and lines with extras are skipped."""
     lines = _named(files, "requirements.txt").select("path", F.posexplode(F.split("content", r"\r?\n")).alias("at", "line"))
-    clean = lines.withColumn("line", F.trim(F.regexp_replace("line", "#.*$", ""))).where("line <> '' and not startswith(line, '-') and not contains(line, '[')")
+    clean = lines.withColumn("line", _stripped(F.regexp_replace("line", "#.*$", ""))).where("line <> '' and not startswith(line, '-') and not contains(line, '[')")
     rows = clean.withColumn("r", requirement(F.col("line"))).where("r is not null").select("path", F.lit(None).cast("string").alias("group_name"), F.col("r.name").alias("artifact_name"), F.col("r.spec").alias("version_range"), F.lit("compile").alias("scope"), "at")
     return _finish(rows, "pip", pinned(F.col("version_range")))
 
 
 def go_mod(files: DataFrame) -> DataFrame:
     """go.mod: require lines and blocks; an indirect requirement is left out on a single line and kept in a block."""
-    lines = _named(files, "go.mod").select("path", F.posexplode(F.split("content", r"\r?\n")).alias("at", "raw")).withColumn("line", F.trim("raw"))
+    lines = _named(files, "go.mod").select("path", F.posexplode(F.split("content", r"\r?\n")).alias("at", "raw")).withColumn("line", _stripped(F.col("raw")))
     opened = F.col("line").rlike(r"^require\s*\(").cast("int") - ((F.col("line") == ")")).cast("int")
     order = Window.partitionBy("path").orderBy("at")
     marked = lines.withColumn("open", F.greatest(F.lit(0), F.sum(opened).over(order))).where(~F.col("line").rlike(r"^require\s*\(") & (F.col("line") != ")"))
