@@ -5,7 +5,8 @@ numbers floor((a . x + b) / w) with Gaussian a. Each vector is filed in one buck
 buckets in the order of their estimated success: for a neighbour at distance r, a . (x - q) is normal with deviation
 r, so each neighbouring slot has a known chance and a bucket the product of K chances. It stops in a table when the
 chances add up to what lets all tables together reach the wanted recall. r is the distance of a bounded sample of
-queries to their k-th neighbour among all rows. Candidates of all tables are merged and ranked by exact cosine.
+queries to their k-th neighbour among all rows. Candidates of all tables are merged and ranked by exact cosine. The
+likeliest buckets come first: what a query finds there is the floor below which later buckets report nothing.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ REACH, MOST = 2, 4096
 SAMPLE, COVER = 64, 0.9
 #: Rows of a bucket that are handled together; larger buckets are split.
 GROUP = 8192
+#: Buckets of each table that a query visits before its floor is known.
+FIRST = 2
 SEED = 11
 
 
@@ -147,15 +150,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, tables: int = TABLES
                     unit = _unit(np.stack(part.column(1).to_numpy(zero_copy_only=False)))
                     for t in range(tables):
                         row, key = hashing.probes(unit, t) if probing else (np.arange(len(unit)), hashing.key(hashing.slots(unit, t)[0], t))
-                        yield pa.RecordBatch.from_arrays([pa.array(key), *part.take(pa.array(row)).columns], names=["key", "id", "v"])
+                        place = np.arange(len(row)) - np.searchsorted(row, row)
+                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(place.astype(np.int32)), *part.take(pa.array(row)).columns], names=["key", "place", "id", "v"])
 
         return run
 
-    kind = "key long, id long, v array<double>"
+    kind = "key long, place int, id long, v array<double>"
     index = vectors.mapInArrow(filed(False), kind)
     sizes = staged(index.groupBy("key").agg(F.count("*").alias("n")).select("key", F.ceil(F.col("n") / group).cast("int").alias("parts")))
     left = index.join(sizes, "key").select("key", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "v")
-    right = queries.mapInArrow(filed(True), kind).join(sizes, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "v")
+    probes = staged(queries.mapInArrow(filed(True), kind).join(sizes, "key").select("key", "place", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "v"))
 
     def rank(_, rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, float]] = []
@@ -165,18 +169,30 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, tables: int = TABLES
             most = k + len(ids) - len(np.unique(ids))
             for at in range(0, len(asked), 512):
                 own, q = asked["id"].to_numpy()[at : at + 512], _stack(asked["v"][at : at + 512])
+                floors = asked["floor"].to_numpy()[at : at + 512]
                 cosine = (q @ x.T) / (np.sqrt((q * q).sum(axis=1))[:, None] * lengths)
                 cosine[own[:, None] == ids[None, :]] = -2
                 for i, scores in enumerate(cosine):
                     # all that reach the last place within rounding, then by sums that are exactly rounded
                     enough = np.partition(scores, len(ids) - most)[len(ids) - most] - 1e-12 if len(ids) > most else -1.5
-                    close = np.flatnonzero(scores >= max(enough, -1.5))
+                    close = np.flatnonzero(scores >= max(enough, floors[i] - 1e-12))
+                    if not len(close):
+                        continue
                     length = norm(q[i])
                     exact = sorted((-math.fsum(q[i] * x[o]) / (length * norm(x[o])), int(ids[o])) for o in close)
                     out += [(int(own[i]), o, -s) for s, o in exact[:most]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": np.int64, "vec_id": np.int64, "score": np.float64})
 
-    per_part = left.groupBy("key", "part").cogroup(right.groupBy("key", "part")).applyInPandas(rank, "query_id long, vec_id long, score double")
-    merged = per_part.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return merged.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def search(right: DataFrame) -> DataFrame:
+        asked = right.select("key", "part", "id", "v", "floor").groupBy("key", "part")
+        return left.groupBy("key", "part").cogroup(asked).applyInPandas(rank, "query_id long, vec_id long, score double")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return merged.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    first = staged(search(probes.where(F.col("place") < FIRST).withColumn("floor", F.lit(-1.5))))
+    floors = ranked(first).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
+    rest = probes.where(F.col("place") >= FIRST).join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(-1.5)))
+    return ranked(first.union(search(rest))).select("query_id", "rank", "vec_id", "score")
