@@ -6,6 +6,7 @@ import atexit
 import gc
 import sys
 import tempfile
+import time
 import uuid
 
 from pyspark import cloudpickle
@@ -38,8 +39,10 @@ def staged(df: DataFrame) -> DataFrame:
     if not _STAGED:
         atexit.register(_drop_staged)
     _STAGED.append((spark, path))
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files that only this write needed
+    for _ in range(2):  # Spark deletes the shuffle files that only this write needed once a second collection finds them
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
     return spark.read.schema(df.schema).parquet(path)
 
 
