@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lithic.llm import packing, pii_weak, quality_gam, simhash_golay, suffix_dedup
-from lithic.llm.common import staged, table
+from lithic.llm.common import staged, table, unstage
 from lithic.llm.queries_packing import tokenizer_path
 from lithic.llm.queries_quality import MODULUS, REMAINDER
 
@@ -49,5 +49,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir))
+        before, docs = docs, staged(stage(spark, docs, sf_dir))
+        unstage(before)
     return docs

@@ -43,15 +43,28 @@ def staged(df: DataFrame) -> DataFrame:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.3)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete a staged table that no later step reads; other tables are left alone."""
+    path = getattr(df, "staged_at", None) if "staged_at" not in df.columns else None
+    if path and (df.sparkSession, path) in _STAGED:
+        _STAGED.remove((df.sparkSession, path))
+        _delete(df.sparkSession, path)
 
 
 def _drop_staged() -> None:
     for spark, path in _STAGED:
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # the session may have ended before the interpreter
             return
 
@@ -98,7 +111,9 @@ def components(edges: DataFrame) -> DataFrame:
         after = staged(small)
         # both are sets of pairs: equal when equally many and none is new
         if after.count() == now.count() and after.join(now, ["u", "v"], "left_anti").isEmpty():
+            unstage(after)
             break
+        unstage(now)
         now = after
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
@@ -116,21 +131,29 @@ def with_columns_of_text(df: DataFrame, text_col: str, make, fields: list[tuple[
         import pyarrow as pa
 
         for batch in batches:
-            texts = batch.column(at_column).to_pylist()
-            start = 0
-            while start < len(texts):
-                end, chars = start, 0
-                while end < len(texts) and (end == start or chars + len(texts[end] or "") <= slice_chars):
-                    chars += len(texts[end] or "")
-                    end += 1
-                part = batch.slice(start, end - start)
-                made = make([t or "" for t in texts[start:end]])
+            for part, texts in text_slices(batch, at_column, slice_chars):
+                made = make(texts)
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *(name for name, _ in fields)])
-                start = end
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *added.fields]))
 
 
+def text_slices(batch, column: int, slice_chars: int):
+    """(rows, texts) of a batch in slices of at most `slice_chars` characters or one row; null texts are ""."""
+    import pyarrow.compute as pc
+
+    chars = pc.fill_null(pc.utf8_length(batch.column(column)), 0).to_pylist()
+    start = 0
+    while start < len(chars):
+        end, total = start, 0
+        while end < len(chars) and (end == start or total + chars[end] <= slice_chars):
+            total += chars[end]
+            end += 1
+        part = batch.slice(start, end - start)
+        yield part, [t or "" for t in part.column(column).to_pylist()]
+        start = end
+
+
 def spark_schema(fields: list[tuple[str, str]]) -> T.StructType:
     return T._parse_datatype_string(", ".join(f"`{name}` {kind}" for name, kind in fields))
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lithic.llm.common import ship, staged, text_or_empty
+from lithic.llm.common import ship, staged, text_or_empty, text_slices, unstage
 
 ship(__name__)
 
@@ -103,28 +103,16 @@ def anchors(raw: bytes, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.n
         yield first + at, last + at, grams[place[first]].view(np.int64)
 
 
-def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[str]]]:
-    """(first row, texts) of parts of the batch, each of _GO characters or one text."""
-    texts, start = batch.column(column).to_pylist(), 0
-    while start < len(texts):
-        end, chars = start, 0
-        while end < len(texts) and (end == start or chars + len(texts[end]) <= _GO):
-            chars += len(texts[end])
-            end += 1
-        yield start, texts[start:end]
-        start = end
-
-
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per gram and part of a batch: (gram, id, more); more: packed ids of the other texts that have it, not null if it came more than once."""
     for batch in batches:
-        ids = batch.column(0).to_numpy()
-        for start, texts in _texts(batch, 1):
+        for part, texts in text_slices(batch, 1, _GO):
+            ids = part.column(0).to_numpy()
             grams, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for k, text in enumerate(texts):
                 for _, _, gram in anchors(text.encode("utf-8", "replace")):
                     grams.append(gram)
-                    owners.append(np.full(len(gram), ids[start + k]))
+                    owners.append(np.full(len(gram), ids[k]))
             gram, owner = np.concatenate(grams), np.concatenate(owners)
             order = np.lexsort((owner, gram))
             gram, owner = gram[order], owner[order]
@@ -180,14 +168,14 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, slice, id, tie, lo, n) of windows with a repeated anchor; without slice where an equal one of the same part comes earlier."""
     for batch in batches:
-        ids, ties = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-        for start, texts in _texts(batch, 0):
+        for part, texts in text_slices(batch, 0, _GO):
+            ids, ties = part.column(1).to_numpy(), part.column(2).to_numpy()
             least: dict[bytes, tuple[int, int, int, int]] = {}
             rows: list[tuple[int, bytes | None, int, int, int, int]] = []
             for k, text in enumerate(texts):
-                raw, id_, tie = text.encode("utf-8", "replace"), int(ids[start + k]), int(ties[start + k])
-                wanted = np.sort(np.array(batch.column(3)[start + k].as_py() or [], dtype=np.int64))
-                hot = np.sort(np.array(batch.column(4)[start + k].as_py() or [], dtype=np.int64))
+                raw, id_, tie = text.encode("utf-8", "replace"), int(ids[k]), int(ties[k])
+                wanted = np.sort(np.array(part.column(3)[k].as_py() or [], dtype=np.int64))
+                hot = np.sort(np.array(part.column(4)[k].as_py() or [], dtype=np.int64))
                 for first, last, gram in anchors(raw):
                     found = []
                     for of, apart in ((wanted, False), (hot, True)):
@@ -310,6 +298,7 @@ def _with_cuts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     slices = long_enough.join(per_doc, "id").select("text", "id", "tie", "grams", "hot").mapInArrow(_slices, "key long, slice binary, id long, tie long, lo long, n long")
     ordered = slices.repartition("key").sortWithinPartitions("key", "slice", "id", "tie", "lo")
     cuts = staged(ordered.mapInArrow(_cuts, "id long, tie long, lo long, n long").groupBy("id", "tie").agg(F.collect_list(F.struct("lo", "n")).alias("__cuts")))
+    unstage(per_doc)
     cuts = cuts.select(F.col("id").alias("__id"), F.col("tie").alias("__tie"), "__cuts")
     marked = docs.withColumns({"__key": key, "__hash": tie})
     return marked.join(cuts, (F.col("__key") == F.col("__id")) & (F.col("__hash") == F.col("__tie")), "left").drop("__key", "__hash", "__id", "__tie")
