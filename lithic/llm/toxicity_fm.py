@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithic.llm.common import labelled_sample, ship, text_or_empty, with_columns_of_text
+from lithic.llm.common import labelled_sample, ship, staged, text_or_empty, with_columns_of_text
 
 ship(__name__)
 
@@ -76,22 +76,36 @@ class Machine:
         return float(self.bias + self.weights[own].sum() + 0.5 * (v.sum(axis=0) ** 2 - (v**2).sum(axis=0)).sum())
 
 
+def choose(bucket: np.ndarray, with_term: np.ndarray, with_both: np.ndarray, n: int, positive: int) -> np.ndarray:
+    """The FEATURES buckets that depend most on the label, from counts of texts with the bucket and of those with label 1."""
+    expected = with_term * positive / n
+    spread = expected * (1 - positive / n) * (1 - with_term / n)
+    chi = np.where((with_term >= 3) & (with_term < n), (with_both - expected) ** 2 / np.maximum(spread, 1e-9), 0)
+    best = np.lexsort((bucket, -chi))[:FEATURES]
+    return np.sort(bucket[best[chi[best] > 0]])
+
+
+def base_rate(n: int, positive: int) -> Machine:
+    """The smoothed share of label 1, whatever the text."""
+    rate = (positive + 1) / (n + 3)
+    return Machine(np.full(BUCKETS, -1, dtype=np.int32), float(np.log(rate / (1 - rate))), np.zeros(0), np.zeros((0, RANK)))
+
+
 def train(buckets: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
-    """Without rows of both labels: the smoothed base rate, whatever the text."""
+    """Without rows of both labels: the base rate."""
     positive, n = int(labels.sum()), len(labels)
     if not 0 < positive < n:
-        rate = (positive + 1) / (n + 3)
-        return Machine(np.full(BUCKETS, -1, dtype=np.int32), float(np.log(rate / (1 - rate))), np.zeros(0), np.zeros((0, RANK)))
+        return base_rate(n, positive)
     with_term, with_both = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for own, label in zip(buckets, labels):
         with_term[own] += 1
-        if label:
-            with_both[own] += 1
-    expected = with_term * positive / n
-    spread = expected * (1 - positive / n) * (1 - with_term / n)
-    chi = np.where((with_term >= 3) & (with_term < n), (with_both - expected) ** 2 / np.maximum(spread, 1e-9), 0)
-    chosen = np.lexsort((np.arange(BUCKETS), -chi))[:FEATURES]
-    chosen = np.sort(chosen[chi[chosen] > 0])
+        with_both[own] += label
+    return train_on(buckets, labels, choose(np.arange(BUCKETS), with_term, with_both, n, positive), seed)
+
+
+def train_on(buckets: list[np.ndarray], labels: np.ndarray, chosen: np.ndarray, seed: int = 7) -> Machine:
+    """Train on the presence of the chosen buckets; other buckets of the rows are ignored."""
+    positive, n = int(labels.sum()), len(labels)
     bucket_of = np.full(BUCKETS, -1, dtype=np.int32)
     bucket_of[chosen] = np.arange(len(chosen))
     x = np.zeros((n, len(chosen)), dtype=np.uint8)
@@ -121,12 +135,22 @@ def train(buckets: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machi
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str, modulus: int, remainder: int, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Machine:
-    """Train on at most `sample` labelled rows outside the held-out fold; only their buckets reach the driver."""
+    """Train on at most `sample` labelled rows outside the held-out fold.
+
+    The driver sees the counts per bucket (at most BUCKETS rows) and the chosen buckets of the sampled rows.
+    """
     terms = Terms()
     rows = labelled_sample(docs, labels, label_col, modulus, remainder, sample, id_col, text_col)
     bucketed = with_columns_of_text(rows, "text", lambda texts: [pa.array([sorted(terms(t)) for t in texts], pa.list_(pa.int32()))], [("buckets", "array<int>")])
-    found = bucketed.select("id", "label", "buckets").toPandas().sort_values(["id", "label"], kind="stable")
-    return train([np.array(b, dtype=np.int64) for b in found["buckets"]], found["label"].to_numpy())
+    kept = staged(bucketed.select("id", "label", "buckets"))
+    total = kept.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("positive")).first()
+    if not 0 < total["positive"] < total["n"]:
+        return base_rate(total["n"], total["positive"])
+    counts = kept.select("label", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"), F.sum("label").alias("both")).toPandas()
+    chosen = choose(counts["bucket"].to_numpy(), counts["n"].to_numpy(dtype=np.float64), counts["both"].to_numpy(dtype=np.float64), total["n"], total["positive"])
+    own = F.array_intersect("buckets", F.array(*(F.lit(int(c)) for c in chosen)))
+    found = kept.select("id", "label", own.alias("own")).toPandas().sort_values(["id", "label"], kind="stable")
+    return train_on([np.array(b, dtype=np.int64) for b in found["own"]], found["label"].to_numpy(), chosen)
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
