@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lithic.llm import packing, pii_weak, quality_gam, simhash_golay, suffix_dedup
+from lithic.llm import packing, pii_weak, quality_gam, shingle_copies, suffix_dedup
 from lithic.llm.common import staged, table, unstage
 from lithic.llm.queries_packing import tokenizer_path
 from lithic.llm.queries_quality import MODULUS, REMAINDER
@@ -20,8 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near-duplicates."""
-    return simhash_golay.one_of_each(docs)
+    """Keep the document with the smallest id of each group that shares four fifths of its five-word shingles."""
+    return shingle_copies.one_of_each(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
