@@ -35,6 +35,8 @@ REACH, MOST = 2, 4096
 SAMPLE, COVER = 64, 0.9
 #: Rows of a bucket that are handled together; larger buckets are split.
 GROUP = 8192
+#: Rows of a block that the queries beyond r are compared with.
+SCAN = 32768
 #: Buckets of each table that a query visits before its floor is known.
 FIRST = 2
 SEED = 11
@@ -129,7 +131,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, tables: int = TABLES
     """(query_id, rank, vec_id, score): per query its k nearest found, by cosine, ties to the smaller id.
 
     Both inputs hold (id long, v array<double>) as `usable` gives them, of one dimension. A query's own id is no
-    candidate; rows with a repeated id count once, with the best score. Fewer found than k: those. Empty: no rows.
+    candidate; rows with a repeated id count once, with the best score. Fewer candidates than k: all. Empty: no rows.
 
     Buckets of more than `group` rows are split by hash and their probes repeated for each part, so that one bucket
     may hold any share of the rows. Each part gives at most k rows per query.
@@ -167,9 +169,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, tables: int = TABLES
             ids, x = rows["id"].to_numpy(), _stack(rows["v"])
             lengths, norm = np.sqrt((x * x).sum(axis=1)), lambda v: math.sqrt(math.fsum(v * v))
             most = k + len(ids) - len(np.unique(ids))
-            for at in range(0, len(asked), 512):
-                own, q = asked["id"].to_numpy()[at : at + 512], _stack(asked["v"][at : at + 512])
-                floors = asked["floor"].to_numpy()[at : at + 512]
+            step = max(1, (1 << 22) // max(GROUP, len(ids)))
+            for at in range(0, len(asked), step):
+                own, q = asked["id"].to_numpy()[at : at + step], _stack(asked["v"][at : at + step])
+                floors = asked["floor"].to_numpy()[at : at + step]
                 cosine = (q @ x.T) / (np.sqrt((q * q).sum(axis=1))[:, None] * lengths)
                 cosine[own[:, None] == ids[None, :]] = -2
                 for i, scores in enumerate(cosine):
@@ -183,7 +186,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, tables: int = TABLES
                     out += [(int(own[i]), o, -s) for s, o in exact[:most]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": np.int64, "vec_id": np.int64, "score": np.float64})
 
-    def search(right: DataFrame) -> DataFrame:
+    def search(right: DataFrame, left: DataFrame = left) -> DataFrame:
         asked = right.select("key", "part", "id", "v", "floor").groupBy("key", "part")
         return left.groupBy("key", "part").cogroup(asked).applyInPandas(rank, "query_id long, vec_id long, score double")
 
@@ -193,6 +196,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, tables: int = TABLES
         return merged.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
     first = staged(search(probes.where(F.col("place") < FIRST).withColumn("floor", F.lit(-1.5))))
-    floors = ranked(first).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
-    rest = probes.where(F.col("place") >= FIRST).join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(-1.5)))
-    return ranked(first.union(search(rest))).select("query_id", "rank", "vec_id", "score")
+
+    def floored(asked: DataFrame, found: DataFrame) -> DataFrame:
+        floors = ranked(found).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
+        return asked.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(-1.5)))
+
+    found = staged(first.union(search(floored(probes.where(F.col("place") >= FIRST), first))))
+    blocks = max(1, math.ceil(n / SCAN))
+    beyond = staged(floored(queries, found).where(F.col("floor") < 1 - r * r / 2))
+    scanned = beyond.select(F.lit(0).cast("long").alias("key"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"), "id", "v", "floor")
+    rows = vectors.select(F.lit(0).cast("long").alias("key"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("part"), "id", "v")
+    return ranked(found.union(search(scanned, rows))).select("query_id", "rank", "vec_id", "score")
