@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lithic.functions import jsons
@@ -175,10 +176,11 @@ WITH e AS (SELECT user_id % 7 AS c, event_type AS k, count(*) FILTER (WHERE even
 SELECT c, k, least(e, f) AS tp, f - least(e, f) AS fp, e - least(e, f) AS fn FROM e
 """)
 def greedy_confusion(spark, sf):
-    events = _t(spark, sf, "events").where("event_id < 300").select((F.col("user_id") % 7).alias("c"), F.col("event_type").alias("k"), F.col("event_id").alias("at"), (F.col("event_id") % 3 == 0).alias("is_expected"))
+    events = _t(spark, sf, "events").select((F.col("user_id") % 7).alias("c"), F.col("event_type").alias("k"), F.col("event_id").alias("at"), (F.col("event_id") % 3 == 0).alias("is_expected"))
     expected, found = events.where("is_expected").withColumnRenamed("at", "expected_at"), events.where("not is_expected").withColumnRenamed("at", "found_at")
-    pairs = expected.select("c", "k", "expected_at").join(found.select("c", "k", "found_at"), ["c", "k"])
-    return ev.confusion(expected, found, ev.assigned(pairs, ["c", "k"]), ["c", "k"])
+    # every pair of a group matches: the i-th found takes the i-th expected
+    nth = lambda df, at: df.select("c", "k", at, F.row_number().over(Window.partitionBy("c", "k").orderBy(at)).alias("i"))
+    return ev.confusion(expected, found, nth(expected, "expected_at").join(nth(found, "found_at"), ["c", "k", "i"]), ["c", "k"])
 
 
 @query("SELECT o_custkey AS a, CAST(count(DISTINCT o_orderpriority) AS BIGINT) AS n FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey < 20 GROUP BY 1")
