@@ -574,7 +574,7 @@ def circuit_breaker(spark, sf):
 
 @query(None)
 def title_likeness(spark, sf):
-    w = _t(spark, sf, "benchmark").select("item_id", F.substring("text", 1, 60).alias("t"))
+    w = _t(spark, sf, "benchmark").select("item_id", F.col("text").alias("t"))
     pairs = w.select(F.col("item_id").alias("a"), F.col("t").alias("ta")).join(w.select(F.col("item_id").alias("b"), F.col("t").alias("tb")), F.col("b") == F.col("a") + 1)
     return pairs.select("a", "b", F.round(ev.title_ratio("ta", "tb"), 6).alias("ratio"))
 
