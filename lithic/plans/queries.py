@@ -347,7 +347,7 @@ SELECT query_id, id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITI
 """)
 def vector_topk(spark, sf):
     vectors = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    return se.nearest(vectors.where("id % 100 = 0"), vectors, 5)
+    return se.nearest(vectors.where("id % 50 = 0"), vectors, 5)
 
 
 @query("""
