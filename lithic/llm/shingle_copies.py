@@ -95,7 +95,7 @@ def _prefixes(common: np.ndarray):
                         continue
                     seen.add(one)
                     n = len(own) - (4 * len(own) + 4) // 5 + 1
-                    often = np.isin(own, common)
+                    often = common[np.searchsorted(common, own) % len(common)] == own if len(common) else np.zeros(len(own), dtype=bool)
                     key.append(np.concatenate((own[~often], own[often]))[:n])
                     fp.append(np.full(n, one))
                     size.append(np.full(n, len(own), dtype=np.int32))
