@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithic.functions.text import words
-from lithic.functions.vectors import cosine
 
 
 def postings(rows: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
@@ -33,12 +37,36 @@ def suggestions(rows: DataFrame, name: str, kind: str, query: str, most: int) ->
     return found.orderBy(F.desc("n"), name, kind).limit(most)
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = 1024) -> DataFrame:
     """(query_id, id, score, rank): exact nearest vectors by cosine, rounded to 6 places, ties by id.
 
-    queries and vectors hold (id, v); the queries are few and stated, and are compared with all vectors.
+    queries and vectors hold (id, v) of one dimension, without nulls. Queries are taken in blocks of at most `block`
+    by hash; each block goes to the tasks in one piece, and a task reports at most k rows per query and batch.
     """
-    asked = queries.select(F.col("id").alias("query_id"), F.col("v").alias("q"))
-    scored = vectors.crossJoin(asked).where("id <> query_id").select("query_id", "id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("score"))
+    blocks = max(1, -(-queries.count() // block))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    number = F.pmod(F.xxhash64("id"), F.lit(blocks))
+    found = [_block_nearest(queries.where(number == b).select("id", "v").toPandas(), vectors.select("id", "v"), k) for b in range(blocks)]
+    scored = reduce(DataFrame.union, found)
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def _block_nearest(asked: pd.DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    own = asked["id"].to_numpy()
+    unit = lambda column: (x := np.stack(column.to_numpy())) / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    q = unit(asked["v"]) if len(asked) else None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if q is None or not len(batch):
+                continue
+            ids = batch["id"].to_numpy()
+            order = np.argsort(ids, kind="stable")
+            ids, score = ids[order], np.round(q @ unit(batch["v"].iloc[order]).T, 6) + 0.0
+            score[own[:, None] == ids[None, :]] = -np.inf
+            top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            row, at = np.repeat(np.arange(len(own)), top.shape[1]), top.ravel()
+            there = np.isfinite(score[row, at])
+            yield pd.DataFrame({"query_id": own[row[there]], "id": ids[at[there]], "score": score[row[there], at[there]]})
+
+    return vectors.mapInPandas(run, "query_id long, id long, score double")

@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from lithic.operators import graphs
 from lithic.plans import queries
 
 
@@ -36,17 +37,22 @@ def test_impact(spark, sf, edges):
     assert rows(spark, sf, "impact_bfs", "node", "depth") == sorted(depth.items())
 
 
-def test_call_chain_from_every_node(spark, sf, edges):
+@pytest.mark.parametrize("depth", [2, 3])
+def test_call_chain_from_every_node(spark, sf, edges, depth):
     to, n = {}, {}
     for a, b in edges:
         to.setdefault(a, []).append(b)
 
     def walk(path):
-        for b in to.get(path[-1], ()) if len(path) < 4 else ():
+        for b in to.get(path[-1], ()) if len(path) <= depth else ():
             if b not in path:
                 n[path[0], b, len(path)] = n.get((path[0], b, len(path)), 0) + 1
                 walk([*path, b])
 
     for a in to:
         walk([a])
-    assert rows(spark, sf, "call_chain", "start", "node", "depth", "n") == sorted((*k, v) for k, v in n.items())
+    if depth == 2:
+        assert rows(spark, sf, "call_chain", "start", "node", "depth", "n") == sorted((*k, v) for k, v in n.items())
+    frame = spark.createDataFrame(sorted(edges), "a long, b long")
+    found = graphs.paths_from(frame, frame.selectExpr("a AS node").distinct(), depth).groupBy("start", "node", "depth").count()
+    assert sorted(map(tuple, found.collect())) == sorted((*k, v) for k, v in n.items())
