@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import sys
 import tempfile
-import time
 import uuid
 
 from pyspark import cloudpickle
@@ -22,27 +20,41 @@ def ship(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
+#: Setting by which Spark deletes an execution's shuffle files as soon as it ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share.
+
+    Where the session names none: a temporary folder if driver and executors are one process (tests), else an error,
+    since executors elsewhere would write to disks that nobody else reads.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="lithic-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and read it back: cuts lineage and survives the loss of any executor."""
+    """Write `df` to the shared folder and read it back: cuts lineage and survives the loss of any executor.
+
+    The shuffle files of the write go with it. The folder goes when `unstage` is called or the interpreter ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{uuid.uuid4().hex}"
-    df.write.parquet(path)
     if not _STAGED:
         atexit.register(_drop_staged)
     _STAGED.append((spark, path))
-    for _ in range(2):  # Spark deletes the shuffle files that only this write needed once a second collection finds them
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path
     return out
@@ -92,29 +104,32 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star passes. Each pass is two aggregations with map-side combine and a join of
     the edges with one row per node, so a node with very many edges is split like any skewed join side. Every round
-    is a staged table. Nodes without an edge to another node do not appear.
+    is a staged table; rounds end when count and hash sums of the pairs stay. Nodes without an edge to another node do
+    not appear. The last table stays for the result to read.
     """
-    spark = edges.sparkSession
-    now = staged(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    )
-    while True:
+
+    def stars(now: DataFrame) -> DataFrame:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u")
-            .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-            .select("e.*").where("u <> v").distinct()
-        )
-        after = staged(small)
-        # both are sets of pairs: equal when equally many and none is new
-        if after.count() == now.count() and after.join(now, ["u", "v"], "left_anti").isEmpty():
-            unstage(after)
-            break
+        ends = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+        return large.join(low, "u").select(F.explode(ends).alias("e")).select("e.*").where("u <> v").distinct()
+
+    def mark(now: DataFrame) -> tuple:
+        hashed = F.xxhash64("u", "v")
+        row = now.agg(F.count("*").alias("n"), F.bit_xor(hashed).alias("x"), F.sum(F.shiftright(hashed, 20)).alias("s")).first()
+        return row["n"], row["x"], row["s"]
+
+    now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    seen = mark(now)
+    while seen[0]:
+        after = staged(stars(now))
         unstage(now)
-        now = after
+        now, before = after, seen
+        seen = mark(now)
+        if seen == before:
+            break
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
 

@@ -1,4 +1,6 @@
-"""Near-duplicates by the Jaccard likeness of five-word shingles, found exactly by prefix filtering.
+"""What fingerprints miss: pairs that share 4/5 of their five-word shingles, found exactly by prefix filtering.
+
+`simhash_golay.alike` links most copies by their fingerprints and uses this module for the rest.
 
 Two sets of which `NEAR` (4/5) of the union is shared have a shingle in common among the first |x| - ceil(4/5 |x|) + 1
 of each, in any order that holds for all sets. Documents meet in the shingles of these prefixes; sizes and places rule
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithic.llm.common import components, ship, staged, text_or_empty
+from lithic.llm.common import ship, staged, unstage
 
 ship(__name__)
 
@@ -50,9 +52,19 @@ def digest(own: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view(np.int64))
 
 
+def simhash(own: np.ndarray) -> int:
+    """Signed 64-bit SimHash of a set of shingles; 0 for the empty set."""
+    if not len(own):
+        return 0
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(own), 1 << 15):
+        ones += np.unpackbits(own[at : at + (1 << 15)].view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(own)).view(np.int64)[0])
+
+
 def close(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(a, b), a < b, of the pairs in one shingle (set, size, place: sorted by size) that may share 4/5."""
-    fp, size, place = rows
+    """(a, b), a < b, of the pairs in one shingle (set, size, place, group: sorted by size) of different groups that may share 4/5."""
+    fp, size, place, group = rows
     a, b = [], []
     for at in range(0, len(fp), _BLOCK):
         # a set is followed by larger ones: up to 5/4 of its size
@@ -60,7 +72,7 @@ def close(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         mine, others = slice(at, min(at + _BLOCK, len(fp))), slice(at, end)
         small, large = size[mine, None], size[None, others]
         most = np.minimum(small - place[mine, None], large - place[None, others])
-        later = np.arange(at, end)[None, :] > np.arange(at, mine.stop)[:, None]
+        later = (np.arange(at, end)[None, :] > np.arange(at, mine.stop)[:, None]) & (group[mine, None] != group[None, others])
         i, j = np.nonzero(later & (5 * small >= 4 * large) & (9 * most >= 4 * (small + large)))
         x, y = fp[mine][i], fp[others][j]
         a.append(np.minimum(x, y))
@@ -68,10 +80,12 @@ def close(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(a), np.concatenate(b)
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = [digest(shingles(t.as_py())) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], names=["id", "fp"])
+        own = (shingles(t.as_py()) for t in batch.column(1))
+        found = [(digest(s), simhash(s)) for s in own]
+        columns = zip(*found) if found else ((), ())
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=["id", "fp", "sim"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,35 +120,9 @@ def _prefixes(common: np.ndarray):
     return run
 
 
-def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of sets. Rows come sorted by key, size and set; the rows of the last key of a batch wait for the next one."""
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows that come sorted by key, cut between keys: the rows of the last key of a batch wait for the next one."""
     held: list[list[np.ndarray]] = []
-
-    def pairs(key, *rest):
-        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (rest[0][1:] != rest[0][:-1])))
-        key, rest = key[fresh], [x[fresh] for x in rest]
-        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        ends = np.append(starts[1:], len(key))
-        for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
-            a, b = close([x[s:e] for x in rest])
-            if len(a):
-                yield a, b
-
-    def batch_of(found):
-        a, b = [np.concatenate(x) for x in zip(*found)]
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    def all_of(parts):
-        found, n = [], 0
-        for one in pairs(*(np.concatenate(x) for x in parts)):
-            found.append(one)
-            n += len(one[0])
-            if n > 1 << 17:
-                yield batch_of(found)
-                found, n = [], 0
-        if found:
-            yield batch_of(found)
-
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -145,10 +133,37 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = [np.concatenate(x) for x in zip(*held, part)]
         cut = int(np.searchsorted(whole[0], whole[0][-1]))
         if cut:
-            yield from all_of([[x[:cut]] for x in whole])
+            yield [x[:cut] for x in whole]
         held = [[x[cut:] for x in whole]]
     if held:
-        yield from all_of(list(zip(*held)))
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (key, fp, size, place), once each, of shingles that two sets or more have. Rows come sorted by key and set."""
+    for columns in _by_key(batches):
+        key, fp = columns[:2]
+        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])))
+        columns = [x[fresh] for x in columns]
+        key = columns[0]
+        same = np.concatenate(([False], key[1:] == key[:-1]))
+        shared = same | np.append(same[1:], False)
+        yield pa.RecordBatch.from_arrays([pa.array(x[shared]) for x in columns], names=["key", "fp", "size", "place"])
+
+
+def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of sets of different groups. Rows (key, fp, size, place, group) come sorted by key, size and set."""
+    for key, *rest in _by_key(batches):
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        ends, found, n = np.append(starts[1:], len(key)), [], 0
+        apart = np.minimum.reduceat(rest[3], starts) != np.maximum.reduceat(rest[3], starts)
+        for s, e in zip(starts[apart].tolist(), ends[apart].tolist()):
+            found.append(close([x[s:e] for x in rest]))
+            n += len(found[-1][0])
+            if n > 1 << 17 or (e == ends[apart][-1] and n):
+                a, b = (np.concatenate(x) for x in zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                found, n = [], 0
 
 
 def common_shingles(texts: DataFrame) -> np.ndarray:
@@ -158,34 +173,36 @@ def common_shingles(texts: DataFrame) -> np.ndarray:
     return np.sort(np.array([r.key for r in counted.where(F.col("n") >= SHARED).orderBy(F.desc("n"), "key").limit(COMMON).collect()], dtype=np.int64))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of `docs`: (id, component_id), component_id the smallest id reachable over pairs that share 4/5.
+def described(texts: DataFrame) -> DataFrame:
+    """(id, fp, sim) of every row of `texts` (id, text): digest and fingerprint of its set of shingles."""
+    return texts.mapInArrow(_described, f"id {texts.schema['id'].dataType.simpleString()}, fp long, sim long")
 
-    Null and empty texts are alike. Rows with a repeated id all stay, each with its own text. A null id gets the
-    component of its text and is never a component's id, unless no other is there (then null). Equal sets are one
-    from the start. Sets that meet are read again from `docs`; the others' shingles are never stored.
+
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of digests whose sets share 4/5 of their union, by the whole sets; nodes: (fp, first id that has it).
+
+    Only the sets of `pairs` are made again, from `texts`; a null id is an id like any other here.
     """
-    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    prints = staged(texts.mapInArrow(_digests, f"id {docs.schema[id_col].dataType.simpleString()}, fp long"))
-    nodes = staged(prints.groupBy("fp").agg(F.min("id").alias("first")))
-    keyed = texts.select("text").mapInArrow(_prefixes(common_shingles(texts)), "key long, fp long, size int, place int")
-    met = keyed.repartition("key").sortWithinPartitions("key", "size", "fp").select("key", "fp", "size", "place").mapInArrow(_paired, "a long, b long")
-    pairs = staged(met.distinct())
     ends = staged(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct())
     again = nodes.join(ends, "fp", "left_semi").select(F.col("first").alias("wanted")).distinct()
     sets = texts.join(again, F.col("id").eqNullSafe(F.col("wanted")), "left_semi").select("text").mapInArrow(_sets, "fp long, own array<long>")
     sets = staged(sets.join(ends, "fp", "left_semi").dropDuplicates(["fp"]))
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("own").alias("y")), "b")
-    edges = both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
-    roots = staged(components(edges))
-    placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_print = staged(placed.join(least, "root").select("fp", "component_id"))
-    return prints.join(of_print, "fp").select(F.col("id").alias(id_col), "component_id")
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose id is the smallest of their component; rows without an id stay."""
-    found = near_duplicates(docs, id_col, text_col)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    x, y = sets.select(F.col("fp").alias("a"), F.col("own").alias("x")), sets.select(F.col("fp").alias("b"), F.col("own").alias("y"))
+    both = pairs.join(x, "a").join(y, "b")
+    out = staged(both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b"))
+    unstage(ends)
+    unstage(sets)
+    return out
+
+
+def meeting(texts: DataFrame) -> DataFrame:
+    """(key, fp, size, place) of the prefixes of all sets, of keys that two sets or more have."""
+    keyed = texts.select("text").mapInArrow(_prefixes(common_shingles(texts)), "key long, fp long, size int, place int")
+    return keyed.repartition("key").sortWithinPartitions("key", "fp").select("key", "fp", "size", "place").mapInArrow(_met, "key long, fp long, size int, place int")
+
+
+def candidates(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): pairs that meet in a key and may share 4/5, but for those that `roots` (node, root) has linked already."""
+    grouped = met.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "size", "place", F.coalesce("root", "fp").alias("group"))
+    dealt = grouped.repartition("key").sortWithinPartitions("key", "size", "fp").select("key", "fp", "size", "place", "group")
+    return dealt.mapInArrow(_paired, "a long, b long").distinct()

@@ -9,6 +9,10 @@ to few codewords: `near_codewords` lists them (about five). If two fingerprints
 
 One side of a match offers the codeword it decodes to and the other side the codewords of its neighbourhood, which is
 enough for both to meet in a key. Meeting pairs are verified on all 64 bits.
+
+`near_duplicates` links fingerprints of three-word shingles at three bits. `alike` links texts that share 4/5 of their
+five-word shingles: such texts are some ten bits apart on average, beyond what keys of any use can bridge, so the
+codes find the closer copies, checked on the shingles themselves, and `shingle_copies` what is left between groups.
 """
 
 from __future__ import annotations
@@ -21,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithic.llm.common import components, ship, staged, text_or_empty
+from lithic.llm import shingle_copies
+from lithic.llm.common import components, ship, staged, text_or_empty, unstage
 
 ship(__name__)
 
@@ -183,6 +188,19 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links(*(np.concatenate(x) for x in zip(*held)))
 
 
+def links(prints: DataFrame) -> DataFrame:
+    """(a, b): pairs of the distinct fingerprints `prints` (fp) at MAX_BITS or fewer that connect all such pairs connect."""
+    keyed = prints.select("fp").mapInArrow(_keyed, "key long, fp long, asks boolean")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_linked, "a long, b long")
+
+
+def _component_ids(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(fp, component_id) of nodes (fp, first): the smallest first id of the component that `roots` (node, root) gives."""
+    placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    return staged(placed.join(least, "root").select("fp", "component_id"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: (id, fingerprint long, component_id), component_id the smallest id reachable over links.
 
@@ -195,17 +213,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = staged(docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(_fingerprints, f"id {docs.schema[id_col].dataType.simpleString()}, fp long"))
     nodes = staged(prints.groupBy("fp").agg(F.min("id").alias("first")))
-    keyed = nodes.select("fp").mapInArrow(_keyed, "key long, fp long, asks boolean")
-    edges = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_linked, "a long, b long")
-    roots = staged(components(edges))
-    placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_print = staged(placed.join(least, "root").select("fp", "component_id"))
+    of_print = _component_ids(nodes, components(links(nodes)))
     return prints.join(of_print, "fp").select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
 
 
+def alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of `docs`: (id, component_id), component_id the smallest id reachable over pairs that share 4/5.
+
+    Shingles are five lower-cased words; a text of fewer words is one shingle. No pair is lost: see `shingle_copies`.
+    Null and empty texts are alike. Rows with a repeated id all stay, each with its own text. A null id gets the
+    component of its text and is never a component's id, unless no other is there (then null). Equal sets are one
+    from the start. Columns other than the two named are ignored. An empty table gives no rows.
+    """
+    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    rows = staged(shingle_copies.described(texts))
+    nodes = staged(rows.groupBy("fp").agg(F.min("id").alias("first"), F.min("sim").alias("sim")))
+    first = staged(nodes.groupBy("sim").agg(F.min("fp").alias("fp")))
+    equal = nodes.join(first.withColumnRenamed("fp", "a"), "sim").select("a", F.col("fp").alias("b")).where("a <> b")
+    apart = links(first.select(F.col("sim").alias("fp"))).distinct()
+    of = lambda name: first.select(F.col("sim").alias(name), F.col("fp").alias(f"{name}_fp"))
+    near = apart.join(of("a"), "a").join(of("b"), "b").select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b"))
+    edges = shingle_copies.verified(staged(equal.union(near)), nodes, texts)
+    roots = staged(components(edges))
+    met = staged(shingle_copies.meeting(texts))
+    rest = shingle_copies.verified(staged(shingle_copies.candidates(met, roots)), nodes, texts)
+    unstage(met)
+    of_set = _component_ids(nodes, components(edges.union(rest)))
+    return rows.join(of_set, "fp").select(F.col("id").alias(id_col), "component_id")
+
+
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose id is the smallest of their component; rows without an id stay."""
-    found = near_duplicates(docs, id_col, text_col)
+    """The rows of `docs` whose id is the smallest of their group of `alike` texts; rows without an id stay.
+
+    Of rows with equal id and text one stays; of those that share an id only, each whose group it heads.
+    """
+    found = staged(alike(docs, id_col, text_col))
     gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    repeated = staged(found.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col))
+    kept = docs.join(gone, id_col, "left_anti").select(docs.columns)
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, id_col, "left_semi").dropDuplicates([id_col, text_col])
+    return kept.join(repeated, id_col, "left_anti").select(docs.columns).union(once.select(docs.columns))

@@ -5,7 +5,7 @@ from lithic.llm import packing, pii_weak
 from lithic.llm.common import table
 
 from .test_packing import check
-from .test_simhash import plain_components, plain_fingerprint
+from .test_shingle_copies import plain_components
 from .test_suffix import brute
 
 
@@ -22,7 +22,7 @@ def test_each_stage_on_what_the_one_before_kept(spark, sf):
     assert sum(right) >= 0.9 * len(right)
 
     single = steps["near_duplicates"](spark, good, sf)
-    roots = plain_components([(i, plain_fingerprint(r.text)) for i, r in kept.items()])
+    roots = plain_components([(i, r.text) for i, r in kept.items()])
     one = {r.doc_id: r for r in single.collect()}
     assert set(one) == {i for i, root in roots.items() if i == root} and single.columns == docs.columns
 

@@ -4,6 +4,7 @@ import re
 
 import corpus_pipeline
 from lithic.llm import shingle_copies as s
+from lithic.llm import simhash_golay as g
 from lithic.llm.common import table
 
 
@@ -30,7 +31,7 @@ def plain_components(rows):
 def test_matches_brute_force_on_documents(spark, sf):
     docs = table(spark, sf, "documents")
     expected = plain_components([(r.doc_id, r.text) for r in docs.collect()])
-    assert {r.doc_id: r.component_id for r in s.near_duplicates(docs).collect()} == expected
+    assert {r.doc_id: r.component_id for r in g.alike(docs).collect()} == expected
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()} == {i for i, root in expected.items() if i == root}
 
 
@@ -53,6 +54,23 @@ def test_stage_takes_copies_down_to_four_fifths(spark, sf):
 def test_edge_cases(spark):
     same = "a b c d e f g h"
     frame = spark.createDataFrame([(None, same), (3, same), (4, same), (4, "else"), (None, "alone")], "doc_id long, text string")
-    got = sorted((tuple(r) for r in s.near_duplicates(frame).collect()), key=repr)
+    got = sorted((tuple(r) for r in g.alike(frame).collect()), key=repr)
     assert got == sorted([(None, 3), (3, 3), (4, 3), (4, 4), (None, None)], key=repr)
-    assert s.near_duplicates(frame.limit(0)).count() == 0
+    assert g.alike(frame.limit(0)).count() == 0
+
+
+def test_groups_that_fingerprints_link_are_not_paired_again(spark):
+    """Several hundred copies with one changed word each: links stay in proportion to the copies, not to their pairs."""
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join([*words[: i % 110], f"new{i}", *words[i % 110 + 1 :]])) for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.component_id for r in g.alike(frame).collect()} == {0}
+    texts = frame.selectExpr("doc_id as id", "text")
+    found = s.described(texts)
+    roots = found.selectExpr("fp as node", "1L as root")
+    assert s.candidates(s.meeting(texts), roots).count() == 0
+
+
+def test_rows_of_one_id(spark):
+    frame = spark.createDataFrame([(1, "a b c", 1), (1, "a b c", 2), (2, "a b c", 3), (1, "other", 4), (None, "a b c", 5)], "doc_id long, text string, fp int")
+    assert sorted((tuple(r) for r in g.one_of_each(frame).select("doc_id", "text").collect()), key=repr) == [(1, "a b c"), (1, "other"), (None, "a b c")]
