@@ -80,6 +80,15 @@ def close(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(a), np.concatenate(b)
 
 
+def around(rows: list[np.ndarray], pivot: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b), a < b, of one set in a shingle and the others that may share 4/5 with it (columns as in `close`)."""
+    fp, size, place, _ = rows
+    small, large = np.minimum(size, size[pivot]), np.maximum(size, size[pivot])
+    most = np.minimum(size - place, size[pivot] - place[pivot])
+    found = (5 * small >= 4 * large) & (9 * most >= 4 * (small + large)) & (fp != fp[pivot])
+    return np.minimum(fp[found], fp[pivot]), np.maximum(fp[found], fp[pivot])
+
+
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         own = (shingles(t.as_py()) for t in batch.column(1))
@@ -88,11 +97,49 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=["id", "fp", "sim"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(chosen=None):
+    """Rows (fp, n, own) of the sets whose digest `chosen` holds (all by default): low halves of the hashes, once each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                fp, n, own = [], [], []
+                for text in batch.column(0).slice(at, 512):
+                    one = shingles(text.as_py())
+                    name = digest(one)
+                    if name not in seen and (chosen is None or name in chosen):
+                        seen.add(name)
+                        fp.append(name)
+                        n.append(len(one))
+                        own.append(np.unique(one.view("<i4")[::2]))
+                yield pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), pa.array(n, pa.int32()), pa.array(own, pa.list_(pa.int32()))], names=["fp", "n", "own"])
+
+    return run
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
-            own = [shingles(t.as_py()) for t in batch.column(0).slice(at, 512)]
-            yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in own], pa.int64()), pa.array(own, pa.list_(pa.int64()))], names=["fp", "own"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *(shingles(t.as_py()) for t in batch.column(0).slice(at, 512))]))], names=["key"])
+
+
+class Bits:
+    """Which 64-bit hashes may be in a column: a bitmap of fixed size over their low bits, to be sent to every task at any scale.
+
+    It holds at most 8 MB. The fuller it is the more it lets through; what it stops is not in the column.
+    """
+
+    LOW = (1 << 26) - 1
+
+    def __init__(self, rows: DataFrame, column: str):
+        spot = F.col(column).bitwiseAND(F.lit(self.LOW)) + 1
+        parts = rows.groupBy(F.bitmap_bucket_number(spot).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("bits"))
+        self.parts = {r["part"] - 1: bytes(r["bits"]) for r in parts.collect()}
+
+    def __contains__(self, value: int) -> bool:
+        part, at = divmod(value & self.LOW, 1 << 15)
+        return part in self.parts and bool(self.parts[part][at >> 3] >> (at & 7) & 1)
 
 
 def _prefixes(common: np.ndarray):
@@ -151,25 +198,39 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x[shared]) for x in columns], names=["key", "fp", "size", "place"])
 
 
-def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of sets of different groups. Rows (key, fp, size, place, group) come sorted by key, size and set."""
-    for key, *rest in _by_key(batches):
-        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        ends, found, n = np.append(starts[1:], len(key)), [], 0
-        apart = np.minimum.reduceat(rest[3], starts) != np.maximum.reduceat(rest[3], starts)
-        for s, e in zip(starts[apart].tolist(), ends[apart].tolist()):
-            found.append(close([x[s:e] for x in rest]))
-            n += len(found[-1][0])
-            if n > 1 << 17 or (e == ends[apart][-1] and n):
-                a, b = (np.concatenate(x) for x in zip(*found))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-                found, n = [], 0
+def _paired(stars: bool):
+    """Pairs of sets of different groups, or per key only those of one of its sets (a different one in each key).
+
+    Rows (key, fp, size, place, group) come sorted by key, size and set.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, *rest in _by_key(batches):
+            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            ends, found, n = np.append(starts[1:], len(key)), [], 0
+            apart = np.minimum.reduceat(rest[3], starts) != np.maximum.reduceat(rest[3], starts)
+            for s, e in zip(starts[apart].tolist(), ends[apart].tolist()):
+                rows = [x[s:e] for x in rest]
+                found.append(around(rows, int(key[s]) % (e - s)) if stars else close(rows))
+                n += len(found[-1][0])
+                if n > 1 << 17:
+                    yield _pairs_of(found)
+                    found, n = [], 0
+            if n:
+                yield _pairs_of(found)
+
+    return run
+
+
+def _pairs_of(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a, b = (np.concatenate(x) for x in zip(*found))
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
 def common_shingles(texts: DataFrame) -> np.ndarray:
     """Shingles that SHARED or more of a bounded sample of `texts` (id, text) have, at most COMMON, sorted."""
     chosen = texts.select("id").where("id is not null").orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
-    counted = texts.join(F.broadcast(chosen.distinct()), "id").select("text").mapInArrow(_sets, "fp long, own array<long>").select(F.explode("own").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    counted = texts.join(F.broadcast(chosen.distinct()), "id").select("text").mapInArrow(_counted, "key long").groupBy("key").agg(F.count("*").alias("n"))
     return np.sort(np.array([r.key for r in counted.where(F.col("n") >= SHARED).orderBy(F.desc("n"), "key").limit(COMMON).collect()], dtype=np.int64))
 
 
@@ -178,19 +239,19 @@ def described(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(_described, f"id {texts.schema['id'].dataType.simpleString()}, fp long, sim long")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of digests whose sets share 4/5 of their union, by the whole sets; nodes: (fp, first id that has it).
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of digests whose sets share 4/5 of their union, by the whole sets, made again from `texts`.
 
-    Only the sets of `pairs` are made again, from `texts`; a null id is an id like any other here.
+    Only sets that may be in `pairs` leave their task. They are compared by 32 bits of each hash, counted so that no pair
+    is lost; a pair one shingle short of 4/5 passes once in 100,000.
     """
     ends = staged(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct())
-    again = nodes.join(ends, "fp", "left_semi").select(F.col("first").alias("wanted")).distinct()
-    sets = texts.join(again, F.col("id").eqNullSafe(F.col("wanted")), "left_semi").select("text").mapInArrow(_sets, "fp long, own array<long>")
-    sets = staged(sets.join(ends, "fp", "left_semi").dropDuplicates(["fp"]))
-    x, y = sets.select(F.col("fp").alias("a"), F.col("own").alias("x")), sets.select(F.col("fp").alias("b"), F.col("own").alias("y"))
-    both = pairs.join(x, "a").join(y, "b")
-    out = staged(both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b"))
+    sets = staged(texts.select("text").mapInArrow(_sets(Bits(ends, "fp")), "fp long, n int, own array<int>").join(ends, "fp", "left_semi").dropDuplicates(["fp"]))
     unstage(ends)
+    x, y = (sets.select(F.col("fp").alias(k), F.struct("n", "own").alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    lost = lambda s: F.col(f"{s}.n") - F.size(f"{s}.own")
+    shared = F.size(F.array_intersect("x.own", "y.own")) + lost("x") + lost("y")
+    out = staged(pairs.join(x, "a").join(y, "b").where(9 * shared >= 4 * (F.col("x.n") + F.col("y.n"))).select("a", "b"))
     unstage(sets)
     return out
 
@@ -201,8 +262,17 @@ def meeting(texts: DataFrame) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key", "fp").select("key", "fp", "size", "place").mapInArrow(_met, "key long, fp long, size int, place int")
 
 
+def _grouped(met: DataFrame, stars: bool) -> DataFrame:
+    dealt = met.repartition("key").sortWithinPartitions("key", "size", "fp").select("key", "fp", "size", "place", "group")
+    return dealt.mapInArrow(_paired(stars), "a long, b long").distinct()
+
+
+def few_candidates(met: DataFrame) -> DataFrame:
+    """(a, b): pairs that may share 4/5, for each key only those of one set; as many as there are rows at most."""
+    return _grouped(met.withColumn("group", F.col("fp")), True)
+
+
 def candidates(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b): pairs that meet in a key and may share 4/5, but for those that `roots` (node, root) has linked already."""
-    grouped = met.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", "size", "place", F.coalesce("root", "fp").alias("group"))
-    dealt = grouped.repartition("key").sortWithinPartitions("key", "size", "fp").select("key", "fp", "size", "place", "group")
-    return dealt.mapInArrow(_paired, "a long, b long").distinct()
+    """(a, b): all pairs that meet in a key and may share 4/5, but for those that `roots` (node, root) has linked already."""
+    linked = met.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    return _grouped(linked.withColumn("group", F.coalesce("root", "fp")), False)

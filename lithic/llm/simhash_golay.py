@@ -12,7 +12,8 @@ enough for both to meet in a key. Meeting pairs are verified on all 64 bits.
 
 `near_duplicates` links fingerprints of three-word shingles at three bits. `alike` links texts that share 4/5 of their
 five-word shingles: such texts are some ten bits apart on average, beyond what keys of any use can bridge, so the
-codes find the closer copies, checked on the shingles themselves, and `shingle_copies` what is left between groups.
+codes find the closer copies, `shingle_copies` a few more per shingle and then all that is left between groups; links
+are checked on the shingles themselves.
 """
 
 from __future__ import annotations
@@ -233,10 +234,10 @@ def alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     apart = links(first.select(F.col("sim").alias("fp"))).distinct()
     of = lambda name: first.select(F.col("sim").alias(name), F.col("fp").alias(f"{name}_fp"))
     near = apart.join(of("a"), "a").join(of("b"), "b").select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b"))
-    edges = shingle_copies.verified(staged(equal.union(near)), nodes, texts)
-    roots = staged(components(edges))
     met = staged(shingle_copies.meeting(texts))
-    rest = shingle_copies.verified(staged(shingle_copies.candidates(met, roots)), nodes, texts)
+    edges = shingle_copies.verified(staged(equal.union(near).union(shingle_copies.few_candidates(met)).distinct()), texts)
+    roots = staged(components(edges))
+    rest = shingle_copies.verified(staged(shingle_copies.candidates(met, roots)), texts)
     unstage(met)
     of_set = _component_ids(nodes, components(edges.union(rest)))
     return rows.join(of_set, "fp").select(F.col("id").alias(id_col), "component_id")
