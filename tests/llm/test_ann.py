@@ -34,7 +34,7 @@ def test_hot_bucket_is_split_and_ties_are_settled(spark):
     same = [1.0, 2.0, -1.0, 0.5]
     rows = [(i, same) for i in range(300)] + [(i, rng.standard_normal(4).tolist()) for i in range(300, 400)]
     frame = m.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
-    got = sorted(map(tuple, m.nearest(frame, frame.where("id in (0, 7, 299)"), 3, group=40).select("query_id", "rank", "vec_id").collect()))
+    got = sorted(map(tuple, m.nearest(frame, frame.where("id in (0, 7, 299)"), 3, cell=40, asked=2).select("query_id", "rank", "vec_id").collect()))
     assert got == [(0, 1, 1), (0, 2, 2), (0, 3, 3), (7, 1, 0), (7, 2, 1), (7, 3, 2), (299, 1, 0), (299, 2, 1), (299, 3, 2)]
 
 
@@ -45,3 +45,38 @@ def test_edge_cases(spark):
     assert sorted(r.id for r in frame.collect()) == [0, 6, 6]
     assert [tuple(r) for r in m.nearest(frame, frame.where("id = 0"), 5).collect()] == [(0, 1, 6, 1.0)]
     assert m.nearest(frame, frame.limit(0), 5).count() == 0 and m.nearest(frame.limit(0), frame, 5).count() == 0
+
+
+def test_probing_reaches_its_share_at_any_size():
+    share = 1 - 0.04 ** (1 / 3)
+    rng = np.random.default_rng(3)
+    for n in (10**3, 10**6, 10**9, 10**12):
+        k = m.functions_of(n, share)
+        hashing = m.Hashing(np.zeros((1, 1, k)), np.zeros((1, k)), m.WIDTH, 1.0, share)
+        for _ in range(3):
+            chances = hashing._chances(rng.random(k) * m.WIDTH)
+            moves = m._best_moves(chances, share)
+            reached = np.prod([chances[i, moves[:, i] + m.REACH] for i in range(k)], axis=0).sum()
+            assert reached >= share and len(moves) <= 4 * m.MOST
+
+
+def test_planted_neighbours_are_found(spark):
+    """5,000 vectors, one neighbour each at a known distance: as many are found as the probing aims at."""
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((2500, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    step = rng.standard_normal(base.shape)
+    step -= (step * base).sum(axis=1, keepdims=True) * base
+    near = base + 0.3 * step / np.linalg.norm(step, axis=1, keepdims=True)
+    rows = [(2 * i, v.tolist()) for i, v in enumerate(base)] + [(2 * i + 1, v.tolist()) for i, v in enumerate(near)]
+    frame = m.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    got = m.nearest(frame, frame.where("id % 50 = 0"), 1).collect()
+    assert len(got) == 100 and sum(r.vec_id == r.query_id + 1 for r in got) >= 90
+
+
+def test_vectors_of_another_dimension_and_repeated_queries(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 1.0]), (3, [1.0, 0.0, 0.0])]
+    frame = m.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    asked = frame.where("id in (0, 3)")
+    got = sorted(map(tuple, m.nearest(frame, asked.union(asked), 5).select("query_id", "rank", "vec_id").collect()))
+    assert got == [(0, 1, 1), (0, 2, 2)]
