@@ -36,8 +36,8 @@ RECALL = 0.96
 WIDTH = 1.8
 #: Slots to either side that a probe may move (farther ones hold one part in 3,000), and buckets that K is chosen for.
 REACH, MOST = 2, 4096
-#: Queries whose k-th neighbour is looked up to set r, the share of them that r covers, and how far beyond r is in reach.
-SAMPLE, COVER, SLACK = 64, 0.9, 1.1
+#: Queries whose k-th neighbour is looked up to set r, and the share of them that r covers.
+SAMPLE, COVER = 64, 0.9
 #: Rows of a cell, and queries that meet a cell at a time.
 CELL, ASKED = 32_768, 8_192
 SEED = 11
@@ -330,7 +330,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, tables: int = TABLES
     rng, count = np.random.default_rng(SEED), functions_of(n, share)
     hashing = Hashing(rng.standard_normal((tables, dimension, count)), rng.random((tables, count)) * WIDTH * r, WIDTH * r, r, share)
     found = _probed(vectors, queries, n, hashing, k, cell, asked)
-    in_reach = _ranked(found, k).where((F.col("rank") == k) & (F.col("score") >= 1 - (SLACK * r) ** 2 / 2)).select(F.col("query_id").alias("id"))
+    in_reach = _ranked(found, k).where((F.col("rank") == k) & (F.col("score") >= 1 - r * r / 2)).select(F.col("query_id").alias("id"))
     left = staged(queries.join(in_reach, "id", "left_anti"))
     # the rest with all rows: a grid of blocks of rows and blocks of queries
     blocks = max(1, -(-n // cell))
