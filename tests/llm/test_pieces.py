@@ -1,5 +1,7 @@
 import itertools
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -71,3 +73,31 @@ def test_edge_cases(spark):
     assert [(r["rank"], r.n_pieces, r.score, r.decoded) for r in rows if r.doc_id in (1, 2)] == [(1, 0, 0.0, True)] * 2
     assert sum(r.doc_id == 3 for r in rows) == 6 and all(r.decoded for r in rows)
     assert nb.segmentations(docs.limit(0), model_path()).count() == 0
+
+
+def test_long_words_need_memory_in_proportion():
+    """Words of 200,000 characters without a space, with and without ties, in less than 1 GB."""
+    code = """
+import base64, random, resource
+from lithic.llm import nbest_pieces as nb
+from lithic.llm.queries_pieces import model_path
+encoder = nb.Encoder(model_path(), 3)
+for word in ("a" * 200_000, base64.b64encode(random.Random(1).randbytes(150_000)).decode(), "\u4e16\u754c" * 100_000):
+    found = encoder([word])[0]
+    assert found and all(encoder.pieces.decode(ids) == word for _, ids in found)
+    assert [s for s, _ in found] == sorted((s for s, _ in found), reverse=True)
+assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 1 << 20
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=300)
+
+
+def test_repeated_letters_equal_enumeration(encoder):
+    for n in range(1, 11):
+        for word in ("a" * n, "ab" * (n // 2) + "a", "0" * n):
+            into = encoder.pieces.edges(nb.MARK + word)
+            assert nb.n_best(into, 6) == [(-s, own) for s, _, own in paths(into)[:6]]
+
+
+def test_decoding_replaces_its_column(spark):
+    rows = spark.createDataFrame([([1000], "x"), (None, "y")], "ids array<int>, decoded_text string")
+    assert nb.decode(rows, model_path()).columns == ["ids", "decoded_text"]
