@@ -1,4 +1,3 @@
-import random
 import zlib
 
 import numpy as np
@@ -35,20 +34,49 @@ def test_labels_of_the_held_out_fold_are_not_read(spark, sf):
 
 
 def test_factors_learn_what_single_weights_cannot():
-    """Label 1 where both or neither of two terms stand: no additive weights do better than chance."""
-    rng = random.Random(6)
-    rows, y = [], []
-    for _ in range(3000):
-        a, b = rng.random() < 0.5, rng.random() < 0.3
-        rows.append(np.array([i for i, on in ((11, a), (12, b), (20 + rng.randint(0, 3), True)) if on]))
-        y.append(int(a and b))
-    machine = t.train(rows, np.array(y))
-    logit = lambda *x: machine.logit(np.array(x, dtype=np.int64))
-    assert logit(11, 12) > 0 > max(logit(11), logit(12), logit())
+    """Label 1 where both or neither of two terms stand, among 3,000 others of which each text has some 60: no additive
+    weights do better than chance, and neither term depends on the label by itself."""
+    rng = np.random.default_rng(6)
+
+    def texts(n):
+        rows, y = [], []
+        for _ in range(n):
+            a, b = rng.random() < 0.5, rng.random() < 0.4
+            rows.append(np.unique(np.concatenate(([11] * a, [12] * b, 100 + rng.integers(0, 3000, 60)))).astype(np.int64))
+            y.append(int(a == b))
+        return rows, np.array(y)
+
+    machine = t.train(*texts(3000))
+    assert (machine.bucket_of[[11, 12]] >= 0).all()
+    rows, y = texts(1000)
+    assert ((machine.logits(rows) > 0) == y).mean() >= 0.85
     v = machine.factors[machine.bucket_of[[11, 12]]]
     assert v[0] @ v[1] > 0
 
 
+def test_toxicity_score_is_the_plain_sum_over_pairs(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    machine, terms = t.fit(docs, labels, "toxic", 5, 0), t.Terms()
+    got = {r.doc_id: r.score for r in t.score(docs, machine).collect()}
+    for r in docs.limit(40).collect():
+        own = sorted(int(machine.bucket_of[b]) for b in terms(r.text) if machine.bucket_of[b] >= 0)
+        z = machine.bias + sum(float(machine.weights[i]) for i in own)
+        z += sum(float(machine.factors[i] @ machine.factors[j]) for n, i in enumerate(own) for j in own[n + 1 :])
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_quality_score_is_the_plain_sum_of_table_entries(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = q.fit(docs, labels, "quality", 3, 1)
+    got = {r.doc_id: r.score for r in q.score(docs, model).collect()}
+    place = lambda edges, x: sum(x >= e for e in edges)
+    for r in docs.limit(40).collect():
+        x = q.features(r.text)
+        z = model.base + sum(table[place(edges, v)] for edges, table, v in zip(model.edges, model.tables, x))
+        z += sum(table[place(model.coarse[i], x[i]), place(model.coarse[j], x[j])] for i, j, table in model.pairs)
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 def test_pairs_learn_an_interaction():
     rng = np.random.default_rng(2)
     x = rng.random((4000, 4))
