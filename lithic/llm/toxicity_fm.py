@@ -124,7 +124,7 @@ def _presence(rows: list[np.ndarray], buckets: np.ndarray) -> np.ndarray:
     return x
 
 
-def paired(rows: list[np.ndarray], labels: np.ndarray, buckets: np.ndarray, block: int = 512) -> np.ndarray:
+def paired(rows: list[np.ndarray], labels: np.ndarray, buckets: np.ndarray, block: int = 256) -> np.ndarray:
     """The buckets of the PAIRS pairs that tell most about the label beyond what their parts tell, if that is GAIN or more.
 
     From the four cells of each pair: chi-square of the cells less that of either part. Pairs are looked at in blocks.
