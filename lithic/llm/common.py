@@ -60,7 +60,7 @@ def staged(df: DataFrame) -> DataFrame:
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
@@ -70,13 +70,13 @@ def unstage(df: DataFrame) -> None:
     path = getattr(df, "staged_at", None) if "staged_at" not in df.columns else None
     if path and (df.sparkSession, path) in _STAGED:
         _STAGED.remove((df.sparkSession, path))
-        _delete(df.sparkSession, path)
+        delete(df.sparkSession, path)
 
 
 def _drop_staged() -> None:
     for spark, path in _STAGED:
         try:
-            _delete(spark, path)
+            delete(spark, path)
         except Exception:  # the session may have ended before the interpreter
             return
 
@@ -89,6 +89,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """`name`, longer by underscores if `df` has such a column."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -141,6 +148,7 @@ def with_columns_of_text(df: DataFrame, text_col: str, make, fields: list[tuple[
     """
     at_column = df.columns.index(text_col)
     added = spark_schema(fields)
+    names = [*df.columns, *(name for name, _ in fields)]
 
     def run(batches):
         import pyarrow as pa
@@ -148,9 +156,14 @@ def with_columns_of_text(df: DataFrame, text_col: str, make, fields: list[tuple[
         for batch in batches:
             for part, texts in text_slices(batch, at_column, slice_chars):
                 made = make(texts)
-                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *(name for name, _ in fields)])
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=names)
+
+    return numbered(df).mapInArrow(run, T.StructType([*df.schema.fields, *added.fields]))
+
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *added.fields]))
+def numbered(df: DataFrame) -> DataFrame:
+    """`df` with plain column names, since mapInArrow does not take names with dots."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
 
 
 def text_slices(batch, column: int, slice_chars: int):

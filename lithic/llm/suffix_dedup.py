@@ -6,20 +6,22 @@ which depends on its bytes alone. Grams that anchor only once cannot belong to a
 before any text moves. What is left moves as slices (the windows that share an anchor, overlapping text once); equal
 slices collapse to the earliest. Windows of different slices of one gram are compared by a `SuffixFamily`: batches in
 document order get a suffix array, are merge-scanned against the existing levels, and levels of equal size merge.
+`StoredFamily` does the same for batches of documents that come one after the other, with levels kept in a folder.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lithic.llm.common import ship, staged, text_or_empty, text_slices, unstage
+from lithic.llm.common import delete, numbered, ship, staged, text_or_empty, text_slices, unstage, unused
 
 ship(__name__)
 
@@ -30,7 +32,7 @@ _CHUNK = 1 << 19
 _LOW = np.uint64((1 << 20) - 1)
 #: Characters of text whose slices are compared before they leave a task.
 _GO = 8_000_000
-#: A gram with more rows than this is dealt out by window instead.
+#: A gram with more places than this is dealt out by window instead.
 HOT = 1 << 14
 #: Slices of complete grams that are compared together, and those in one batch of the family.
 GROUP, BATCH = 1 << 13, 1 << 11
@@ -39,35 +41,59 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class SuffixFamily:
-    """Suffix arrays (cut off at `length` bytes) of batches seen so far, in levels that at least halve in size.
+    """Suffix arrays of batches of text seen so far, in levels that at least halve in size.
 
-    `add` takes windows in document order and tells which of them occur earlier, in this batch or before.
+    A level is a text and the starts of its distinct windows of `length` bytes, in the order of the windows. `add` takes
+    a batch and tells which of its windows occur earlier, in the batch or before. A new batch is scanned along each
+    level in order, and levels of like size merge in one pass; both see `block` windows of a level at a time.
     """
 
-    def __init__(self, length: int = LENGTH):
-        self.kind = f"S{length}"
-        self.levels: list[np.ndarray] = []
-
-    def add(self, windows: np.ndarray) -> np.ndarray:
-        """windows: array of bytes, one row per window."""
-        suffixes = np.ascontiguousarray(windows).view(self.kind).ravel()
-        order = np.argsort(suffixes, kind="stable")
-        ranked = suffixes[order]
+    def __init__(self, length: int = LENGTH, block: int = 1 << 16):
+        self.length, self.block = length, block
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def _windows(self, text: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        if not len(starts):
+            return np.zeros(0, dtype=f"S{self.length}")
+        windows = np.lib.stride_tricks.sliding_window_view(text, self.length)[starts]
+        return np.ascontiguousarray(windows).view(f"S{self.length}").ravel()
+
+    def _places(self, level: tuple[np.ndarray, np.ndarray], ranked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For windows in order: how many of the level's come before each, and whether it is one of them."""
+        text, order = level
+        before, there = np.full(len(ranked), len(order)), np.zeros(len(ranked), dtype=bool)
+        done = 0
+        for at in range(0, len(order), self.block):
+            part = self._windows(text, order[at : at + self.block])
+            end = int(np.searchsorted(ranked, part[-1], "right"))
+            place = np.searchsorted(part, ranked[done:end])
+            before[done:end] = at + place
+            there[done:end] = part[place] == ranked[done:end]
+            done = end
+        return before, there
+
+    def add(self, text: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """text: the batch's bytes; starts: of its windows, in document order. True for windows that occur earlier."""
+        windows = self._windows(text, starts)
+        order = np.argsort(windows, kind="stable")
+        ranked = windows[order]
         seen = np.zeros(len(ranked), dtype=bool)
         seen[1:] = ranked[1:] == ranked[:-1]
         for level in self.levels:
-            at = np.minimum(np.searchsorted(level, ranked), len(level) - 1)
-            seen |= level[at] == ranked
-        fresh = ranked[~seen]
-        if len(fresh):
-            self.levels.append(fresh)
-        while len(self.levels) > 1 and len(self.levels[-2]) < 2 * len(self.levels[-1]):
-            last = self.levels.pop()
-            self.levels[-1] = np.sort(np.concatenate((self.levels[-1], last)), kind="stable")
+            seen |= self._places(level, ranked)[1]
+        if not seen.all():
+            self.levels.append((text, starts[order[~seen]]))
+        while len(self.levels) > 1 and len(self.levels[-2][1]) < 2 * len(self.levels[-1][1]):
+            self.levels.append(self._merged(*(self.levels.pop() for _ in range(2))))
         out = np.zeros(len(ranked), dtype=bool)
         out[order] = seen
         return out
 
+    def _merged(self, one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        small, large = sorted((one, other), key=lambda level: len(level[1]))
+        places = [self._places(large, self._windows(small[0], small[1][at : at + self.block]))[0] for at in range(0, len(small[1]), self.block)]
+        return np.concatenate((large[0], small[0])), np.insert(large[1], np.concatenate(places), small[1] + len(large[0]))
+
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the GRAM bytes from each place on: sums of 8 and 16 bytes by doubling, then mixed."""
@@ -104,7 +130,7 @@ def anchors(raw: bytes, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.n
 
 
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per gram and part of a batch: (gram, id, more); more: packed ids of the other texts that have it, not null if it came more than once."""
+    """A row per gram and part of a batch: (gram, id, places, more); more: packed ids of the other texts that have it, not null if it came more than once."""
     for batch in batches:
         for part, texts in text_slices(batch, 1, _GO):
             ids = part.column(0).to_numpy()
@@ -122,7 +148,7 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in np.flatnonzero(ends - first > 1).tolist():
                 own = owner[first[k] : ends[k]]
                 more[k] = np.unique(own)[1:].tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(gram[first]), pa.array(owner[first]), pa.array(more, pa.binary())], names=["gram", "id", "more"])
+            yield pa.RecordBatch.from_arrays([pa.array(gram[first]), pa.array(owner[first]), pa.array(ends - first), pa.array(more, pa.binary())], names=["gram", "id", "places", "more"])
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,8 +163,8 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
     for batch in batches:
-        gram, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        more = batch.column(2)
+        gram, ids, places = (batch.column(k).to_numpy() for k in range(3))
+        more = batch.column(3)
         has = more.is_valid().to_numpy(zero_copy_only=False)
         first = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1]))) if len(gram) else np.zeros(0, np.int64)
         ends = np.append(first[1:], len(gram))
@@ -152,9 +178,9 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     parts += [(open_gram, x, False) for x in held]
                 open_gram, held, many, hot, several = int(gram[a]), [], 0, False, False
             own = [ids[a:b], *(np.frombuffer(more[i].as_py(), dtype=np.int64) for i in range(a, b) if has[i])]
-            several |= many + b - a > 1 or bool(has[a:b].any())
             held += own
-            many += sum(map(len, own))
+            many += int(places[a:b].sum())
+            several |= many > 1
             if hot or many > HOT:
                 hot, several = True, False
                 parts += [(open_gram, x, True) for x in held]
@@ -165,8 +191,11 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out([(open_gram, x, False) for x in held])
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, slice, id, tie, lo, n) of windows with a repeated anchor; without slice where an equal one of the same part comes earlier."""
+def _slices(batches: Iterator[pa.RecordBatch], every: bool = False) -> Iterator[pa.RecordBatch]:
+    """(key, slice, id, tie, lo, n) of windows with a repeated anchor; without slice where an equal one of the same part comes earlier.
+
+    every: of all windows, whatever their anchors.
+    """
     for batch in batches:
         for part, texts in text_slices(batch, 0, _GO):
             ids, ties = part.column(1).to_numpy(), part.column(2).to_numpy()
@@ -174,10 +203,9 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows: list[tuple[int, bytes | None, int, int, int, int]] = []
             for k, text in enumerate(texts):
                 raw, id_, tie = text.encode("utf-8", "replace"), int(ids[k]), int(ties[k])
-                wanted = np.sort(np.array(part.column(3)[k].as_py() or [], dtype=np.int64))
-                hot = np.sort(np.array(part.column(4)[k].as_py() or [], dtype=np.int64))
+                wanted, hot = ([], []) if every else (np.sort(np.array(part.column(c)[k].as_py() or [], dtype=np.int64)) for c in (3, 4))
                 for first, last, gram in anchors(raw):
-                    found = []
+                    found = [(a, b, g, False) for a, b, g in zip(first.tolist(), last.tolist(), gram.tolist())] if every else []
                     for of, apart in ((wanted, False), (hot, True)):
                         if len(of):
                             at = np.flatnonzero(of[np.minimum(np.searchsorted(of, gram), len(of) - 1)] == gram)
@@ -200,61 +228,65 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "slice", "id", "tie", "lo", "n"])
 
 
-def _family_cuts(slices: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, int, int]]:
-    """(id, tie, lo, n) of the repeated parts of slices."""
+def _family_cuts(slices: list[tuple[int, int, int, int, bytes]]) -> list[tuple[int, int, int, int, int]]:
+    """(age, id, tie, lo, n) of the repeated parts of slices (age, id, tie, lo, bytes)."""
     family, out = SuffixFamily(), []
-    slices = sorted(slices, key=lambda s: s[:3])
+    slices = sorted(slices, key=lambda s: s[:4])
     for at in range(0, len(slices), BATCH):
         part = slices[at : at + BATCH]
-        text = np.frombuffer(b"".join(s[3] for s in part), dtype=np.uint8)
-        sizes = np.array([len(s[3]) for s in part])
+        text = np.frombuffer(b"".join(s[4] for s in part), dtype=np.uint8)
+        sizes = np.array([len(s[4]) for s in part])
         count = sizes - LENGTH + 1
         begins = np.cumsum(sizes) - sizes
         before = np.cumsum(count) - count
         place = np.arange(count.sum()) - np.repeat(before - begins, count)
-        seen = family.add(np.lib.stride_tricks.sliding_window_view(text, LENGTH)[place])
+        seen = family.add(text, place)
         owner = np.repeat(np.arange(len(part)), count)
         new = np.concatenate(([True], (seen[1:] != seen[:-1]) | (owner[1:] != owner[:-1])))
         runs = np.flatnonzero(new)
         ends = np.append(runs[1:], len(seen))
         for a, b in zip(runs[seen[runs]].tolist(), ends[seen[runs]].tolist()):
-            id_, tie, lo, _ = part[owner[a]]
-            out.append((id_, tie, lo + a - int(before[owner[a]]), b - a + LENGTH - 1))
+            age, id_, tie, lo, _ = part[owner[a]]
+            out.append((age, id_, tie, lo + a - int(before[owner[a]]), b - a + LENGTH - 1))
     return out
 
 
-def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, tie, lo, n): bytes to remove. Rows come sorted by key, slice, id, tie, lo."""
-    waiting, group, key, last, place = [], [], None, None, None
+def _cuts(newest: int = 0):
+    """(id, tie, lo, n): bytes to remove from documents of the newest age. Rows come sorted by key, slice, age, id, tie, lo."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, group, key, last, place = [], [], None, None, None
 
-    def batch_of(rows):
-        columns = list(zip(*rows)) or [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "tie", "lo", "n"])
+        def batch_of(rows):
+            columns = list(zip(*(r[1:] for r in rows if r[0] == newest))) or [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["id", "tie", "lo", "n"])
 
-    for batch in batches:
-        rows = []
-        for k, piece, id_, tie, lo, n in zip(*(c.to_pylist() for c in batch.columns)):
-            if piece is None:
-                rows.append((id_, tie, lo, n))
-                continue
-            if k != key:
-                if len(group) > 1:
-                    waiting += group
-                if len(waiting) >= GROUP:
-                    rows += _family_cuts(waiting)
-                    waiting = []
-                key, group, last = k, [], None
-            if piece != last:
-                group.append((id_, tie, lo, piece))
-                last = piece
-            elif place != (id_, tie, lo):  # equal only for rows of one document
-                rows.append((id_, tie, lo, n))
-            place = (id_, tie, lo)
-        yield batch_of(rows)
-    if len(group) > 1:
-        waiting += group
-    if waiting:
-        yield batch_of(_family_cuts(waiting))
+        for batch in batches:
+            rows = []
+            for k, piece, age, id_, tie, lo, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if piece is None:
+                    rows.append((age, id_, tie, lo, n))
+                    continue
+                if k != key:
+                    if len(group) > 1:
+                        waiting += group
+                    if len(waiting) >= GROUP:
+                        rows += _family_cuts(waiting)
+                        waiting = []
+                    key, group, last = k, [], None
+                if piece != last:
+                    group.append((age, id_, tie, lo, piece))
+                    last = piece
+                elif place != (age, id_, tie, lo):  # equal only for rows of one document
+                    rows.append((age, id_, tie, lo, n))
+                place = (age, id_, tie, lo)
+            yield batch_of(rows)
+        if len(group) > 1:
+            waiting += group
+        if waiting:
+            yield batch_of(_family_cuts(waiting))
+
+    return run
 
 
 def _kept(raw: bytes, cuts: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
@@ -289,19 +321,80 @@ def _with_cuts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     The order of documents is by (id, hash of the text): rows that share an id are separate documents unless their
     texts are equal too; then they count as one. Documents without an id come last.
     """
-    key, tie = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)), F.xxhash64(text_or_empty(text_col))
+    key, tie = _keys(id_col, text_col)
     keyed = docs.select(key.alias("id"), text_or_empty(text_col).alias("text"), tie.alias("tie"))
     long_enough = keyed.where(F.octet_length("text") >= LENGTH)
-    grams = long_enough.select("id", "text").mapInArrow(_anchored, "gram long, id long, more binary")
+    grams = long_enough.select("id", "text").mapInArrow(_anchored, "gram long, id long, places long, more binary")
     flagged = grams.repartition("gram").sortWithinPartitions("gram").mapInArrow(_repeated, "id long, gram long, hot boolean")
     per_doc = staged(flagged.groupBy("id").agg(F.collect_list(F.when(~F.col("hot"), F.col("gram"))).alias("grams"), F.collect_list(F.when(F.col("hot"), F.col("gram"))).alias("hot")))
     slices = long_enough.join(per_doc, "id").select("text", "id", "tie", "grams", "hot").mapInArrow(_slices, "key long, slice binary, id long, tie long, lo long, n long")
-    ordered = slices.repartition("key").sortWithinPartitions("key", "slice", "id", "tie", "lo")
-    cuts = staged(ordered.mapInArrow(_cuts, "id long, tie long, lo long, n long").groupBy("id", "tie").agg(F.collect_list(F.struct("lo", "n")).alias("__cuts")))
+    cuts = _joined_cuts(slices.withColumn("age", F.lit(0).cast("long")), 0)
     unstage(per_doc)
-    cuts = cuts.select(F.col("id").alias("__id"), F.col("tie").alias("__tie"), "__cuts")
-    marked = docs.withColumns({"__key": key, "__hash": tie})
-    return marked.join(cuts, (F.col("__key") == F.col("__id")) & (F.col("__hash") == F.col("__tie")), "left").drop("__key", "__hash", "__id", "__tie")
+    return _marked(docs, cuts, id_col, text_col)
+
+
+def _keys(id_col: str, text_col: str):
+    """Order of a document and hash of its text."""
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)), F.xxhash64(text_or_empty(text_col))
+
+
+def _joined_cuts(slices: DataFrame, newest: int) -> DataFrame:
+    """(id, tie, cuts) staged, from rows (key, slice, age, id, tie, lo, n)."""
+    ordered = slices.repartition("key").sortWithinPartitions("key", "slice", "age", "id", "tie", "lo").select("key", "slice", "age", "id", "tie", "lo", "n")
+    cuts = ordered.mapInArrow(_cuts(newest), "id long, tie long, lo long, n long")
+    return staged(cuts.groupBy("id", "tie").agg(F.collect_list(F.struct("lo", "n")).alias("cuts")))
+
+
+def _marked(docs: DataFrame, cuts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """`docs` with a last column of cuts, whatever its other columns are called."""
+    key, tie = _keys(id_col, text_col)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("key"), tie.alias("hash"))
+    found = rows.join(cuts, (F.col("key") == F.col("id")) & (F.col("hash") == F.col("tie")), "left")
+    return found.select(*(F.col("row").getField(c).alias(c) for c in docs.columns), F.col("cuts").alias(unused("__cuts", docs)))
+
+
+class StoredFamily:
+    """A logarithmic family of batches of documents, kept in a folder: what `add` takes is compared with all before it.
+
+    A level is a table of slices (the windows that share an anchor), in anchor order, of one batch or of several merged
+    ones. A new batch meets the slices of every level under its own anchors, where a `SuffixFamily` scans them in order
+    of age; then it becomes a level, and levels of like size merge. A batch is compared with its distinct anchors'
+    slices only; slices that stand in an older level are not stored again.
+    """
+
+    COLUMNS = ("key", "slice", "age", "id", "tie", "lo", "n")
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self.age = spark, folder.rstrip("/"), 0
+        self.levels: list[tuple[str, int]] = []
+
+    def _write(self, slices: DataFrame) -> tuple[str, int]:
+        path = f"{self.folder}/level-{uuid.uuid4().hex}"
+        slices.repartition("key").sortWithinPartitions("key").select(*self.COLUMNS).write.parquet(path)
+        return path, self.spark.read.parquet(path).count()
+
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """As `repeats`, for a new batch: bytes go that a window covers which starts earlier in it or in any batch before."""
+        key, tie = _keys(id_col, text_col)
+        texts = docs.select(text_or_empty(text_col).alias("text"), key.alias("id"), tie.alias("tie")).where(F.octet_length("text") >= LENGTH)
+        made = texts.mapInArrow(lambda batches: _slices(batches, every=True), "key long, slice binary, id long, tie long, lo long, n long")
+        new = staged(made.withColumn("age", F.lit(self.age).cast("long")).select(*self.COLUMNS))
+        met = new
+        for path, _ in self.levels:
+            met = met.union(self.spark.read.parquet(path).join(new.where("slice is not null").select("key").distinct(), "key", "left_semi").select(*self.COLUMNS))
+        cuts = _joined_cuts(met, self.age)
+        fresh = new.where("slice is not null").dropDuplicates(["key", "slice"])
+        for path, _ in self.levels:
+            fresh = fresh.join(self.spark.read.parquet(path).select("key", "slice"), ["key", "slice"], "left_anti")
+        self.levels.append(self._write(fresh))
+        unstage(new)
+        while len(self.levels) > 1 and self.levels[-2][1] < 2 * self.levels[-1][1]:
+            pair = [self.levels.pop()[0] for _ in range(2)]
+            self.levels.append(self._write(self.spark.read.parquet(*pair)))
+            for path in pair:
+                delete(self.spark, path)
+        self.age += 1
+        return _repeats(docs, lambda lean, name: _marked(lean, cuts, id_col, name), id_col, text_col)
 
 
 def _finish(marked: DataFrame, text_col: str, fields: list[T.StructField], make) -> DataFrame:
@@ -312,9 +405,10 @@ def _finish(marked: DataFrame, text_col: str, fields: list[T.StructField], make)
         for batch in batches:
             rows = [make((text or "").encode("utf-8", "replace"), [(c["lo"], c["n"]) for c in cuts or []]) for text, cuts in zip(batch.column(at).to_pylist(), batch.column(last).to_pylist())]
             made = [pa.array(c, pa.int64() if f.dataType == T.LongType() else pa.string()) for c, f in zip(list(zip(*rows)) or [()] * len(fields), fields)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:last], *made], names=[*batch.schema.names[:last], *(f.name for f in fields)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:last], *made], names=names)
 
-    return marked.mapInArrow(run, T.StructType([*marked.schema.fields[:last], *fields]))
+    names = [*marked.columns[:last], *(f.name for f in fields)]
+    return numbered(marked).mapInArrow(run, T.StructType([*marked.schema.fields[:last], *fields]))
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -324,22 +418,26 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     document of its own unless its text is equal too: such rows count as one document and get the same result. Other
     columns are ignored; an empty table gives no rows.
     """
+    return _repeats(docs, lambda lean, name: _with_cuts(lean, id_col, name), id_col, text_col)
+
 
+def _repeats(docs: DataFrame, marked, id_col: str, text_col: str) -> DataFrame:
     def make(raw, cuts):
         removed, kept = _kept(raw, cuts)
         return len(raw), sum(b - a for a, b in removed), len(removed), hashlib.sha256(b"".join(raw[a:b] for a, b in kept)).hexdigest()
 
     fields = [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept_sha256", T.StringType())]
     lean = docs.select(F.col(id_col).alias(id_col), text_or_empty(text_col).alias("__text"))
-    return _finish(_with_cuts(lean, id_col, "__text"), "__text", fields, make).drop("__text")
+    return _finish(marked(lean, "__text"), "__text", fields, make).drop("__text")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """`docs` with repeats taken out of the texts, whole characters only; null texts stay null. chars_col is kept true."""
-    field = T.StructField("__kept", T.StringType())
+    kept = unused("__kept", docs)
+    field = T.StructField(kept, T.StringType())
     made = _finish(_with_cuts(docs, id_col, text_col), text_col, [field], lambda raw, cuts: (_whole_characters(raw, _kept(raw, cuts)[0]),))
     there = F.col(text_col).isNotNull()
-    changed = {text_col: F.when(there, F.col("__kept"))}
+    changed = {text_col: F.when(there, F.col(kept))}
     if chars_col in docs.columns:
-        changed[chars_col] = F.when(there, F.length("__kept").cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col))
-    return made.select(*(changed.get(c, F.col(c)).alias(c) for c in docs.columns))
+        changed[chars_col] = F.when(there, F.length(kept).cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col))
+    return made.select(*(changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))

@@ -70,18 +70,19 @@ def test_planted_repeats(spark, monkeypatch, sizes):
     assert rows[104].text == "" and rows[0].n_chars == len(rows[0].text)
 
 
-def test_family_keeps_levels_geometric():
+@pytest.mark.parametrize("block", [1 << 16, 5])
+def test_family_keeps_levels_geometric(block):
     rng = np.random.default_rng(3)
     pool = rng.integers(97, 99, (500, 12), dtype=np.uint8)
-    family, seen = s.SuffixFamily(12), set()
+    family, seen = s.SuffixFamily(12, block), set()
     for _ in range(40):
         batch = pool[rng.integers(0, 500, 37)]
         expected = []
         for w in batch:
             expected.append(bytes(w) in seen)
             seen.add(bytes(w))
-        assert family.add(batch).tolist() == expected
-        sizes = [len(x) for x in family.levels]
+        assert family.add(batch.ravel(), np.arange(len(batch)) * 12).tolist() == expected
+        sizes = [len(order) for _, order in family.levels]
         assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:])) and sum(sizes) == len(seen)
 
 
@@ -92,3 +93,38 @@ def test_repeated_null_and_missing_ids(spark):
     alone = brute([(1, long)])[1][1]
     assert got == [(0, len(long)), (1, alone), (1, alone)]
     assert s.repeats(docs.limit(0)).count() == 0 and s.without_repeats(docs.limit(0)).columns == docs.columns
+
+
+def test_batches_of_documents_against_a_stored_family(spark, tmp_path):
+    """Four batches in turn equal all documents at once, in the order of batches."""
+    rows = planted()
+    order = sorted(rows, key=lambda r: (r[0] % 4, r[0]))
+    expected = brute([(n, text) for n, (_, text) in enumerate(order)])
+    family, at = s.StoredFamily(spark, str(tmp_path)), 0
+    for part in range(4):
+        batch = [r for r in order if r[0] % 4 == part]
+        got = {r.doc_id: tuple(r[1:]) for r in family.add(spark.createDataFrame(batch, "doc_id long, text string")).collect()}
+        assert got == {i: expected[at + n] for n, (i, _) in enumerate(batch)}
+        at += len(batch)
+        sizes = [n for _, n in family.levels]
+        assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
+    assert len(list(tmp_path.iterdir())) == len(family.levels)
+
+
+def test_places_of_a_gram_within_one_text_are_dealt_out(spark, monkeypatch):
+    """A gram that comes very often in one text is hot, and its windows go to many keys."""
+    monkeypatch.setattr(s, "HOT", 1000)
+    rng = random.Random(7)
+    gram = "the very same two dozen bytes and more"
+    text = "".join(gram + "".join(rng.choice("abcdefgh") for _ in range(70)) for _ in range(3000))
+    rows = [(1, text), (2, text[50_000:60_000])]
+    check(spark, rows)
+    docs = spark.createDataFrame(rows, "id long, text string")
+    flagged = docs.repartition(1).mapInArrow(s._anchored, "gram long, id long, places long, more binary").repartition("gram").sortWithinPartitions("gram").mapInArrow(s._repeated, "id long, gram long, hot boolean")
+    assert flagged.where("hot").count() > 0
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "x" * 300, "a", "b", "c", "d")], "doc_id long, text string, __key string, __kept string, cuts string, `a.b` string")
+    kept = s.without_repeats(docs)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(1, "x", "a", "b", "c", "d")]
