@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lithic.llm.common import ship, shuffle_width, staged, text_or_empty, with_columns_of_text
+from lithic.llm.common import ship, shuffle_width, staged, text_or_empty, unused, with_columns_of_text
 
 ship(__name__)
 
@@ -169,12 +169,13 @@ def patterns(histogram: dict[int, int], size: int) -> list[tuple[int, tuple[int,
 
 
 def pack(cut: DataFrame, size: int = SIZE) -> DataFrame:
-    """Adds sequence_id and offset to pieces (id, start, length, ...) whose lengths are between 1 and `size`.
+    """Adds sequence_id and offset, in place of columns of those names, to pieces (id, start, length, ...) whose lengths are between 1 and `size`.
 
     Pieces of one length are interchangeable: those of the smallest rank go to the first slots. Ranks are counted
     within (length, bucket), buckets by hash, and shifted by the sizes of the buckets before, so a length that holds
     most pieces is dealt over all buckets.
     """
+    cut = cut.drop("sequence_id", "offset")
     histogram = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots: dict[int, list[tuple[int, int, int]]] = {}
     sequence = 0
@@ -184,11 +185,12 @@ def pack(cut: DataFrame, size: int = SIZE) -> DataFrame:
             slots.setdefault(length, []).append((n, sequence, offset))
             offset += length
         sequence += n
+    at_length = cut.columns.index("length")
     places = {length: (np.cumsum([0, *(x[0] for x in s)])[:-1], np.array([x[1] for x in s]), np.array([x[2] for x in s])) for length, s in slots.items()}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
+            length, rank = (batch.column(k).to_numpy(zero_copy_only=False) for k in (at_length, len(batch.columns) - 1))
             sequence_id, offset = np.zeros(len(rank), dtype=np.int64), np.zeros(len(rank), dtype=np.int64)
             for value in np.unique(length):
                 own = np.flatnonzero(length == value)
@@ -198,13 +200,14 @@ def pack(cut: DataFrame, size: int = SIZE) -> DataFrame:
                 offset[own] = at[slot]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence_id), pa.array(offset)], names=[*batch.schema.names[:-1], "sequence_id", "offset"])
 
-    named = cut.columns
-    bucketed = cut.withColumn("bucket", F.pmod(F.xxhash64("id", "start"), F.lit(shuffle_width(cut.sparkSession))))
+    row = F.struct(*(F.col(f"`{c}`") for c in cut.columns)).alias("row")
+    bucketed = cut.select(row, "id", "start", "length", F.pmod(F.xxhash64("id", "start"), F.lit(shuffle_width(cut.sparkSession))).alias("bucket"))
     sizes = bucketed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
     within = Window.partitionBy("length", "bucket").orderBy("id", "start")
-    ranked = bucketed.withColumn("at", F.row_number().over(within) - 1).join(shifts, ["length", "bucket"]).select(*named, (F.col("at") + F.col("shift")).alias("rank"))
+    placed = bucketed.withColumn("at", F.row_number().over(within) - 1).join(shifts, ["length", "bucket"])
+    ranked = placed.select(*(F.col("row").getField(c).alias(c) for c in cut.columns), (F.col("at") + F.col("shift")).alias(unused("rank", cut)))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema)
     return ranked.mapInArrow(place, f"{kinds}, sequence_id long, offset long")
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithic.llm.common import ship, text_or_empty, with_columns_of_text
+from lithic.llm.common import ship, text_or_empty, unused, with_columns_of_text
 
 ship(__name__)
 
@@ -40,7 +40,9 @@ _LOOSE_PHONE = re.compile(r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SECRET = re.compile(r"(?<=[\"'=: ])[A-Za-z0-9_+/-]{20,}(?![A-Za-z0-9])")
-_HIDDEN_MAIL = re.compile(r"[A-Za-z0-9._-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]{2,63})+")
+_HIDDEN_AT = re.compile(r" ?[\[(]at[\])] ?")
+_HIDDEN_HOST = re.compile(r"[A-Za-z0-9-]+(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]{2,})+")
+_HIDDEN_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._-")
 
 #: Words that speak for a kind nearby, and words that speak against any.
 CONTEXT = {
@@ -100,7 +102,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def _loose(text: str):
     if "[at]" in text or "(at)" in text:
-        yield from ((0, m.start(), m.end()) for m in _HIDDEN_MAIL.finditer(text))
+        end = 0
+        for mark in _HIDDEN_AT.finditer(text):
+            start = mark.start()
+            while start > end and text[start - 1] in _HIDDEN_LOCAL:
+                start -= 1
+            host = _HIDDEN_HOST.match(text, mark.end()) if start < mark.start() else None
+            if host:
+                end = host.end()
+                yield 0, start, end
     if _DIGIT.search(text):
         yield from ((3, m.start(), m.end()) for m in _LOOSE_PHONE.finditer(text))
         yield from ((5, m.start(), m.end()) for m in _SSN.finditer(text))
@@ -148,9 +158,12 @@ def candidates(text: str) -> list[tuple[int, int, int, bool, int, int]]:
     base = base_spans(text)
     taken = sorted((a, b) for _, a, b in base)
     found = [(k, a, b, True) for k, a, b in base]
-    last = -1
+    last, at, reach = -1, 0, -1
     for k, a, b in sorted(_loose(text), key=lambda x: (x[1], -x[2], x[0])):
-        if a >= last and not any(x < b and a < y for x, y in taken):
+        while at < len(taken) and taken[at][0] <= a:
+            reach = max(reach, taken[at][1])
+            at += 1
+        if a >= last and a >= reach and not (at < len(taken) and taken[at][0] < b):
             found.append((k, a, b, False))
             last = b
     code = lambda votes: sum(v * 3**i for i, v in enumerate(votes))
@@ -273,7 +286,9 @@ def redacted(text: str, model: SpanModel) -> str:
 
 def redact(docs: DataFrame, model: SpanModel, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """`docs` with every found span replaced by its kind in angle brackets; null texts stay null. chars_col is kept true."""
-    made = with_columns_of_text(docs, text_col, lambda texts: [pa.array([redacted(t, model) for t in texts], pa.string())], [("__clean", "string")])
-    clean = F.when(F.col(text_col).isNotNull(), F.col("__clean"))
-    chars = [F.length("__clean").cast(docs.schema[chars_col].dataType)] if chars_col in docs.columns else []
-    return made.select(*(clean.alias(c) if c == text_col else (F.when(F.col(text_col).isNotNull(), chars[0]).otherwise(F.col(c)).alias(c) if chars and c == chars_col else F.col(c)) for c in docs.columns))
+    hidden = unused("__clean", docs)
+    made = with_columns_of_text(docs, text_col, lambda texts: [pa.array([redacted(t, model) for t in texts], pa.string())], [(hidden, "string")])
+    there, changed = F.col(text_col).isNotNull(), {text_col: F.when(F.col(text_col).isNotNull(), F.col(hidden))}
+    if chars_col in docs.columns:
+        changed[chars_col] = F.when(there, F.length(hidden).cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col))
+    return made.select(*(changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))

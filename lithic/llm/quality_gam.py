@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithic.llm.common import labelled_sample, ship, text_or_empty, with_columns_of_text
+from lithic.llm.common import labelled_sample, ship, text_or_empty, unused, with_columns_of_text
 
 ship(__name__)
 
@@ -175,7 +175,5 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of `docs` that score `threshold` or more, unchanged."""
-    hidden = "__quality"
-    while hidden in docs.columns:
-        hidden += "_"
+    hidden = unused("__quality", docs)
     return with_columns_of_text(docs, text_col, _scores(model), [(hidden, "double")]).where(F.col(hidden) >= threshold).drop(hidden)

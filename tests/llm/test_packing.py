@@ -59,3 +59,10 @@ def test_patterns_place_every_length_once():
             for length in lengths:
                 placed[length] = placed.get(length, 0) + n
         assert placed == histogram
+
+
+def test_clashing_columns(spark):
+    cut = spark.createDataFrame([(1, 0, 5, "a", "b", "c", 7), (2, 0, 4000, "d", "e", "f", 8)], "id long, start long, length long, bucket string, rank string, at string, sequence_id int")
+    got = p.pack(cut)
+    assert got.columns == ["id", "start", "length", "bucket", "rank", "at", "sequence_id", "offset"]
+    assert sorted(r["rank"] for r in got.collect()) == ["b", "e"]

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -91,3 +92,18 @@ def test_edge_texts(spark, text):
     assert [r.n_email for r in rows] == [0, 0, 1] or text and "a." in text
     assert rows[0] == rows[1] and p.redact(frame, model).columns == frame.columns
     assert p.find(frame.limit(0), model).count() == 0 and p.fit(frame.limit(0)).weights.any()
+
+
+def test_many_spans_and_long_addresses(spark):
+    """Work grows with the spans, not with their pairs; obfuscated addresses are taken whole."""
+    began = time.time()
+    text = " ".join(f"a{i}@b.com call 555-123-{1000 + i % 9000}" for i in range(20_000))
+    assert len(p.candidates(text)) == 40_000 and time.time() - began < 20
+    long = "a" * 200 + "[at]" + "b" * 100 + ".example.com"
+    assert [c[1:3] for c in p.candidates("mail " + long) if c[0] == 0] == [(5, 5 + len(long))]
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.com", "x", "y")], "doc_id long, text string, __clean string, `a.b` string")
+    got = p.redact(docs, p.train([]))
+    assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [(1, "mail <EMAIL>", "x", "y")]
