@@ -12,11 +12,12 @@ told apart by 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lithic.llm.common import ship, staged, unstage
@@ -25,6 +26,7 @@ ship(__name__)
 
 SHINGLE = 5
 SEED = 42
+_COLUMNS, _KINDS = ["key", "fp", "size", "place", "sim"], "key long, fp long, size int, place int, sim long"
 #: Documents whose shingles are counted, how many of them must share one, and how many such shingles are kept at most.
 SAMPLE, SHARED, COMMON = 8192, 3, 65536
 #: Members of a shingle that are compared at a time with all that follow.
@@ -63,8 +65,8 @@ def simhash(own: np.ndarray) -> int:
 
 
 def close(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(a, b), a < b, of the pairs in one shingle (set, size, place, group: sorted by size) of different groups that may share 4/5."""
-    fp, size, place, group = rows
+    """(a, b), a < b, of the pairs of different groups in one shingle (set, size, place, fingerprint, group, parities: sorted by size) that may share 4/5."""
+    fp, size, place, _, group, *odd = rows
     a, b = [], []
     for at in range(0, len(fp), _BLOCK):
         # a set is followed by larger ones: up to 5/4 of its size
@@ -74,7 +76,9 @@ def close(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         most = np.minimum(small - place[mine, None], large - place[None, others])
         later = (np.arange(at, end)[None, :] > np.arange(at, mine.stop)[:, None]) & (group[mine, None] != group[None, others])
         i, j = np.nonzero(later & (5 * small >= 4 * large) & (9 * most >= 4 * (small + large)))
-        x, y = fp[mine][i], fp[others][j]
+        apart = sum((np.bitwise_count((o[mine][i] ^ o[others][j]).view(np.uint64)).astype(np.int64) for o in odd), np.zeros(len(i), dtype=np.int64))
+        near = 9 * apart <= size[mine][i].astype(np.int64) + size[others][j]
+        x, y = fp[mine][i[near]], fp[others][j[near]]
         a.append(np.minimum(x, y))
         b.append(np.maximum(x, y))
     return np.concatenate(a), np.concatenate(b)
@@ -82,19 +86,33 @@ def close(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def around(rows: list[np.ndarray], pivot: int) -> tuple[np.ndarray, np.ndarray]:
     """(a, b), a < b, of one set in a shingle and the others that may share 4/5 with it (columns as in `close`)."""
-    fp, size, place, _ = rows
+    fp, size, place = rows[:3]
     small, large = np.minimum(size, size[pivot]), np.maximum(size, size[pivot])
     most = np.minimum(size - place, size[pivot] - place[pivot])
     found = (5 * small >= 4 * large) & (9 * most >= 4 * (small + large)) & (fp != fp[pivot])
     return np.minimum(fp[found], fp[pivot]), np.maximum(fp[found], fp[pivot])
 
 
+def middle(sims: np.ndarray) -> int:
+    """The fingerprint nearest to the bitwise majority: of copies of one text, this is the text that they were made from."""
+    ones = np.unpackbits(np.ascontiguousarray(sims).view(np.uint8)).reshape(len(sims), 64).sum(axis=0, dtype=np.int64)
+    major = np.packbits(2 * ones > len(sims)).view(np.int64)[0]
+    return int(np.argmin(np.bitwise_count((sims ^ major).view(np.uint64))))
+
+
+def parities(own: np.ndarray) -> np.ndarray:
+    """1,024 bits: whether an odd number of shingles falls to each. Two sets differ in at least as many shingles as bits."""
+    odd = np.bincount(own & 1023, minlength=1024) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        own = (shingles(t.as_py()) for t in batch.column(1))
-        found = [(digest(s), simhash(s)) for s in own]
-        columns = zip(*found) if found else ((), ())
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=["id", "fp", "sim"])
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            own = [shingles(t.as_py()) for t in part.column(1)]
+            columns = [pa.array([make(s) for s in own], pa.int64()) for make in (digest, simhash, len)]
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns, pa.array([parities(s) for s in own], pa.list_(pa.int64()))], names=["id", "fp", "sim", "n", "odd"])
 
 
 def _sets(chosen=None):
@@ -143,13 +161,13 @@ class Bits:
 
 
 def _prefixes(common: np.ndarray):
-    """Rows (key, fp, size, place) of the prefix of each set; `common` is sorted."""
+    """Rows (key, fp, size, place, sim) of the prefix of each set; `common` is sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                key, fp, size, place = [], [], [], []
+                key, fp, size, place, sim = [], [], [], [], []
                 for text in batch.column(0).slice(at, 512):
                     own = shingles(text.as_py())
                     if not len(own) or (one := digest(own)) in seen:
@@ -161,8 +179,9 @@ def _prefixes(common: np.ndarray):
                     fp.append(np.full(n, one))
                     size.append(np.full(n, len(own), dtype=np.int32))
                     place.append(np.arange(n, dtype=np.int32))
+                    sim.append(np.full(n, simhash(own)))
                 if key:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (key, fp, size, place)], names=["key", "fp", "size", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (key, fp, size, place, sim)], names=_COLUMNS)
 
     return run
 
@@ -187,7 +206,7 @@ def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows (key, fp, size, place), once each, of shingles that two sets or more have. Rows come sorted by key and set."""
+    """The rows, once each, of shingles that two sets or more have. Rows come sorted by key and set."""
     for columns in _by_key(batches):
         key, fp = columns[:2]
         fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])))
@@ -195,24 +214,30 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = columns[0]
         same = np.concatenate(([False], key[1:] == key[:-1]))
         shared = same | np.append(same[1:], False)
-        yield pa.RecordBatch.from_arrays([pa.array(x[shared]) for x in columns], names=["key", "fp", "size", "place"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[shared]) for x in columns], names=_COLUMNS)
 
 
 def _paired(stars: bool):
-    """Pairs of sets of different groups, or per key only those of one of its sets (a different one in each key).
+    """Pairs of sets of different groups, or per key only those of a few of its sets: the middle one and others by chance,
+    about as many as the logarithm of their number.
 
-    Rows (key, fp, size, place, group) come sorted by key, size and set.
+    Rows (key, fp, size, place, sim, group) come sorted by key, size and set.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, *rest in _by_key(batches):
             starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             ends, found, n = np.append(starts[1:], len(key)), [], 0
-            apart = np.minimum.reduceat(rest[3], starts) != np.maximum.reduceat(rest[3], starts)
+            apart = np.minimum.reduceat(rest[4], starts) != np.maximum.reduceat(rest[4], starts)
             for s, e in zip(starts[apart].tolist(), ends[apart].tolist()):
                 rows = [x[s:e] for x in rest]
-                found.append(around(rows, int(key[s]) % (e - s)) if stars else close(rows))
-                n += len(found[-1][0])
+                if stars:
+                    chance = (int(key[s]) + np.arange(int(e - s).bit_length() - 1) * 0x9E3779B1) % (e - s)
+                    made = [around(rows, p) for p in {middle(rows[3]), *chance.tolist()}]
+                else:
+                    made = [close(rows)]
+                found += made
+                n += sum(len(x[0]) for x in made)
                 if n > 1 << 17:
                     yield _pairs_of(found)
                     found, n = [], 0
@@ -235,16 +260,20 @@ def common_shingles(texts: DataFrame) -> np.ndarray:
 
 
 def described(texts: DataFrame) -> DataFrame:
-    """(id, fp, sim) of every row of `texts` (id, text): digest and fingerprint of its set of shingles."""
-    return texts.mapInArrow(_described, f"id {texts.schema['id'].dataType.simpleString()}, fp long, sim long")
+    """(id, fp, sim, n, odd) of every row of `texts` (id, text): digest, fingerprint, size and parities of its set of shingles."""
+    return texts.mapInArrow(_described, f"id {texts.schema['id'].dataType.simpleString()}, fp long, sim long, n long, odd array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of digests whose sets share 4/5 of their union, by the whole sets, made again from `texts`.
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of digests whose sets share 4/5 of their union; nodes: (fp, n, odd) of each.
 
-    Only sets that may be in `pairs` leave their task. They are compared by 32 bits of each hash, counted so that no pair
-    is lost; a pair one shingle short of 4/5 passes once in 100,000.
+    Pairs whose parities show that more than a ninth of their shingles differ are out. The others are compared by the
+    whole sets, made again from `texts`; only sets that may be in such pairs leave their task. Sets are compared by 32
+    bits of each hash, counted so that no pair is lost; a pair one shingle short of 4/5 passes once in 100,000.
     """
+    of = lambda k: nodes.select(F.col("fp").alias(k), F.struct("n", "odd").alias(f"of_{k}"))
+    apart = F.aggregate(F.zip_with("of_a.odd", "of_b.odd", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
+    pairs = staged(pairs.join(of("a"), "a").join(of("b"), "b").where(9 * apart <= F.col("of_a.n") + F.col("of_b.n")).select("a", "b"))
     ends = staged(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct())
     sets = staged(texts.select("text").mapInArrow(_sets(Bits(ends, "fp")), "fp long, n int, own array<int>").join(ends, "fp", "left_semi").dropDuplicates(["fp"]))
     unstage(ends)
@@ -253,26 +282,32 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     shared = F.size(F.array_intersect("x.own", "y.own")) + lost("x") + lost("y")
     out = staged(pairs.join(x, "a").join(y, "b").where(9 * shared >= 4 * (F.col("x.n") + F.col("y.n"))).select("a", "b"))
     unstage(sets)
+    unstage(pairs)
     return out
 
 
 def meeting(texts: DataFrame) -> DataFrame:
-    """(key, fp, size, place) of the prefixes of all sets, of keys that two sets or more have."""
-    keyed = texts.select("text").mapInArrow(_prefixes(common_shingles(texts)), "key long, fp long, size int, place int")
-    return keyed.repartition("key").sortWithinPartitions("key", "fp").select("key", "fp", "size", "place").mapInArrow(_met, "key long, fp long, size int, place int")
+    """(key, fp, size, place, sim) of the prefixes of all sets, of keys that two sets or more have."""
+    keyed = texts.select("text").mapInArrow(_prefixes(common_shingles(texts)), _KINDS)
+    return keyed.repartition("key").sortWithinPartitions("key", "fp").select(*_COLUMNS).mapInArrow(_met, _KINDS)
 
 
 def _grouped(met: DataFrame, stars: bool) -> DataFrame:
-    dealt = met.repartition("key").sortWithinPartitions("key", "size", "fp").select("key", "fp", "size", "place", "group")
+    more = [c for c in met.columns if c not in _COLUMNS]
+    dealt = met.repartition("key").sortWithinPartitions("key", "size", "fp").select(*_COLUMNS, *more)
     return dealt.mapInArrow(_paired(stars), "a long, b long").distinct()
 
 
 def few_candidates(met: DataFrame) -> DataFrame:
-    """(a, b): pairs that may share 4/5, for each key only those of one set; as many as there are rows at most."""
+    """(a, b): pairs that may share 4/5, for each key only those of a few of its sets, by the logarithm of their number."""
     return _grouped(met.withColumn("group", F.col("fp")), True)
 
 
-def candidates(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b): all pairs that meet in a key and may share 4/5, but for those that `roots` (node, root) has linked already."""
-    linked = met.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    return _grouped(linked.withColumn("group", F.coalesce("root", "fp")), False)
+def candidates(met: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): all pairs that meet in a key and may share 4/5, but for those that `roots` (node, root) has linked already.
+
+    The parities of nodes (fp, odd) go along, folded to 256 bits, so that most pairs that cannot share 4/5 are not made.
+    """
+    folded = [reduce(Column.bitwiseXOR, (F.element_at("odd", k + 4 * j + 1) for j in range(4))).alias(f"odd{k}") for k in range(4)]
+    marked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("group"), *folded)
+    return _grouped(met.join(marked, "fp"), False)

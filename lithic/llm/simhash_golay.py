@@ -228,16 +228,16 @@ def alike(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     rows = staged(shingle_copies.described(texts))
-    nodes = staged(rows.groupBy("fp").agg(F.min("id").alias("first"), F.min("sim").alias("sim")))
+    nodes = staged(rows.groupBy("fp").agg(F.min("id").alias("first"), *(F.any_value(c).alias(c) for c in ("sim", "n", "odd"))))
     first = staged(nodes.groupBy("sim").agg(F.min("fp").alias("fp")))
     equal = nodes.join(first.withColumnRenamed("fp", "a"), "sim").select("a", F.col("fp").alias("b")).where("a <> b")
     apart = links(first.select(F.col("sim").alias("fp"))).distinct()
     of = lambda name: first.select(F.col("sim").alias(name), F.col("fp").alias(f"{name}_fp"))
     near = apart.join(of("a"), "a").join(of("b"), "b").select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b"))
     met = staged(shingle_copies.meeting(texts))
-    edges = shingle_copies.verified(staged(equal.union(near).union(shingle_copies.few_candidates(met)).distinct()), texts)
+    edges = shingle_copies.verified(staged(equal.union(near).union(shingle_copies.few_candidates(met)).distinct()), nodes, texts)
     roots = staged(components(edges))
-    rest = shingle_copies.verified(staged(shingle_copies.candidates(met, roots)), texts)
+    rest = shingle_copies.verified(staged(shingle_copies.candidates(met, nodes, roots)), nodes, texts)
     unstage(met)
     of_set = _component_ids(nodes, components(edges.union(rest)))
     return rows.join(of_set, "fp").select(F.col("id").alias(id_col), "component_id")

@@ -32,7 +32,7 @@ _CHUNK = 1 << 19
 _LOW = np.uint64((1 << 20) - 1)
 #: Characters of text whose slices are compared before they leave a task.
 _GO = 8_000_000
-#: A gram with more places than this is dealt out by window instead.
+#: A gram in more documents than this, or with four times as many places, is dealt out by window instead.
 HOT = 1 << 14
 #: Slices of complete grams that are compared together, and those in one batch of the family.
 GROUP, BATCH = 1 << 13, 1 << 11
@@ -153,7 +153,7 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, gram, hot) for grams that came more than once. Rows come sorted by gram."""
-    open_gram, held, many, hot, several = None, [], 0, False, False
+    open_gram, held, many, spots, hot, several = None, [], 0, 0, False, False
 
     def out(parts: list[tuple[int, np.ndarray, bool]]) -> pa.RecordBatch:
         sizes = [len(x[1]) for x in parts]
@@ -176,12 +176,13 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if gram[a] != open_gram:
                 if several:
                     parts += [(open_gram, x, False) for x in held]
-                open_gram, held, many, hot, several = int(gram[a]), [], 0, False, False
+                open_gram, held, many, spots, hot, several = int(gram[a]), [], 0, 0, False, False
             own = [ids[a:b], *(np.frombuffer(more[i].as_py(), dtype=np.int64) for i in range(a, b) if has[i])]
             held += own
-            many += int(places[a:b].sum())
-            several |= many > 1
-            if hot or many > HOT:
+            many += sum(map(len, own))
+            spots += int(places[a:b].sum())
+            several |= spots > 1
+            if hot or many > HOT or spots > 4 * HOT:
                 hot, several = True, False
                 parts += [(open_gram, x, True) for x in held]
                 held = []

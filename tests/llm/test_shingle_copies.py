@@ -68,9 +68,26 @@ def test_groups_that_fingerprints_link_are_not_paired_again(spark):
     texts = frame.selectExpr("doc_id as id", "text")
     found = s.described(texts)
     roots = found.selectExpr("fp as node", "1L as root")
-    assert s.candidates(s.meeting(texts), roots).count() == 0
+    assert s.candidates(s.meeting(texts), found, roots).count() == 0
 
 
 def test_rows_of_one_id(spark):
     frame = spark.createDataFrame([(1, "a b c", 1), (1, "a b c", 2), (2, "a b c", 3), (1, "other", 4), (None, "a b c", 5)], "doc_id long, text string, fp int")
     assert sorted((tuple(r) for r in g.one_of_each(frame).select("doc_id", "text").collect()), key=repr) == [(1, "a b c"), (1, "other"), (None, "a b c")]
+
+
+def test_parities_never_rule_out_what_shares_four_fifths():
+    rng = random.Random(11)
+    for _ in range(300):
+        n = rng.randint(1, 900)
+        a = [rng.getrandbits(63) * rng.choice((1, -1)) for _ in range(n)]
+        b = [x if rng.random() > 0.15 else rng.getrandbits(63) for x in a]
+        a, b = (s.np.unique(s.np.array(x, dtype=s.np.int64)) for x in (a, b))
+        folded = [s.np.bitwise_xor.reduce(s.parities(x).reshape(4, 4), axis=0) for x in (a, b)]
+        for x, y in ((s.parities(a), s.parities(b)), folded):
+            apart = int(s.np.bitwise_count((x ^ y).view(s.np.uint64)).sum())
+            assert apart <= len(s.np.setxor1d(a, b))
+        order = s.np.argsort([len(a), len(b)], kind="stable")
+        columns = [s.np.array(c)[order] for c in ([1, 2], [len(a), len(b)], [0, 0], [0, 0], [1, 2], *zip(*folded))]
+        found = s.close(columns)
+        assert len(found[0]) or 5 * len(s.np.intersect1d(a, b)) < 4 * len(s.np.union1d(a, b))

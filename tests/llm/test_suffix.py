@@ -113,7 +113,7 @@ def test_batches_of_documents_against_a_stored_family(spark, tmp_path):
 
 def test_places_of_a_gram_within_one_text_are_dealt_out(spark, monkeypatch):
     """A gram that comes very often in one text is hot, and its windows go to many keys."""
-    monkeypatch.setattr(s, "HOT", 1000)
+    monkeypatch.setattr(s, "HOT", 500)
     rng = random.Random(7)
     gram = "the very same two dozen bytes and more"
     text = "".join(gram + "".join(rng.choice("abcdefgh") for _ in range(70)) for _ in range(3000))
