@@ -29,6 +29,8 @@ SEED = 42
 _COLUMNS, _KINDS = ["key", "fp", "size", "place", "sim"], "key long, fp long, size int, place int, sim long"
 #: Documents whose shingles are counted, how many of them must share one, and how many such shingles are kept at most.
 SAMPLE, SHARED, COMMON = 8192, 3, 65536
+#: Bits in which the fingerprints of probable copies differ at most; those that share 4/5 differ in ten on average.
+NEAR_BITS = 14
 #: Members of a shingle that are compared at a time with all that follow.
 _BLOCK = 256
 
@@ -85,11 +87,12 @@ def close(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def around(rows: list[np.ndarray], pivot: int) -> tuple[np.ndarray, np.ndarray]:
-    """(a, b), a < b, of one set in a shingle and the others that may share 4/5 with it (columns as in `close`)."""
-    fp, size, place = rows[:3]
+    """(a, b), a < b, of one set in a shingle and the others that probably share 4/5 with it (columns as in `close`)."""
+    fp, size, place, sim = rows[:4]
     small, large = np.minimum(size, size[pivot]), np.maximum(size, size[pivot])
     most = np.minimum(size - place, size[pivot] - place[pivot])
     found = (5 * small >= 4 * large) & (9 * most >= 4 * (small + large)) & (fp != fp[pivot])
+    found &= np.bitwise_count((sim ^ sim[pivot]).view(np.uint64)) <= NEAR_BITS
     return np.minimum(fp[found], fp[pivot]), np.maximum(fp[found], fp[pivot])
 
 
@@ -218,8 +221,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _paired(stars: bool):
-    """Pairs of sets of different groups, or per key only those of a few of its sets: the middle one and others by chance,
-    about as many as the logarithm of their number.
+    """Pairs of sets of different groups, or per key only those of two of its sets: the middle one, and one by chance.
 
     Rows (key, fp, size, place, sim, group) come sorted by key, size and set.
     """
@@ -232,8 +234,7 @@ def _paired(stars: bool):
             for s, e in zip(starts[apart].tolist(), ends[apart].tolist()):
                 rows = [x[s:e] for x in rest]
                 if stars:
-                    chance = (int(key[s]) + np.arange(int(e - s).bit_length() - 1) * 0x9E3779B1) % (e - s)
-                    made = [around(rows, p) for p in {middle(rows[3]), *chance.tolist()}]
+                    made = [around(rows, p) for p in {middle(rows[3]), int(key[s]) % (e - s)}]
                 else:
                     made = [close(rows)]
                 found += made
@@ -299,15 +300,15 @@ def _grouped(met: DataFrame, stars: bool) -> DataFrame:
 
 
 def few_candidates(met: DataFrame) -> DataFrame:
-    """(a, b): pairs that may share 4/5, for each key only those of a few of its sets, by the logarithm of their number."""
+    """(a, b): pairs that probably share 4/5, for each key only those of two of its sets; twice as many as rows at most."""
     return _grouped(met.withColumn("group", F.col("fp")), True)
 
 
 def candidates(met: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """(a, b): all pairs that meet in a key and may share 4/5, but for those that `roots` (node, root) has linked already.
 
-    The parities of nodes (fp, odd) go along, folded to 256 bits, so that most pairs that cannot share 4/5 are not made.
+    The parities of nodes (fp, odd) go along, folded to 512 bits, so that most pairs that cannot share 4/5 are not made.
     """
-    folded = [reduce(Column.bitwiseXOR, (F.element_at("odd", k + 4 * j + 1) for j in range(4))).alias(f"odd{k}") for k in range(4)]
+    folded = [reduce(Column.bitwiseXOR, (F.element_at("odd", k + 8 * j + 1) for j in range(2))).alias(f"odd{k}") for k in range(8)]
     marked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("group"), *folded)
     return _grouped(met.join(marked, "fp"), False)

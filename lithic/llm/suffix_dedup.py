@@ -32,8 +32,9 @@ _CHUNK = 1 << 19
 _LOW = np.uint64((1 << 20) - 1)
 #: Characters of text whose slices are compared before they leave a task.
 _GO = 8_000_000
-#: A gram in more documents than this, or with four times as many places, is dealt out by window instead.
-HOT = 1 << 14
+#: Grams in more documents than these, or with four times as many places, are dealt out instead: windows whose starts lie
+#: in one STRIDE before the gram go where the bytes that all of them hold send them; beyond HOTTER, each window by itself.
+HOT, HOTTER, STRIDE = 1 << 14, 1 << 20, 19
 #: Slices of complete grams that are compared together, and those in one batch of the family.
 GROUP, BATCH = 1 << 13, 1 << 11
 _BASE = 0x5BD1E995_9E3779B1
@@ -111,8 +112,8 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def anchors(raw: bytes, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(first, last, gram) per run of windows with one anchor: the window starts of the run, and the anchor's hash."""
+def anchors(raw: bytes, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first, last, gram, place) per run of windows with one anchor: the window starts of the run, the anchor's hash and start."""
     data, span = np.frombuffer(raw, dtype=np.uint8), length - GRAM + 1
     for at in range(0, len(data) - length + 1, _CHUNK):
         end = min(at + _CHUNK, len(data) - length + 1)
@@ -126,7 +127,7 @@ def anchors(raw: bytes, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.n
         place = (least & _LOW).astype(np.int64)
         first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
         last = np.append(first[1:], len(place)) - 1
-        yield first + at, last + at, grams[place[first]].view(np.int64)
+        yield first + at, last + at, grams[place[first]].view(np.int64), place[first] + at
 
 
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +137,7 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = part.column(0).to_numpy()
             grams, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for k, text in enumerate(texts):
-                for _, _, gram in anchors(text.encode("utf-8", "replace")):
+                for _, _, gram, _ in anchors(text.encode("utf-8", "replace")):
                     grams.append(gram)
                     owners.append(np.full(len(gram), ids[k]))
             gram, owner = np.concatenate(grams), np.concatenate(owners)
@@ -152,15 +153,17 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, gram, hot) for grams that came more than once. Rows come sorted by gram."""
-    open_gram, held, many, spots, hot, several = None, [], 0, 0, False, False
+    """(id, gram, heat) for grams that came more than once; heat 1 beyond HOT, 2 beyond HOTTER. Rows come sorted by gram."""
+    open_gram, held, many, spots, flowing = None, [], 0, 0, False
+    beyond = lambda bound: many > bound or spots > 4 * bound
 
-    def out(parts: list[tuple[int, np.ndarray, bool]]) -> pa.RecordBatch:
+    def out(parts: list[tuple[int, np.ndarray, int]]) -> pa.RecordBatch:
         sizes = [len(x[1]) for x in parts]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([np.zeros(0, np.int64), *(x[1] for x in parts)])), pa.array(np.repeat(np.array([x[0] for x in parts], dtype=np.int64), sizes)), pa.array(np.repeat(np.array([x[2] for x in parts], dtype=bool), sizes))],
-            names=["id", "gram", "hot"],
+        columns = (
+            np.concatenate([np.zeros(0, np.int64), *(x[1] for x in parts)]), np.repeat(np.array([x[0] for x in parts], dtype=np.int64), sizes),
+            np.repeat(np.array([x[2] for x in parts], dtype=np.int32), sizes),
         )
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "gram", "heat"])
 
     for batch in batches:
         gram, ids, places = (batch.column(k).to_numpy() for k in range(3))
@@ -174,22 +177,32 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in np.flatnonzero(~single).tolist():
             a, b = int(first[k]), int(ends[k])
             if gram[a] != open_gram:
-                if several:
-                    parts += [(open_gram, x, False) for x in held]
-                open_gram, held, many, spots, hot, several = int(gram[a]), [], 0, 0, False, False
+                if spots > 1:
+                    parts += [(open_gram, x, int(beyond(HOT))) for x in held]
+                open_gram, held, many, spots, flowing = int(gram[a]), [], 0, 0, False
             own = [ids[a:b], *(np.frombuffer(more[i].as_py(), dtype=np.int64) for i in range(a, b) if has[i])]
             held += own
             many += sum(map(len, own))
             spots += int(places[a:b].sum())
-            several |= spots > 1
-            if hot or many > HOT or spots > 4 * HOT:
-                hot, several = True, False
-                parts += [(open_gram, x, True) for x in held]
+            flowing = flowing or beyond(HOTTER)
+            if flowing:
+                parts += [(open_gram, x, 2) for x in held]
                 held = []
         if parts:
             yield out(parts)
-    if several and held:
-        yield out([(open_gram, x, False) for x in held])
+    if spots > 1 and held:
+        yield out([(open_gram, x, int(beyond(HOT))) for x in held])
+
+
+def _dealt(raw: bytes, first: int, last: int, place: int, width: int) -> Iterator[tuple[int, int, int]]:
+    """(lo, hi, key): windows first..last of an anchor at `place`, `width` at a time counted back from it.
+
+    Equal windows start equally far before their anchor and hold the same bytes, so they have the same key.
+    """
+    for latest in range(place - (place - last) // width * width, first - 1, -width):
+        common = raw[latest : latest - width + 1 + LENGTH]
+        key = hashlib.blake2b(common, digest_size=8, salt=(place - latest).to_bytes(2, "little")).digest()
+        yield max(first, latest - width + 1), min(last, latest), int.from_bytes(key, "little", signed=True)
 
 
 def _slices(batches: Iterator[pa.RecordBatch], every: bool = False) -> Iterator[pa.RecordBatch]:
@@ -204,17 +217,17 @@ def _slices(batches: Iterator[pa.RecordBatch], every: bool = False) -> Iterator[
             rows: list[tuple[int, bytes | None, int, int, int, int]] = []
             for k, text in enumerate(texts):
                 raw, id_, tie = text.encode("utf-8", "replace"), int(ids[k]), int(ties[k])
-                wanted, hot = ([], []) if every else (np.sort(np.array(part.column(c)[k].as_py() or [], dtype=np.int64)) for c in (3, 4))
-                for first, last, gram in anchors(raw):
-                    found = [(a, b, g, False) for a, b, g in zip(first.tolist(), last.tolist(), gram.tolist())] if every else []
-                    for of, apart in ((wanted, False), (hot, True)):
+                lists = () if every else [np.sort(np.array(part.column(c)[k].as_py() or [], dtype=np.int64)) for c in (3, 4, 5)]
+                for first, last, gram, place in anchors(raw):
+                    found = [(a, b, g, 0, 0) for a, b, g in zip(first.tolist(), last.tolist(), gram.tolist())] if every else []
+                    for of, width in zip(lists, (0, STRIDE, 1)):
                         if len(of):
                             at = np.flatnonzero(of[np.minimum(np.searchsorted(of, gram), len(of) - 1)] == gram)
-                            found += [(a, b, g, apart) for a, b, g in zip(first[at].tolist(), last[at].tolist(), gram[at].tolist())]
-                    for a, b, g, apart in found:
-                        for lo, hi in ((p, p) for p in range(a, b + 1)) if apart else ((a, b),):
+                            found += [(a, b, g, p, width) for a, b, g, p in zip(first[at].tolist(), last[at].tolist(), gram[at].tolist(), place[at].tolist())]
+                    for a, b, g, p, width in found:
+                        for lo, hi, key in _dealt(raw, a, b, p, width) if width else ((a, b, g),):
                             piece = raw[lo : hi + LENGTH]
-                            now = (id_, tie, lo, int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little", signed=True) if apart else g)
+                            now = (id_, tie, lo, key)
                             before = least.get(piece)
                             if before is None:
                                 least[piece] = now
@@ -326,9 +339,10 @@ def _with_cuts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     keyed = docs.select(key.alias("id"), text_or_empty(text_col).alias("text"), tie.alias("tie"))
     long_enough = keyed.where(F.octet_length("text") >= LENGTH)
     grams = long_enough.select("id", "text").mapInArrow(_anchored, "gram long, id long, places long, more binary")
-    flagged = grams.repartition("gram").sortWithinPartitions("gram").mapInArrow(_repeated, "id long, gram long, hot boolean")
-    per_doc = staged(flagged.groupBy("id").agg(F.collect_list(F.when(~F.col("hot"), F.col("gram"))).alias("grams"), F.collect_list(F.when(F.col("hot"), F.col("gram"))).alias("hot")))
-    slices = long_enough.join(per_doc, "id").select("text", "id", "tie", "grams", "hot").mapInArrow(_slices, "key long, slice binary, id long, tie long, lo long, n long")
+    flagged = grams.repartition("gram").sortWithinPartitions("gram").mapInArrow(_repeated, "id long, gram long, heat int")
+    lists = [F.collect_list(F.when(F.col("heat") == h, F.col("gram"))).alias(n) for h, n in enumerate(("grams", "hot", "hotter"))]
+    per_doc = staged(flagged.groupBy("id").agg(*lists))
+    slices = long_enough.join(per_doc, "id").select("text", "id", "tie", "grams", "hot", "hotter").mapInArrow(_slices, "key long, slice binary, id long, tie long, lo long, n long")
     cuts = _joined_cuts(slices.withColumn("age", F.lit(0).cast("long")), 0)
     unstage(per_doc)
     return _marked(docs, cuts, id_col, text_col)

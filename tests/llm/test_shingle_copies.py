@@ -83,7 +83,7 @@ def test_parities_never_rule_out_what_shares_four_fifths():
         a = [rng.getrandbits(63) * rng.choice((1, -1)) for _ in range(n)]
         b = [x if rng.random() > 0.15 else rng.getrandbits(63) for x in a]
         a, b = (s.np.unique(s.np.array(x, dtype=s.np.int64)) for x in (a, b))
-        folded = [s.np.bitwise_xor.reduce(s.parities(x).reshape(4, 4), axis=0) for x in (a, b)]
+        folded = [s.np.bitwise_xor.reduce(s.parities(x).reshape(2, 8), axis=0) for x in (a, b)]
         for x, y in ((s.parities(a), s.parities(b)), folded):
             apart = int(s.np.bitwise_count((x ^ y).view(s.np.uint64)).sum())
             assert apart <= len(s.np.setxor1d(a, b))

@@ -58,7 +58,7 @@ def planted():
     return rows
 
 
-@pytest.mark.parametrize("sizes", [{}, {"HOT": 20, "GROUP": 30, "BATCH": 7, "_GO": 2000}, {"_CHUNK": 150, "GROUP": 5}])
+@pytest.mark.parametrize("sizes", [{}, {"HOT": 20, "GROUP": 30, "BATCH": 7, "_GO": 2000}, {"HOT": 8, "HOTTER": 20}, {"HOT": 4, "STRIDE": 7, "_CHUNK": 150}, {"_CHUNK": 150, "GROUP": 5}])
 def test_planted_repeats(spark, monkeypatch, sizes):
     for name, value in sizes.items():
         monkeypatch.setattr(s, name, value)
@@ -120,8 +120,8 @@ def test_places_of_a_gram_within_one_text_are_dealt_out(spark, monkeypatch):
     rows = [(1, text), (2, text[50_000:60_000])]
     check(spark, rows)
     docs = spark.createDataFrame(rows, "id long, text string")
-    flagged = docs.repartition(1).mapInArrow(s._anchored, "gram long, id long, places long, more binary").repartition("gram").sortWithinPartitions("gram").mapInArrow(s._repeated, "id long, gram long, hot boolean")
-    assert flagged.where("hot").count() > 0
+    flagged = docs.repartition(1).mapInArrow(s._anchored, "gram long, id long, places long, more binary").repartition("gram").sortWithinPartitions("gram").mapInArrow(s._repeated, "id long, gram long, heat int")
+    assert flagged.where("heat = 1").count() > 0
 
 
 def test_clashing_columns(spark):
