@@ -1,8 +1,8 @@
 """Licence scan by a positional index of rare tokens, in DataFrame functions only.
 
-A file's words are matched with licence templates through each template's rarest words (highest inverse document
-frequency over the scanned corpus): their places in the file minus their places in the template give the places where
-the template may start. A start that two of them agree on is verified: the template's mandatory key phrase must stand
+A file's licence words of high inverse document frequency (those in at most a tenth of the scanned files, and the rarest
+three of each template) are looked up in the templates' postings: their places in the file minus their places in the
+template give the places where the template may start. A start that two of them agree on is verified: the template's mandatory key phrase must stand
 there word for word, and the share of template words that stand in place is the match's score. Exact base phrases are
 reported beside the templates, wherever they stand.
 """
@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 
 from lithic.llm.common import text_or_empty
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-RARE = 3
+#: Words of a template that are looked up at least, and share of the files that others may occur in.
+RARE, SELDOM = 3, 0.1
 #: Share of a template's words that must stand in place, beside its key phrase.
 SHARE = 0.6
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: All that stands between words: ASCII but for digits and letters.
+_BETWEEN = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 _STEP = 1 << 40
 
 
@@ -62,7 +64,9 @@ PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights r
 
 
 def words_of(text_col: str) -> Column:
-    return F.regexp_extract_all(F.translate(text_or_empty(text_col), _UPPER, _LOWER), F.lit(WORD), F.lit(0))
+    """Lower-cased words; cut at single spaces, which needs no regular expression, once all that is between words is a space."""
+    spaced = F.translate(text_or_empty(text_col), _UPPER + _BETWEEN, _LOWER + " " * len(_BETWEEN))
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def _strings(values) -> Column:
@@ -79,10 +83,11 @@ def document_frequency(docs: DataFrame, text_col: str = "text") -> tuple[int, di
 
 
 def rare_words(template: Template, rows: int, frequency: dict[str, int]) -> list[str]:
-    """The template's RARE words of highest idf, ties by first place in the template."""
+    """The template's words that are looked up, by idf, highest first, ties by first place in the template."""
     idf = lambda w: math.log((rows + 1) / (frequency.get(w, 0) + 1))
     words = list(dict.fromkeys(template.words))
-    return sorted(words, key=lambda w: (-idf(w), words.index(w)))[:RARE]
+    ranked = sorted(words, key=lambda w: (-idf(w), words.index(w)))
+    return [w for k, w in enumerate(ranked) if k < RARE or frequency.get(w, 0) <= SELDOM * rows]
 
 
 def _phrase_starts(words: Column, phrase: list[str]) -> Column:

@@ -54,3 +54,17 @@ def test_edge_cases(spark):
 def test_plan_has_no_python(spark, sf):
     plan = s.scan(table(spark, sf, "documents"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_changed_words_outside_the_key_phrase(spark):
+    """Any third of the words beside the key phrase may be other words; places before and after stay."""
+    rng, rows = random.Random(3), []
+    for i, t in enumerate(s.TEMPLATES):
+        words, key = t.words, t.key.split()
+        free = [k for k in range(len(words)) if not t.key_at <= k < t.key_at + len(key)]
+        for k in rng.sample(free, min(len(free), int(0.4 * len(words)))):
+            words[k] = f"other{k}"
+        rows.append((i, "some words before " + " ".join(words) + " and after"))
+    got = {r.doc_id: r for r in s.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in enumerate(s.TEMPLATES):
+        assert t.label in got[i].labels.split(","), (t, got[i])
