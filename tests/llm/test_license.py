@@ -65,6 +65,8 @@ def test_changed_words_outside_the_key_phrase(spark):
         for k in rng.sample(free, min(len(free), int(0.4 * len(words)))):
             words[k] = f"other{k}"
         rows.append((i, "some words before " + " ".join(words) + " and after"))
+    rows += [(1000 + i, f"a file like most, number {i}, without a licence") for i in range(300)]
     got = {r.doc_id: r for r in s.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i, t in enumerate(s.TEMPLATES):
         assert t.label in got[i].labels.split(","), (t, got[i])
+    assert not any(got[1000 + i].labels for i in range(300))
