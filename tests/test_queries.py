@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from lithic.plans import queries
-from lithic.plans import structure  # noqa: F401  registers its queries
+from lithic.plans import records, structure  # noqa: F401  register their queries
 
 SF = "/root/testdata/sf0.001"
 
