@@ -131,7 +131,9 @@ def paired(rows: list[np.ndarray], labels: np.ndarray, buckets: np.ndarray, bloc
     """
     n, positive = len(rows), int(labels.sum())
     x, y = _presence(rows, buckets), labels.astype(np.float32)
-    one, one_y = x.sum(axis=0, dtype=np.float64), (x[labels > 0]).sum(axis=0, dtype=np.float64)
+    one, one_y = x.sum(axis=0, dtype=np.float64), np.zeros(len(buckets))
+    for at in range(0, n, block):
+        one_y += x[at : at + block][labels[at : at + block] > 0].sum(axis=0, dtype=np.float64)
     rate, alone = positive / n, dependence(one, one_y, n, positive)
     found: list[tuple[float, int, int]] = []
     for a in range(0, len(buckets), block):
@@ -222,9 +224,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, modulus: int, remain
     chosen = choose(number, n, counts["both"].to_numpy(dtype=np.float64), total["n"], total["positive"])
     looked_at = screened(number, n, total["n"])
     own = F.array_intersect("buckets", F.array(*(F.lit(int(c)) for c in np.union1d(chosen, looked_at))))
-    found = kept.select("id", "label", own.alias("own")).toPandas().sort_values(["id", "label"], kind="stable")
+    found = kept.select("id", "label", own.alias("own")).toArrow().sort_by([("id", "ascending"), ("label", "ascending")])
     unstage(kept)
-    rows, label = [np.array(b, dtype=np.int64) for b in found["own"]], found["label"].to_numpy()
+    label, own = found["label"].to_numpy(), found["own"].combine_chunks()
+    rows = np.split(own.flatten().to_numpy(), own.value_lengths().to_numpy()[:-1].cumsum())
     return train_on(rows, label, np.union1d(chosen, paired(rows, label, looked_at)))
 
 
