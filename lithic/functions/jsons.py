@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 #: Category codes, and codes that stand for them.
 CATEGORIES = ("DP", "AD", "AL", "ET", "DK", "TT", "TK")
 CATEGORY_ALIASES = {"DS": "AL", "SE": "ET", "UI": "AD", "DB": "DK", "NET": "ET", "SEC": "ET", "PERF": "ET", "OOP": "DP", "ARCH": "AD", "TEST": "TT", "TOOL": "TK", "CONFIG": "ET"}
+#: Known types of resources.
+RESOURCES = ("book", "article", "video", "course")
+#: How the title of a whole answer goes on after its category.
+RAW_TITLE = " analysis"
 POINT = "struct<category:string,prefix:string,title:string,description:string,confidence:double>"
 
 
@@ -49,6 +53,46 @@ def normalised_point(point: Column) -> Column:
     return F.when(valid, F.struct(code.alias("category"), prefix.alias("prefix"), point["title"].alias("title"), point["description"].alias("description"), point["confidence"].alias("confidence")))
 
 
+def salvaged(found: Column, category: Column, text: Column) -> Column:
+    """The valid ones of an array of points, each made normal; without any, the whole text as one point of `category`."""
+    valid = F.filter(F.transform(found, normalised_point), lambda p: p.isNotNull())
+    whole = F.struct(
+        category.alias("category"), F.concat(category, F.lit("-Unknown")).alias("prefix"), F.concat(category, F.lit(RAW_TITLE)).alias("title"),
+        text.alias("description"), F.lit(0.8).alias("confidence"),
+    )
+    return F.when(F.size(valid) > 0, valid).otherwise(F.array(whole))
+
+
+def file_path(snippet: Column) -> Column:
+    """Path of a snippet (file_path, file): `file` where there is no `file_path`."""
+    return F.coalesce(snippet["file_path"], snippet["file"], F.lit(""))
+
+
+def signature(node: Column) -> Column:
+    """Signature of a node of a call chain (signature, name): `name` where there is none."""
+    return F.coalesce(node["signature"], node["name"], F.lit(""))
+
+
+def line_pair(lines: Column) -> Column:
+    """First and last line of an array: its first two items, the one it has twice, or zeros for an empty or null one."""
+    n = F.coalesce(F.size(lines), F.lit(0))
+    first = F.when(n > 0, F.get(lines, F.lit(0))).otherwise(F.lit(0))
+    return F.array(first, F.when(n > 1, F.get(lines, F.lit(1))).otherwise(first))
+
+
+def resource_type(name: Column) -> Column:
+    """A resource's type in lower case; article if it is none of RESOURCES."""
+    return F.when(F.lower(name).isin(*RESOURCES), F.lower(name)).otherwise(F.lit("article"))
+
+
+def chain_node(text: Column) -> Column:
+    """A call chain's item that is only a name, as a node."""
+    return F.struct(
+        F.lit("").alias("node_id"), F.lit("function_call").alias("node_type"), F.lit("").alias("file"), text.alias("name"),
+        F.array().cast("array<int>").alias("lines"),
+    )
+
+
 def balanced(text: str) -> str | None:
     """The first balanced object or array in a text, brackets in strings not counted."""
     start = next((i for i, c in enumerate(text) if c in "[{"), None)

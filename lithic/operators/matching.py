@@ -16,8 +16,16 @@ SEED_RULES = [
         ("org.slf4j", "slf4j-api"), ("org.apache.commons", "commons-lang3"), ("com.fasterxml.jackson", "jackson-databind"),
         ("org.junit", "junit"), ("org.mockito", "mockito-core"),
     )),
-    *(("typescript", name, name, "npm") for name in ("react", "react-dom", "vue", "@angular/core", "express", "koa", "next", "axios", "lodash", "typescript")),
-    *(("python", name, name, "pip") for name in ("flask", "fastapi", "django", "sqlalchemy", "pydantic", "requests", "numpy", "pandas", "pytest")),
+    ("typescript", "react", "react", "npm"), ("typescript", "react-dom", "react-dom", "npm"),
+    ("typescript", "vue", "vue", "npm"), ("typescript", "@angular/core", "@angular/core", "npm"),
+    ("typescript", "express", "express", "npm"), ("typescript", "koa", "koa", "npm"),
+    ("typescript", "next", "next", "npm"), ("typescript", "axios", "axios", "npm"),
+    ("typescript", "lodash", "lodash", "npm"), ("typescript", "typescript", "typescript", "npm"),
+    ("python", "flask", "flask", "pip"), ("python", "fastapi", "fastapi", "pip"),
+    ("python", "django", "django", "pip"), ("python", "sqlalchemy", "sqlalchemy", "pip"),
+    ("python", "pydantic", "pydantic", "pip"), ("python", "requests", "requests", "pip"),
+    ("python", "numpy", "numpy", "pip"), ("python", "pandas", "pandas", "pip"),
+    ("python", "pytest", "pytest", "pip"),
 ]
 #: Rules that hold for imports beside SEED_RULES.
 IMPORT_SEED_RULES = [*SEED_RULES, ("java", "org.mybatis", "mybatis", "maven"), ("typescript", "next/navigation", "next", "npm"), ("typescript", "next/router", "next", "npm"), ("python", "uvicorn", "uvicorn", "pip"), ("python", "redis", "redis", "pip")]

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithic.functions.text import words
@@ -26,6 +27,25 @@ def full_text(index: DataFrame, query: list[str], every: bool = False) -> DataFr
     return found.where(F.col("hits") == len(asked)) if every else found
 
 
+def synced(index: DataFrame, changed: DataFrame, deleted: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+    """The postings after documents `changed` (new or rewritten) and ids `deleted`; an id in both is deleted first, then added."""
+    stale = changed.select(F.col(id_col).alias("id")).union(deleted.select(F.col(id_col).alias("id"))).distinct()
+    return index.join(stale, "id", "left_anti").select("word", "id").union(postings(changed, id_col, columns))
+
+
+def matches(rows: DataFrame, index: DataFrame, query: str, id_col: str, filters: dict | None = None) -> DataFrame:
+    """Rows with any word of the query, with hits; filters are equal values of columns. A query without words finds none."""
+    asked = [w for w in re.split(r"\W+", query.lower()) if w]
+    found = full_text(index, asked).withColumnRenamed("id", id_col) if asked else None
+    kept = rows.where(reduce(Column.__and__, (F.col(c) == F.lit(v) for c, v in (filters or {}).items()), F.lit(True)))
+    return kept.join(found, id_col) if found is not None else kept.withColumn("hits", F.lit(0).cast("long")).where("false")
+
+
+def result_page(found: DataFrame, confidence: str, id_col: str, most: int = 20, skip: int = 0) -> DataFrame:
+    """One page of matches: most hits first, then confidence, then id."""
+    return found.orderBy(F.desc("hits"), F.desc_nulls_last(confidence), id_col).offset(skip).limit(most)
+
+
 def named(rows: DataFrame, name: str, query: str, most: int, tie: str) -> DataFrame:
     """The first rows, by name, whose name contains the query, upper or lower case."""
     return rows.where(F.col(name).ilike(f"%{query}%")).orderBy(name, tie).limit(most)

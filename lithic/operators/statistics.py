@@ -29,6 +29,31 @@ def side_by_side(*frames: DataFrame) -> DataFrame:
     return out
 
 
+def overview(
+    files: DataFrame, nodes: DataFrame, edges: DataFrame, modules: DataFrame, dependencies: DataFrame, frameworks: DataFrame, routes: DataFrame
+) -> DataFrame:
+    """One row of twelve figures: counts of seven tables, lines of files, and four distributions as maps.
+
+    files (language, line_count), nodes (node_type), edges (call_type) and dependencies (ecosystem) are read once each: a
+    table's figures all come from its counts by value. A value of null is left out of its map but not of its count.
+    """
+
+    def counted(df: DataFrame, name: str, column: str, spread: str, *more: Column) -> DataFrame:
+        by_value = df.groupBy(column).agg(F.count("*").alias("n"), *more)
+        listed = F.array_sort(F.collect_list(F.when(F.col(column).isNotNull(), F.struct(column, "n"))))
+        sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in by_value.columns[2:]]
+        return by_value.agg(F.coalesce(F.sum("n"), F.lit(0)).alias(name), F.map_from_entries(listed).alias(spread), *sums)
+
+    alone = [df.agg(F.count("*").alias(name)) for df, name in ((modules, "module_dependencies"), (frameworks, "frameworks"), (routes, "routes"))]
+    return side_by_side(
+        counted(files, "files", "language", "languages", F.sum("line_count").alias("total_lines")),
+        counted(nodes, "nodes", "node_type", "node_types"),
+        counted(edges, "edges", "call_type", "call_types"),
+        counted(dependencies, "external_dependencies", "ecosystem", "ecosystems"),
+        *alone,
+    )
+
+
 def buckets(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
     """One row: rows at `high` or more, between, and below `low`."""
     c = F.col(column)

@@ -563,18 +563,40 @@ def retry_decisions(spark, sf):
     return pg.retry_decision(_t(spark, sf, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("tries"), status.alias("last_status")))
 
 
-def _calls(spark, sf):
-    return _t(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), (F.col("event_type") == "error").alias("failed"))
+def _calls(spark, sf, speed, failed):
+    """Events as calls per user, with time running 1 / speed times as fast, so that calls of a user compete."""
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 * speed
+    return _t(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), seconds.alias("at"), failed.alias("failed"))
 
 
-@query(None)
+_CALLS = """
+WITH RECURSIVE e AS (SELECT user_id AS key, event_id AS id, epoch_us(ts) / 1e6 * {} AS t, event_type <> 'purchase' AS failed,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+"""
+
+
+@query(_CALLS.format("1e-5") + """
+f AS (SELECT key, id, t, n, 4.0::DOUBLE AS tokens, true AS granted FROM e WHERE n = 1
+  UNION ALL SELECT key, id, t, n, CASE WHEN gained >= 1 THEN gained - 1 ELSE gained END, gained >= 1
+  FROM (SELECT e.key, e.id, e.t, e.n, least(5.0::DOUBLE, f.tokens + greatest(0.0::DOUBLE, e.t - f.t) * 3.0::DOUBLE) AS gained
+    FROM f JOIN e ON e.key = f.key AND e.n = f.n + 1))
+SELECT key, id, t AS "at", granted, printf('%.3f', tokens) AS state FROM f
+""")
 def token_bucket(spark, sf):
-    return pg.limited(_calls(spark, sf))
+    return pg.limited(_calls(spark, sf, 1e-5, F.lit(False)))
 
 
-@query(None)
+@query(_CALLS.format("1e-3") + """
+f AS (SELECT key, id, t, n, 'closed' AS state, CAST(failed AS INTEGER) AS failures, 0.0::DOUBLE AS opened, true AS granted FROM e WHERE n = 1
+  UNION ALL SELECT key, id, t, n, CASE WHEN shut THEN 'open' WHEN NOT failed THEN 'closed' WHEN was = 'open' OR failures >= 4 THEN 'open' ELSE 'closed' END,
+    CASE WHEN shut THEN failures WHEN NOT failed THEN 0 ELSE failures + 1 END,
+    CASE WHEN shut THEN opened WHEN failed AND (was = 'open' OR failures >= 4) THEN t ELSE 0 END, NOT shut
+  FROM (SELECT e.key, e.id, e.t, e.n, e.failed, f.state AS was, f.failures, f.opened, f.state = 'open' AND e.t - f.opened < 30 AS shut
+    FROM f JOIN e ON e.key = f.key AND e.n = f.n + 1))
+SELECT key, id, t AS "at", granted, state FROM f
+""")
 def circuit_breaker(spark, sf):
-    return pg.broken(_calls(spark, sf))
+    return pg.broken(_calls(spark, sf, 1e-3, F.col("event_type") != "purchase"))
 
 
 @query(None)

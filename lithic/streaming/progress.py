@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -85,19 +86,30 @@ def trip(state: tuple[str, int, float], at: float, failed: bool) -> tuple[bool,
     return True, ("open", failures, at) if name == "half-open" or failures >= FAILURES else ("closed", failures, 0.0)
 
 
-def _sorted_fold(fold, start):
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["at", "id"], kind="stable")
-        state, out = start, []
-        for at, failed in zip(part["at"], part["failed"]):
-            state, row = fold(state, at, failed)
-            out.append(row)
-        return part.assign(granted=[r[0] for r in out], state=[r[1] for r in out])[["key", "id", "at", "granted", "state"]]
+_FOLDED = "key long, id long, at double, granted boolean, state string"
 
-    return run
 
+def _folded(events: DataFrame, fold, start) -> DataFrame:
+    """Each event after `fold`: (state, at, failed) -> (state, (granted, text)), per key in order of time, then id.
 
-_FOLDED = "key long, id long, at double, granted boolean, state string"
+    A key's events come sorted through one task in batches and only the state is kept between them, so a key may have
+    any number of events; null is a key like others, and repeated events each count.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, state, first = None, start, True
+        for batch in batches:
+            out = []
+            for key, at, failed in zip(*(batch.column(c).to_pylist() for c in ("key", "at", "failed"))):
+                if first or key != of:
+                    of, state, first = key, start, False
+                state, row = fold(state, at, failed)
+                out.append(row)
+            granted, text = pa.array([r[0] for r in out], pa.bool_()), pa.array([r[1] for r in out], pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "id", "at")), granted, text], names=["key", "id", "at", "granted", "state"])
+
+    dealt = events.select("key", "id", "at", "failed").repartition("key").sortWithinPartitions("key", "at", "id")
+    return dealt.mapInArrow(run, _FOLDED)
 
 
 def limited(events: DataFrame) -> DataFrame:
@@ -107,7 +119,7 @@ def limited(events: DataFrame) -> DataFrame:
         granted, tokens, last = take(state[0], state[1], at)
         return (tokens, last), (granted, f"{tokens:.3f}")
 
-    return events.groupBy("key").applyInPandas(_sorted_fold(fold, (BURST, None)), _FOLDED)
+    return _folded(events, fold, (BURST, None))
 
 
 def broken(events: DataFrame) -> DataFrame:
@@ -117,7 +129,25 @@ def broken(events: DataFrame) -> DataFrame:
         granted, state = trip(state, at, bool(failed))
         return state, (granted, state[0])
 
-    return events.groupBy("key").applyInPandas(_sorted_fold(fold, ("closed", 0, 0.0)), _FOLDED)
+    return _folded(events, fold, ("closed", 0, 0.0))
+
+
+def reported(events: DataFrame, keys: list[str], order: list[str], step: str, percent: str, total: str) -> DataFrame:
+    """What a watcher of a task hears, in order: `event` is progress, complete or error.
+
+    Progress is told when step or percent differ from the event before, beginning with the first such change whose
+    `total` is above 0. The first COMPLETED or FAILED step is told a second time, as complete or error, told before or
+    not; nothing follows it.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order)
+    before, so_far = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = F.col(step).isin("COMPLETED", "FAILED")
+    differs = (F.row_number().over(w) == 1) | ~F.col(step).eqNullSafe(F.lag(step).over(w)) | ~F.col(percent).eqNullSafe(F.lag(percent).over(w))
+    marked = events.withColumns({"__ended": F.coalesce(F.bool_or(ends).over(before), F.lit(False)), "__changed": differs}).where("not __ended")
+    known = F.coalesce(F.bool_or(F.col("__changed") & (F.col(total) > 0)).over(so_far), F.lit(False))
+    last = F.when(F.col(step) == "COMPLETED", "complete").when(F.col(step) == "FAILED", "error")
+    told = marked.withColumn("event", F.array_compact(F.array(F.when(F.col("__changed") & known, "progress"), last)))
+    return told.drop("__ended", "__changed").withColumn("event", F.explode("event"))
 
 
 def changes_of_stream(events: DataFrame) -> DataFrame:
