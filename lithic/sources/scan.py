@@ -97,6 +97,21 @@ def expected_points(cases: DataFrame) -> DataFrame:
     return cases.select("repo_id", F.col("id").alias("case_id"), "language", F.posexplode("expected_points").alias("at", "point")).select("repo_id", "case_id", "language", "at", "point.*")
 
 
+def manifests_above(spark: SparkSession, start: str, levels: int = 5) -> list[str]:
+    """Paths of the manifests in `start` or, if it has none, in the nearest of the folders above, `levels` folders in all."""
+    paths = spark._jvm.org.apache.hadoop.fs
+    files = paths.Path(start).getFileSystem(spark._jsc.hadoopConfiguration())
+    folder = files.makeQualified(paths.Path(start))
+    for _ in range(levels):
+        if folder is None or not files.exists(folder):
+            break
+        tried = [paths.Path(folder, name) for name in MANIFESTS]
+        if found := [p.toString() for p in tried if files.exists(p) and files.getFileStatus(p).isFile()]:
+            return found
+        folder = folder.getParent()
+    return []
+
+
 def history(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of a JSON-lines log; lines that can't be read are skipped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from lithic.operators import dependencies as dp
 from lithic.operators import runs as rn
 from lithic.operators import search as se
+from lithic.sources import scan
 from lithic.streaming import progress as pg
 
 
@@ -49,3 +50,12 @@ def test_search_without_words_finds_nothing(spark):
     assert se.matches(rows, index, " ?!", "id").collect() == []
     assert [r.id for r in se.result_page(se.matches(rows, index, "B a", "id"), "c", "id").collect()] == [1, 2, 3]
     assert [r.id for r in se.result_page(se.matches(rows, index, "b", "id", {"c": 0.9}), "c", "id").collect()] == [2]
+
+
+def test_manifests_above(spark, tmp_path):
+    deep = tmp_path / "a" / "b" / "c"
+    deep.mkdir(parents=True)
+    for name in ("pom.xml", "package.json"):
+        (tmp_path / "a" / name).write_text("")
+    assert [p.rsplit("/", 1)[1] for p in scan.manifests_above(spark, str(deep))] == ["package.json", "pom.xml"]
+    assert scan.manifests_above(spark, str(deep), levels=2) == scan.manifests_above(spark, str(deep / "none")) == []
