@@ -128,3 +128,17 @@ def test_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "x" * 300, "a", "b", "c", "d")], "doc_id long, text string, __key string, __kept string, cuts string, `a.b` string")
     kept = s.without_repeats(docs)
     assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(1, "x", "a", "b", "c", "d")]
+
+
+def test_query_gives_the_rows_of_its_sql(spark, sf):
+    import duckdb
+
+    from lithic.llm import queries_suffix
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    got = queries_suffix.QUERIES["op4_suffix_dedup"](spark, sf).select(*columns).collect()
+    found = con.sql(queries_suffix.ORACLES["op4_suffix_dedup"])
+    assert found.columns == columns
+    assert sorted(map(tuple, got)) == sorted(found.fetchall())
