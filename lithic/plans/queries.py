@@ -259,7 +259,7 @@ UNION ALL SELECT start, node, 2, count(*) FROM two GROUP BY 1, 2
 def call_chain(spark, sf):
     edges = _graph(spark, sf)
     starts = edges.select(F.col("a").alias("node")).distinct()
-    return gr.paths_from(edges, starts, 2).groupBy("start", "node", "depth").agg(F.count("*").alias("n"))
+    return gr.path_counts(edges, starts, 2)
 
 
 @query(f"""

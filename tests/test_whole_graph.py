@@ -56,3 +56,22 @@ def test_call_chain_from_every_node(spark, sf, edges, depth):
     frame = spark.createDataFrame(sorted(edges), "a long, b long")
     found = graphs.paths_from(frame, frame.selectExpr("a AS node").distinct(), depth).groupBy("start", "node", "depth").count()
     assert sorted(map(tuple, found.collect())) == sorted((*k, v) for k, v in n.items())
+    counted = graphs.path_counts(frame, frame.selectExpr("a AS node"), depth)
+    assert sorted(map(tuple, counted.collect())) == sorted((*k, v) for k, v in n.items())
+
+
+def test_counts_of_paths_in_a_small_dense_graph(spark):
+    edges = {(a, b) for a in range(7) for b in range(7) if (a * 5 + b * 3) % 4} | {(9, 0)}
+    n = {}
+
+    def walk(path):
+        for a, b in edges:
+            if a == path[-1] and b not in path and len(path) <= 3:
+                n[path[0], b, len(path)] = n.get((path[0], b, len(path)), 0) + 1
+                walk([*path, b])
+
+    for a in (0, 3, 9):
+        walk([a])
+    frame = spark.createDataFrame(sorted(edges) * 2, "a long, b long")
+    starts = spark.createDataFrame([(0,), (3,), (9,), (3,), (50,)], "node long")
+    assert sorted(map(tuple, graphs.path_counts(frame, starts, 3).collect())) == sorted((*k, v) for k, v in n.items())
