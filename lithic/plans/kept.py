@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lithic.operators import incremental as inc
-from lithic.plans.queries import _t, query
+from lithic.plans.queries import ORACLES, _t, query
 from lithic.sources.staging import scratch
+from lithic.streaming import guards
 
 _REACH = """
 WITH f AS (SELECT o_orderkey AS id FROM orders UNION ALL SELECT -page_id FROM pages),
@@ -56,3 +57,21 @@ def incremental_parse(spark, sf):
     found = table.nodes().where("node_type in ('function', 'call')")
     text = F.when(F.col("node_type") == "function", F.substring("signature", 5, 100)).otherwise(F.col("qualified_name"))
     return found.select("file_path", F.col("node_type").alias("kind"), text.alias("text"))
+
+
+def _streamed(spark, sf, made, speed, failed):
+    """The events table as a stream of calls per user, run to its end; time runs 1 / speed times as fast."""
+    stored = _t(spark, sf, "events").schema
+    events = guards.with_state_store(spark).readStream.schema(stored).parquet(f"{sf}/event[s].parquet")  # a pattern, since a stream takes a single file only so
+    calls = events.select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 * speed).alias("at"), failed.alias("failed"))
+    return guards.run_to_end(made(calls), scratch(spark), scratch(spark))
+
+
+@query(ORACLES["token_bucket"])
+def streamed_token_bucket(spark, sf):
+    return _streamed(spark, sf, guards.limited_stream, 1e-5, F.lit(False))
+
+
+@query(ORACLES["circuit_breaker"])
+def streamed_circuit_breaker(spark, sf):
+    return _streamed(spark, sf, guards.broken_stream, 1e-3, F.col("event_type") != "purchase").where("id is not null")

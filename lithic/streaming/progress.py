@@ -151,15 +151,19 @@ def reported(events: DataFrame, keys: list[str], order: list[str], step: str, pe
 
 
 def changes_of_stream(events: DataFrame) -> DataFrame:
-    """Streaming (key, percent, step): a row when a key's percent or step changes; the state is the last pair."""
+    """Streaming (key, percent, step) of events (key, percent, step, at): a row when a key's percent or step changes; the state is the last pair.
+
+    A micro-batch's events of a key are taken in order of `at`, whatever order they arrive in; of those at one time by
+    percent, then step.
+    """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, out = (state.get if state.exists else (None, None)), []
-        for part in parts:
-            for percent, name in zip(part["percent"], part["step"]):
-                if (percent, name) != tuple(last):
-                    last = (float(percent), name)
-                    out.append((key[0], *last))
+        own = pd.concat(list(parts)).sort_values(["at", "percent", "step"], kind="stable")
+        for percent, name in zip(own["percent"], own["step"]):
+            if (percent, name) != tuple(last):
+                last = (float(percent), name)
+                out.append((key[0], *last))
         state.update(tuple(last))
         yield pd.DataFrame(out, columns=["key", "percent", "step"])
 

@@ -21,6 +21,14 @@ def test_stream_of_changes_equals_the_table_form(spark, tmp_path):
     assert sorted((r.key, r.percent, r.step) for r in got.collect()) == sorted((r.key, r.percent, r.step) for r in batch.collect())
 
 
+def test_changes_go_by_time_within_a_micro_batch(spark, tmp_path):
+    rows = [(1, 5.0, "b", 4), (1, 0.0, "a", 1), (2, 1.0, "x", 9), (1, 5.0, "a", 3), (1, 0.0, "a", 2), (2, 1.0, "x", 1)]
+    events = spark.createDataFrame(rows, "key long, percent double, step string, at int")
+    events.coalesce(1).write.parquet(str(tmp_path / "in"))
+    got = drain(progress.changes_of_stream(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))), "in_time")
+    assert [(r.percent, r.step) for r in got.where("key = 1").collect()] == [(0.0, "a"), (5.0, "a"), (5.0, "b")] and got.where("key = 2").count() == 1
+
+
 def test_windows_with_watermark_and_cache(spark, tmp_path):
     rows = [("2024-01-01 00:00:00", "m", 1.0), ("2024-01-01 12:00:00", "m", 2.0), ("2024-01-05 00:00:00", "m", 4.0), ("2024-01-20 00:00:00", "m", 8.0)]
     events = spark.createDataFrame(rows, "ts string, model string, cost double").withColumn("ts", F.to_timestamp("ts"))
