@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from lithic.functions.vectors import cosine, overlap
+from lithic.sources.staging import staged
 
 TITLE_RATIO, COSINE, LINES = 0.8, 0.85, 0.5
 WARN, CRITICAL = 0.05, 0.1
+#: Rounds of matching at most, and pairs from which on they are worth a shuffle.
+ROUNDS, FEW = 12, 200_000
 
 
 @F.pandas_udf(DoubleType())
@@ -46,23 +51,52 @@ def point_match(same_category: Column, *strategies: Column) -> Column:
     return same_category & out
 
 
-def assigned(pairs: DataFrame, group: list[str]) -> DataFrame:
+def assigned(pairs: DataFrame, group: list[str], rounds: int = ROUNDS, few: int = FEW) -> DataFrame:
     """One-to-one choice from matching pairs (group, expected_at, found_at): found points in order each take the first expected one that is free.
 
-    Order matters, so each group (a case and category, a few points) is one small task.
+    That choice is made in rounds over all groups and tasks at once: a pair that is first for both its ends is in it,
+    whatever else is, and takes the other pairs of its ends away. Rounds end when at most `few` pairs are left, after
+    `rounds` of them, or when one takes away less than a twentieth (where all match all, each taking waits for the one
+    before). What is left passes in order, a group in one task that keeps only the expected points taken, so groups may
+    have any number of pairs. Pairs with a null end are left out; of repeated pairs one counts; null is a group like
+    others. The result does not depend on `rounds` and `few`.
     """
-
-    def choose(part: pd.DataFrame) -> pd.DataFrame:
-        rows = part.sort_values(["found_at", "expected_at"], kind="stable")
-        taken, done, keep = set(), set(), []
-        for i, e, f in zip(rows.index, rows["expected_at"], rows["found_at"]):
-            if f not in done and e not in taken:
-                done.add(f)
-                taken.add(e)
-                keep.append(i)
-        return rows.loc[keep]
-
-    return pairs.groupBy(*group).applyInPandas(choose, pairs.schema)
+    key = F.to_json(F.struct(*group), {"ignoreNullFields": "false"}) if group else F.lit("")
+    left = staged(pairs.where("expected_at is not null and found_at is not null").select(key.alias("g"), F.col("expected_at").alias("e"), F.col("found_at").alias("f")).distinct())
+    taken, n = [], left.count()
+    for _ in range(rounds):
+        if n <= few:
+            break
+        first = left.groupBy("g", "e").agg(F.min("f").alias("f"))
+        now = staged(first.join(left.groupBy("g", "f").agg(F.min("e").alias("e")), ["g", "e", "f"]).select("g", "e", "f"))
+        left = staged(left.join(now.select("g", "e"), ["g", "e"], "left_anti").join(now.select("g", "f"), ["g", "f"], "left_anti").select("g", "e", "f"))
+        taken.append(now)
+        before, n = n, left.count()
+        if n > 0.95 * before:
+            break
+    chosen = reduce(DataFrame.unionByName, [*taken, _taken_in_order(left)])
+    named = pairs.withColumns({"__g": key})
+    kept = named.join(chosen.withColumnsRenamed({"g": "__g", "e": "expected_at", "f": "found_at"}), ["__g", "expected_at", "found_at"], "left_semi")
+    return kept.dropDuplicates(["__g", "expected_at", "found_at"]).select(pairs.columns)
+
+
+def _taken_in_order(left: DataFrame) -> DataFrame:
+    """The same choice, made pair by pair in order of found and expected point."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, taken, done = None, set(), None
+        for batch in batches:
+            keep = []
+            for i, (g, e, f) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("g", "e", "f")))):
+                if g != of:
+                    of, taken, done = g, set(), None
+                if f != done and e not in taken:
+                    done = f
+                    taken.add(e)
+                    keep.append(i)
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    return left.repartition("g").sortWithinPartitions("g", "f", "e").mapInArrow(run, left.schema)
 
 
 def confusion(expected: DataFrame, found: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame:

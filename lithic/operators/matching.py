@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithic.functions.text import guessed_class, last_segment, path_prefixes, path_suffixes
+from lithic.operators.hierarchy import tree
 
 #: Package prefixes and the dependency that supplies them: (language, prefix, artifact, ecosystem).
 SEED_RULES = [
@@ -52,14 +53,13 @@ def innermost(points: DataFrame, spans: DataFrame, point_keys: list[str], key: s
 
 
 def parents_by_span(nodes: DataFrame) -> DataFrame:
-    """(id, parent_id): the smallest other span of the file that holds a node's span; equal spans nest by id."""
-    inner, outer = nodes.alias("n"), nodes.select("file_id", F.col("id").alias("p"), F.col("start_line").alias("ps"), F.col("end_line").alias("pe")).alias("o")
-    same = (F.col("ps") == F.col("start_line")) & (F.col("pe") == F.col("end_line"))
-    holds = (F.col("ps") <= F.col("start_line")) & (F.col("pe") >= F.col("end_line")) & (~same | (F.col("p") < F.col("id")))
-    found = inner.join(outer, "file_id", "inner").where((F.col("p") != F.col("id")) & holds)
-    best = Window.partitionBy("id").orderBy(F.desc("ps"), "pe", F.desc("p"))
-    parent = found.withColumn("__rank", F.row_number().over(best)).where("__rank = 1").select("id", F.col("p").alias("parent_id"))
-    return nodes.select("id").join(parent, "id", "left")
+    """(id, parent_id): the smallest other span of the file that holds a node's span; equal spans nest by id.
+
+    One sweep over a file's spans by start; see `hierarchy.tree`.
+    """
+    none = F.lit(None)
+    spans = nodes.select("file_id", "id", none.cast(nodes.schema["id"].dataType).alias("parent_id"), "start_line", none.cast("int").alias("start_column"), "end_line", none.cast("int").alias("end_column"))
+    return tree(spans).select("id", "parent_id")
 
 
 def by_priority(candidates: DataFrame, key: str) -> DataFrame:

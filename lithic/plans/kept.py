@@ -1,10 +1,14 @@
-"""Queries of what is kept and brought up to date: change propagation, node tables."""
+"""Queries of what is kept and brought up to date: change propagation, node tables, indexes, streams, matching in rounds."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lithic.operators import evaluation as ev
+from lithic.operators import hierarchy as hi
 from lithic.operators import incremental as inc
+from lithic.operators import search as se
+from lithic.operators.stored_index import StoredIndex
 from lithic.plans.queries import ORACLES, _t, query
 from lithic.sources.staging import scratch
 from lithic.streaming import guards
@@ -75,3 +79,79 @@ def streamed_token_bucket(spark, sf):
 @query(ORACLES["circuit_breaker"])
 def streamed_circuit_breaker(spark, sf):
     return _streamed(spark, sf, guards.broken_stream, 1e-3, F.col("event_type") != "purchase").where("id is not null")
+
+
+_STORED = """
+WITH d AS (SELECT doc_id AS id, CASE WHEN doc_id % 100 = 7 THEN 'the rewritten text of ' || lang ELSE text END AS t, n_chars FROM documents WHERE doc_id % 100 <> 3),
+p AS (SELECT DISTINCT id, unnest(regexp_split_to_array(lower(t), '[^a-z0-9_]+')) AS word FROM d)
+"""
+
+
+def _index(spark, sf):
+    """All documents, then an update in which one in a hundred is rewritten and one goes."""
+    docs = _t(spark, sf, "documents")
+    index = StoredIndex(spark, scratch(spark), 32)
+    index.update(docs, None, "doc_id", ["text"])
+    rewritten = docs.where("doc_id % 100 = 7").select("doc_id", F.concat(F.lit("the rewritten text of "), "lang").alias("text"))
+    index.update(rewritten, docs.where("doc_id % 100 = 3").select("doc_id"), "doc_id", ["text"])
+    return index
+
+
+@query(_STORED + "SELECT id AS doc_id, count(*) AS hits, any_value(n_chars) AS n_chars FROM p JOIN d USING (id) WHERE word IN ('the', 'text', 'tion') GROUP BY id ORDER BY hits DESC, n_chars DESC, doc_id LIMIT 20")
+def stored_search(spark, sf):
+    found = _index(spark, sf).search(["The", "text", "tion"])
+    return se.result_page(_t(spark, sf, "documents").select("doc_id", "n_chars").join(found, F.col("id") == F.col("doc_id")), "n_chars", "doc_id").select("doc_id", "hits", "n_chars")
+
+
+@query(_STORED + "SELECT word, count(*) AS n FROM p WHERE word IN ('the', 'rewritten', 'of', 'and', 'nowhere') GROUP BY word")
+def stored_frequencies(spark, sf):
+    return _index(spark, sf).frequency(["the", "rewritten", "of", "and", "nowhere"])
+
+
+@query("""
+WITH e AS (SELECT event_type AS k, user_id, count(*) FILTER (WHERE event_id % 3 = 0) AS e, count(*) FILTER (WHERE event_id % 3 <> 0) AS f FROM events GROUP BY 1, 2)
+SELECT k, CAST(sum(least(e, f)) AS BIGINT) AS tp, CAST(sum(f - least(e, f)) AS BIGINT) AS fp, CAST(sum(e - least(e, f)) AS BIGINT) AS fn FROM e GROUP BY k
+""")
+def matched_points(spark, sf):
+    """Events of a type are one group; an expected and a found one match if they are of one user."""
+    events = _t(spark, sf, "events").select(F.col("event_type").alias("k"), "user_id", F.col("event_id").alias("at"), (F.col("event_id") % 3 == 0).alias("is_expected"))
+    expected, found = events.where("is_expected").withColumnRenamed("at", "expected_at"), events.where("not is_expected").withColumnRenamed("at", "found_at")
+    chosen = ev.assigned(expected.join(found, ["k", "user_id"]).select("k", "expected_at", "found_at"), ["k"])
+    return ev.confusion(expected, found, chosen, ["k"])
+
+
+@query("""
+WITH RECURSIVE n AS (SELECT o_orderkey AS id, o_custkey AS f, o_orderkey AS s, o_orderkey + CAST(floor(o_totalprice / 20) AS BIGINT) AS e FROM orders),
+c AS (SELECT a.id, b.id AS p, row_number() OVER (PARTITION BY a.id ORDER BY b.s DESC, b.e, b.id DESC) AS r FROM n a JOIN n b ON a.f = b.f AND b.s <= a.s AND b.e >= a.e AND b.id <> a.id),
+t AS (SELECT n.id, n.f, n.s, n.e, c.p FROM n LEFT JOIN c ON c.id = n.id AND c.r = 1),
+up AS (SELECT id, p AS above FROM t WHERE p IS NOT NULL UNION ALL SELECT up.id, t.p FROM up JOIN t ON t.id = up.above WHERE t.p IS NOT NULL),
+down AS (SELECT above AS id, count(*) AS n FROM up GROUP BY 1), high AS (SELECT id, count(*) AS n FROM up GROUP BY 1)
+SELECT f AS file_id, id, p AS parent_id, CAST(coalesce(high.n, 0) AS INTEGER) AS depth, row_number() OVER (PARTITION BY f ORDER BY s, e DESC, id) - 1 AS entry,
+       row_number() OVER (PARTITION BY f ORDER BY s, e DESC, id) - 1 + coalesce(down.n, 0) AS exit
+FROM t LEFT JOIN high USING (id) LEFT JOIN down USING (id)
+""")
+def span_hierarchy(spark, sf):
+    """Orders as spans of their customers, as long as they are dear."""
+    key, none = F.col("o_orderkey"), F.lit(None).cast("int")
+    spans = _t(spark, sf, "orders").select(F.col("o_custkey").alias("file_id"), key.alias("id"), none.cast("long").alias("parent_id"), key.alias("start_line"), none.alias("start_column"), (key + F.floor(F.col("o_totalprice") / 20)).alias("end_line"), none.alias("end_column"))
+    return hi.tree(spans)
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_size % 3 < 2 THEN 'react-component' ELSE '' END || CASE WHEN p_size % 2 = 0 THEN '|react-context' ELSE '|' END AS tags FROM part
+""")
+def components_by_descendants(spark, sf):
+    """A function per part with blocks five deep; in the innermost one a JSX element, an import of React or a call."""
+    part = _t(spark, sf, "part").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    k, size = F.col("k"), F.col("p_size")
+    inner = F.when(size % 3 == 0, "jsx_element").when(size % 3 == 1, "import").otherwise("call")
+    kind = F.when(k < 6, "function").when(k == 6, inner).otherwise("call")
+    name = F.when(k == 0, "Panel").when(k < 6, "block").when(k == 6, F.when(size % 3 == 1, "react-dom").otherwise("div")).otherwise(F.when(size % 2 == 0, "createContext(null)").otherwise("other"))
+    none, tags = F.lit(None).cast("int"), F.array().cast("array<string>")
+    nodes = part.select(
+        F.col("p_partkey").alias("file_id"), (F.col("p_partkey") * 8 + k).alias("id"), F.lit(None).cast("long").alias("parent_id"), F.when(k == 7, 200).otherwise(1 + k).alias("start_line"), none.alias("start_column"),
+        F.when(k == 7, 200).otherwise(100 - k).alias("end_line"), none.alias("end_column"), F.lit("typescript").alias("language"), kind.alias("node_type"), name.alias("name"), tags.alias("annotations"), tags.alias("tags"), F.lit("").alias("signature"),
+    )
+    found = hi.tagged_in_tree(nodes).where("id % 8 in (0, 7)").withColumn("at", F.col("id") % 8)
+    of = lambda at: F.array_join(F.max(F.when(F.col("at") == at, F.col("tags"))), ",")
+    return found.groupBy(F.col("file_id").alias("p_partkey")).agg(F.concat(of(0), F.lit("|"), of(7)).alias("tags"))

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from lithic.sources.staging import file_system
 
 _PART = "_part"
-ROWS_PER_FILE = 1_000_000
+ROWS_PER_FILE, SPREAD = 1_000_000, 8
 
 
 def bucket(column: str, n: int) -> Column:
@@ -108,9 +108,10 @@ class TableSet:
         return after["version"]
 
     def _write(self, put: Put) -> dict[str, str]:
-        """{part: folder} of what a put writes. A part with very many rows is split over tasks."""
+        """{part: folder} of what a put writes. Rows of a part go to SPREAD tasks at most, so a part may hold very many."""
         at = f"data/{uuid.uuid4().hex}"
-        rows = put.rows.withColumn(_PART, put.part).hint("rebalance", _PART).sortWithinPartitions(_PART, *put.order)
+        salt = F.pmod(F.xxhash64(*put.rows.columns), F.lit(SPREAD))
+        rows = put.rows.withColumn(_PART, put.part).repartition(_PART, salt).sortWithinPartitions(_PART, *put.order)
         rows.write.partitionBy(_PART).option("maxRecordsPerFile", ROWS_PER_FILE).parquet(f"{self.folder}/{at}")
         fs, root = file_system(self.spark, f"{self.folder}/{at}")
         names = [s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory()]
