@@ -29,8 +29,9 @@ def last_segment(text: Column, separator: str = ".") -> Column:
 
 
 def guessed_class(call: Column) -> Column:
-    """Class that a call's object suggests: `userService.save` gives UserService; null for `this.` and plain names."""
-    named = F.substring_index(call, ".", 1)
+    """Class that a call's object suggests: `userService.save` and `this.userService.save` give UserService; null for `this.save` and plain names."""
+    first = F.trim(F.substring_index(call, ".", 1))
+    named = F.when((first == "this") & (F.size(F.split(call, r"\.")) >= 3), F.trim(F.split_part(call, F.lit("."), F.lit(2)))).otherwise(first)
     pascal = F.concat(F.upper(F.substring(named, 1, 1)), named.substr(F.lit(2), F.length(named)))
     return F.when(call.contains(".") & (named != "this") & (named != "self") & (named != "*"), pascal)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,13 +12,12 @@ from lithic.operators.hierarchy import tree
 
 #: Package prefixes and the dependency that supplies them: (language, prefix, artifact, ecosystem).
 SEED_RULES = [
-    *(("java", prefix, artifact, "maven") for prefix, artifact in (
-        ("org.springframework", "spring-boot-starter"), ("org.springframework.boot", "spring-boot-starter"),
-        ("org.springframework.web", "spring-boot-starter-web"), ("org.springframework.data", "spring-boot-starter-data-jpa"),
-        ("jakarta.persistence", "spring-boot-starter-data-jpa"), ("javax.persistence", "spring-boot-starter-data-jpa"), ("lombok", "lombok"),
-        ("org.slf4j", "slf4j-api"), ("org.apache.commons", "commons-lang3"), ("com.fasterxml.jackson", "jackson-databind"),
-        ("org.junit", "junit"), ("org.mockito", "mockito-core"),
-    )),
+    ("java", "org.springframework", "spring-boot-starter", "maven"), ("java", "org.springframework.boot", "spring-boot-starter", "maven"),
+    ("java", "org.springframework.web", "spring-boot-starter-web", "maven"), ("java", "org.springframework.data", "spring-boot-starter-data-jpa", "maven"),
+    ("java", "jakarta.persistence", "spring-boot-starter-data-jpa", "maven"), ("java", "javax.persistence", "spring-boot-starter-data-jpa", "maven"),
+    ("java", "lombok", "lombok", "maven"), ("java", "org.slf4j", "slf4j-api", "maven"),
+    ("java", "org.apache.commons", "commons-lang3", "maven"), ("java", "com.fasterxml.jackson", "jackson-databind", "maven"),
+    ("java", "org.junit", "junit", "maven"), ("java", "org.mockito", "mockito-core", "maven"),
     ("typescript", "react", "react", "npm"), ("typescript", "react-dom", "react-dom", "npm"),
     ("typescript", "vue", "vue", "npm"), ("typescript", "@angular/core", "@angular/core", "npm"),
     ("typescript", "express", "express", "npm"), ("typescript", "koa", "koa", "npm"),
@@ -99,45 +100,6 @@ def prefix_matches(left: DataFrame, right: DataFrame, left_key: str, right_key:
     return down.union(up).withColumn("__rank", F.row_number().over(best)).where("__rank = 1").drop("__rank")
 
 
-def resolved_calls(calls: DataFrame, functions: DataFrame, imports: DataFrame | None = None, spark_rules: DataFrame | None = None) -> DataFrame:
-    """Call edges: every call (id, file_id, start_line, name, qualified_name, language) with caller, callee and kind.
-
-    In order: dynamic calls; functions of the call's qualified name (suffix); functions of its name; calls on an object
-    that a seed rule or import knows as external; calls in functions with injected parts; unknown. The first stage
-    with a match decides; a name that several functions have gives a row for each, those of the suggested class first.
-    """
-    spark = calls.sparkSession
-    bare = F.regexp_replace(last_segment(F.col("name")), "^new ", "")
-    ranked = calls.withColumn("__bare", bare)
-    caller = innermost(calls, functions.select("file_id", F.col("id").alias("caller_node_id"), F.col("start_line").alias("__s"), F.col("end_line").alias("__e"), "annotations"), ["id"], "file_id", "start_line", "__s", "__e", "caller_node_id")
-    callers = caller.select("id", "caller_node_id", "annotations")
-    level = lambda df, n, kind, callee=None: df.select("id", F.lit(n).alias("priority"), F.lit(kind).alias("call_type"), (callee if callee is not None else F.lit(None).cast("string")).alias("callee_node_id"))
-    named = ranked.join(functions.select(F.col("name").alias("__bare"), F.col("id").alias("callee_node_id"), F.col("qualified_name").alias("__target")), "__bare")
-    owner = guessed_class(F.coalesce("qualified_name", "name"))
-    named = narrowed(named, "id", F.coalesce(F.col("__target").contains(owner), F.lit(False)))
-    seeds = F.broadcast(rules(spark) if spark_rules is None else spark_rules)
-    subject = F.lower(F.substring_index(F.coalesce("qualified_name", "name"), ".", 1))
-    external = ranked.withColumn("__subject", subject).join(seeds.withColumnsRenamed({"language": "__language"}), (F.col("language") == F.col("__language")) & (F.lower(F.substring_index("prefix", ".", -1)) == F.col("__subject")))
-    if imports is not None:
-        known = imports.where("imported_file_id is null").select(F.col("importer_file_id").alias("file_id"), F.lower(last_segment(F.col("import_name"))).alias("__subject")).distinct()
-        external = external.select("id").unionByName(ranked.withColumn("__subject", subject).join(known, ["file_id", "__subject"]).select("id"))
-    marked = F.exists(F.coalesce("annotations", F.array().cast("array<string>")), lambda a: a.isin(*INJECTION, *INJECTION_TAGS))
-    injected = callers.where(marked & F.col("caller_node_id").isNotNull())
-    levels = [
-        level(ranked.where(F.col("name").isin(*DYNAMIC_CALLS) | F.col("__bare").isin(*DYNAMIC_CALLS)), 0, "dynamic"),
-        level(suffix_matches(calls, functions), 1, "static", F.col("callee_node_id")),
-        level(named, 2, "static", F.col("callee_node_id")),
-        level(external, 3, "external"),
-        level(injected.join(calls.where(F.col("name").contains(".")).select("id"), "id"), 4, "injected"),
-        level(calls, 5, "unknown"),
-    ]
-    candidates = levels[0]
-    for one in levels[1:]:
-        candidates = candidates.union(one)
-    chosen = by_priority(candidates, "id").drop("priority").distinct()
-    return chosen.join(callers.select("id", "caller_node_id"), "id").join(calls.select("id", "file_id", "start_line", F.col("name").alias("call_name")), "id")
-
-
 def resolved_paths(imports: DataFrame, files: DataFrame, path: str) -> DataFrame:
     """Imports with imported_file_id: the first of the module path's possible files that exists, or a file with another ending."""
     listed = imports.withColumn("__import", F.xxhash64(*imports.columns))
@@ -149,6 +111,41 @@ def resolved_paths(imports: DataFrame, files: DataFrame, path: str) -> DataFrame
     return listed.join(found, "__import", "left").drop("__import")
 
 
+#: Beginnings of import names that stand for the source folder, and endings that are tried, in order.
+ALIASES = ("@/", "~/", "@app/", "@src/")
+ALIAS_ENDINGS = (".ts", ".tsx", ".vue", ".js", ".jsx", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.vue", "/index.js", "/index.jsx")
+
+
+def aliased_path(name: Column) -> Column:
+    """An import's name without its alias, or without one leading ./ and one ../."""
+    bare = F.coalesce(*(F.when(F.startswith(name, F.lit(a)), F.substring(name, len(a) + 1, 1 << 30)) for a in ALIASES), name)
+    return F.regexp_replace(F.regexp_replace(bare, r"^\./", ""), r"^\.\./", "")
+
+
+def resolved_aliases(imports: DataFrame, files: DataFrame, name: str) -> DataFrame:
+    """`imports` with imported_file_id: the file (path, file_id) that a name of the bundler's kind stands for, null if none.
+
+    A name with a known ending is tried as it is, another with each of ALIAS_ENDINGS. First whole paths in that order;
+    then, for each candidate, a file whose path ends in it at a folder's border, and the same behind src/. Of several
+    files with an ending one whose whole path it is comes first, then the first by path. Candidates and endings of
+    paths meet in hash joins of distinct names, so a name that very many imports have is resolved once.
+    """
+    path = aliased_path(F.col("__name"))
+    known = reduce(Column.__or__, (F.endswith(path, F.lit(e)) for e in ALIAS_ENDINGS))
+    tried = F.when(known, F.array(path)).otherwise(F.array(*(F.concat(path, F.lit(e)) for e in ALIAS_ENDINGS)))
+    names = imports.select(F.col(name).alias("__name")).where("__name is not null").distinct()
+    candidates = names.select("__name", F.posexplode(tried).alias("__at", "__path"))
+    n = len(ALIAS_ENDINGS)
+    clean = files.select(F.replace("path", F.lit("\\"), F.lit("/")).alias("path"), "file_id")
+    exact = candidates.join(files.select(F.col("path").alias("__path"), "file_id"), "__path").select("__name", F.col("__at").alias("__rank"), "file_id")
+    tails = clean.select("path", "file_id", F.posexplode(path_suffixes(F.col("path"))).alias("__k", "__path"))
+    first = tails.groupBy("__path").agg(F.min_by("file_id", F.struct((F.col("__k") > 0).alias("part"), "path")).alias("file_id"))
+    behind = candidates.select("__name", F.explode(F.array(F.struct((n + 2 * F.col("__at")).alias("r"), F.col("__path").alias("p")), F.struct((n + 1 + 2 * F.col("__at")).alias("r"), F.concat(F.lit("src/"), "__path").alias("p")))).alias("c"))
+    ending = behind.select("__name", F.col("c.r").alias("__rank"), F.col("c.p").alias("__path")).join(first, "__path").select("__name", "__rank", "file_id")
+    best = exact.union(ending).groupBy("__name").agg(F.min_by("file_id", "__rank").alias("imported_file_id"))
+    return imports.join(best, F.col(name) == F.col("__name"), "left").drop("__name")
+
+
 def import_kind(name: Column, resolved: Column) -> Column:
     """external if nothing was found, relative if the name starts with a dot, else absolute."""
     return F.when(resolved.isNull(), "external").when(name.startswith("."), "relative").otherwise("absolute")

@@ -1,4 +1,4 @@
-"""Queries of what is kept and brought up to date: change propagation, node tables, indexes, streams, matching in rounds."""
+"""Queries of what is kept and brought up to date: change propagation, node tables, indexes, streams, matching in rounds, calls in levels."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from lithic.operators import evaluation as ev
 from lithic.operators import hierarchy as hi
 from lithic.operators import incremental as inc
+from lithic.operators import levels
+from lithic.operators import matching as mt
 from lithic.operators import search as se
 from lithic.operators.stored_index import StoredIndex
 from lithic.plans.queries import ORACLES, _t, query
@@ -155,3 +157,62 @@ def components_by_descendants(spark, sf):
     found = hi.tagged_in_tree(nodes).where("id % 8 in (0, 7)").withColumn("at", F.col("id") % 8)
     of = lambda at: F.array_join(F.max(F.when(F.col("at") == at, F.col("tags"))), ",")
     return found.groupBy(F.col("file_id").alias("p_partkey")).agg(F.concat(of(0), F.lit("|"), of(7)).alias("tags"))
+
+
+@query("""
+WITH c AS (SELECT event_id, event_id % 8 AS k, lpad(CAST(user_id % 25 AS VARCHAR), 2, '0') AS n, user_id % 50 AS f FROM events),
+e AS (
+  SELECT event_id, f, 'dynamic' AS level, 'dynamic' AS call_type, NULL AS callee, 'getattr' AS call_name FROM c WHERE k = 0
+  UNION ALL SELECT event_id, f, 'qualified name', 'static', 'c' || n, 'x' FROM c WHERE k = 1
+  UNION ALL SELECT event_id, f, 'qualified name', 'static', 'v' || n, '*.visit' FROM c WHERE k = 2
+  UNION ALL SELECT event_id, f, 'name', 'static', 'c' || n, 'Nation' || n FROM c WHERE k = 3
+  UNION ALL SELECT event_id, f, 'name', 'static', a, 'new Atlas' FROM c, (VALUES ('a1'), ('a2')) o(a) WHERE k = 4
+  UNION ALL SELECT event_id, f, 'external', 'external', NULL, 'numpy.array' FROM c WHERE k = 5
+  UNION ALL SELECT event_id, f, 'external', 'external', NULL, 'org.n' || n || '.array' FROM c WHERE k = 6
+  UNION ALL SELECT event_id, f, CASE f WHEN 7 THEN 'injected' ELSE 'unknown' END, CASE f WHEN 7 THEN 'injected' ELSE 'unknown' END, NULL, 'nowhere' FROM c WHERE k = 7)
+SELECT event_id, level, call_type, callee, CASE WHEN f < 20 THEN CASE f WHEN 7 THEN 'wired' ELSE 'around' || f END END AS caller, call_name FROM e
+""")
+def resolved_levels(spark, sf):
+    """Events as calls of eight kinds; every level finds some."""
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    n, none = F.lpad(F.col("n_nationkey").cast("string"), 2, "0"), F.array().cast("array<string>")
+    function = lambda df, ident, file, name, qualified, marks=none: df.select(ident.alias("id"), file.alias("file_id"), name.alias("name"), qualified.alias("qualified_name"), F.lit(1).alias("start_line"), F.lit(9).alias("end_line"), marks.alias("annotations"))
+    nations, away = _t(spark, sf, "nation"), F.lit("elsewhere")
+    files = spark.range(20)
+    functions = (
+        function(nations, text("c", n), away, text("Nation", n), text("geo.Nation", n))
+        .union(function(nations, text("v", n), away, F.lit("visit"), text("geo.N", n, ".visit")))
+        .union(function(spark.range(1, 3), text("a", F.col("id")), away, F.lit("Atlas"), text("geo.Atlas", F.col("id"))))
+        .union(function(files, F.when(F.col("id") == 7, "wired").otherwise(text("around", F.col("id"))), F.col("id").cast("string"), text("around", F.col("id")), F.lit(None).cast("string"), F.when(F.col("id") == 7, F.array(F.lit("@Autowired"))).otherwise(none)))
+    )
+    deps = nations.select(F.col("n_nationkey").cast("long").alias("number"), F.lit(None).cast("string").alias("group_name"), text("org.n", n).alias("artifact_name"))
+    imports = files.sparkSession.range(50).crossJoin(F.broadcast(nations)).select(F.col("id").cast("string").alias("file_id"), text("org.n", n, ".pkg.Obj", n).alias("name"), F.col("n_nationkey").cast("long").alias("number"))
+    kind, own = F.col("event_id") % 8, F.lpad((F.col("user_id") % 25).cast("string"), 2, "0")
+    pick = lambda *values: F.coalesce(*(F.when(kind == k, v) for k, v in enumerate(values) if v is not None), F.lit(None).cast("string"))
+    calls = _t(spark, sf, "events").select(
+        F.col("event_id").cast("string").alias("id"), (F.col("user_id") % 50).cast("string").alias("file_id"), F.lit(5).alias("start_line"),
+        pick(F.lit("getattr"), F.lit("x"), F.lit("*.visit"), text("Nation", own), F.lit("new Atlas"), F.lit("*.array"), F.lit("*.array"), F.lit("nowhere")).alias("name"),
+        pick(None, text("geo.Nation", own), text("n", own, ".visit"), None, None, F.lit("numpy.array"), text("obj", own, ".array")).alias("qualified_name"), F.lit("python").alias("language"),
+    )
+    found = levels.resolved(calls, functions, imports, deps)
+    return found.select(F.col("id").cast("long").alias("event_id"), "level", "call_type", F.col("callee_node_id").alias("callee"), F.col("caller_node_id").alias("caller"), "call_name")
+
+
+@query("""
+WITH p AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*', ''), '[?#].*$', ''), '^/+|/+$', '', 'g') AS path FROM pages),
+k AS (SELECT DISTINCT page_id, path, v FROM p, (VALUES (0), (1), (2), (3), (4)) k(v))
+SELECT page_id, v, CASE WHEN v < 4 THEN page_id END AS file_id FROM k
+""")
+def aliased_imports(spark, sf):
+    """A file per page, under src/ or web/, imported by alias, by whole path, by its ending, by a path of its own folder, and amiss."""
+    from lithic.functions.text import url_path
+
+    page, key = F.col("page_id"), F.col("page_id").cast("string")
+    pages = _t(spark, sf, "pages").select("page_id", url_path(F.col("url")).alias("path"))
+    ending = F.get(F.array(*(F.lit(e) for e in (".ts", ".vue", "/index.tsx", ".cjs"))), page % 4)
+    stem = F.concat_ws("/", "path", F.concat(F.lit("p"), key))
+    root = F.when(page % 2 == 0, "src/").otherwise("web/")
+    files = pages.select(F.concat(root, stem, ending).alias("path"), page.alias("file_id"))
+    names = F.array(F.concat(F.lit("@/"), stem), F.concat(root, stem, ending), F.concat(F.lit("~/p"), key, ending), F.concat(F.lit("./../p"), key), F.concat(F.lit("@src/none/p"), key, F.lit("x")))
+    imports = pages.select("page_id", F.posexplode(names).alias("v", "name"))
+    return mt.resolved_aliases(imports, files, "name").select("page_id", "v", F.col("imported_file_id").alias("file_id"))

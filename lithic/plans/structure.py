@@ -10,6 +10,7 @@ from lithic.functions import text as tx
 from lithic.operators import evaluation as ev
 from lithic.operators import frameworks as fw
 from lithic.operators import graphs as gr
+from lithic.operators import levels
 from lithic.operators import matching as mt
 from lithic.operators import tables as tb
 from lithic.plans.queries import _PATHS, _t, query
@@ -77,7 +78,7 @@ def resolved_calls(spark, sf):
     segment = F.col("c_mktsegment")
     name = F.when(segment == "AUTOMOBILE", "getattr").when(segment == "BUILDING", F.col("n_name")).when(segment == "FURNITURE", "*.array").otherwise("nowhere")
     calls = joined.select(F.col("c_custkey").cast("string").alias("id"), (F.col("c_custkey") % 25).cast("string").alias("file_id"), F.lit(5).alias("start_line"), name.alias("name"), F.when(segment == "FURNITURE", "numpy.array").alias("qualified_name"), F.lit("python").alias("language"))
-    return mt.resolved_calls(calls, functions).select(F.col("id").cast("long").alias("c_custkey"), "call_type", F.col("callee_node_id").alias("callee"), F.col("caller_node_id").alias("caller"))
+    return levels.resolved(calls, functions).select(F.col("id").cast("long").alias("c_custkey"), "call_type", F.col("callee_node_id").alias("callee"), F.col("caller_node_id").alias("caller"))
 
 
 @query(_PATHS + """

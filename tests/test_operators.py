@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from lithic.functions import jsons, text, vectors
-from lithic.operators import evaluation, frameworks, graphs, matching, search, statistics, tables
+from lithic.operators import evaluation, frameworks, graphs, levels, matching, search, statistics, tables
 
 CALLS = "id string, file_id string, start_line int, name string, qualified_name string, language string"
 FUNCTIONS = "id string, file_id string, name string, qualified_name string, start_line int, end_line int, annotations array<string>"
@@ -23,7 +23,7 @@ def test_calls_are_resolved_in_stages(spark):
         ("5", "a", 4, "getattr", None, "python"), ("6", "z", 1, "unknownFunc", None, "python"), ("7", "b", 2, "*.process", "two.process", "java"), ("8", "a", 6, "*.array", "numpy.array", "python"),
         ("9", "c", 3, "*.charge", "billing.charge", "java"),
     ], CALLS)
-    edges = matching.resolved_calls(calls, functions)
+    edges = levels.resolved(calls, functions)
     got = {}
     for r in edges.collect():
         got.setdefault(r.id, set()).add((r.call_type, r.callee_node_id, r.caller_node_id))
