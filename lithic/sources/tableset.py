@@ -110,7 +110,8 @@ class TableSet:
     def _write(self, put: Put) -> dict[str, str]:
         """{part: folder} of what a put writes. Rows of a part go to SPREAD tasks at most, so a part may hold very many."""
         at = f"data/{uuid.uuid4().hex}"
-        salt = F.pmod(F.xxhash64(*put.rows.columns), F.lit(SPREAD))
+        plain = [f.name for f in put.rows.schema if not isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType)]
+        salt = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in plain)), F.lit(SPREAD)) if plain else F.lit(0)
         rows = put.rows.withColumn(_PART, put.part).repartition(_PART, salt).sortWithinPartitions(_PART, *put.order)
         rows.write.partitionBy(_PART).option("maxRecordsPerFile", ROWS_PER_FILE).parquet(f"{self.folder}/{at}")
         fs, root = file_system(self.spark, f"{self.folder}/{at}")
