@@ -114,6 +114,9 @@ def balanced(text: str) -> str | None:
     return None
 
 
+_AFTER_STRING = re.compile(r"\s*([,:\]}]|$)")
+
+
 def _inner_quotes(text: str) -> str:
     """Escape quotes inside strings: those not followed by a comma, colon, bracket or the end."""
     out, quoted = [], False
@@ -121,7 +124,7 @@ def _inner_quotes(text: str) -> str:
         if c == '"' and text[i - 1 : i] != "\\":
             if not quoted:
                 quoted = True
-            elif re.match(r"\s*([,:\]}]|$)", text[i + 1 :]):
+            elif _AFTER_STRING.match(text, i + 1):
                 quoted = False
             else:
                 out.append("\\")

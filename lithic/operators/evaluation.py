@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from lithic.functions.vectors import cosine, overlap
+from lithic.operators.registry import Registry
 from lithic.sources.staging import staged
 
 TITLE_RATIO, COSINE, LINES = 0.8, 0.85, 0.5
@@ -43,6 +44,42 @@ def semantic_match(expected: Column, found: Column) -> Column:
     return cosine(expected, found) >= COSINE
 
 
+#: Ways in which an expected point matches a found one, as expressions of the columns expected and found (structs of title, aliases, lines, vector). Others may be added.
+MATCHERS = Registry()
+MATCHERS.add(10, "title", lambda: title_match(F.col("expected.title"), F.col("expected.aliases"), F.col("found.title")))
+MATCHERS.add(20, "lines", lambda: line_match(F.col("expected.lines"), F.col("found.lines")))
+MATCHERS.add(30, "semantic", lambda: semantic_match(F.col("expected.vector"), F.col("found.vector")))
+
+
+def matched(pairs: DataFrame, names: list[str], matchers: Registry = MATCHERS) -> DataFrame:
+    """Pairs (expected, found: structs with a category too) that the matchers named hold for: of one category, and any of them."""
+    same = F.col("expected.category") == F.col("found.category")
+    return pairs.where(point_match(F.coalesce(same, F.lit(False)), *(matchers[n]() for n in names)))
+
+
+def synthetic_nodes(cases: DataFrame) -> DataFrame:
+    """(case_id, id, node_type, name, file_id, start_line, end_line, qualified_name, language): a node per snippet of cases (id, language, code_snippets)."""
+    each = cases.select(F.col("id").alias("case_id"), "language", F.posexplode("code_snippets").alias("at", "s"))
+    number, name = F.col("at").cast("string"), F.translate("s.file", "/\\", "__")
+    kind = F.when(F.col("language").isin("python", "java", "go"), "file").otherwise("script")
+    return each.select("case_id", number.alias("id"), kind.alias("node_type"), name.alias("name"), number.alias("file_id"), F.col("s.start_line").alias("start_line"), F.col("s.end_line").alias("end_line"), name.alias("qualified_name"), "language")
+
+
+def category_summary(results: DataFrame) -> DataFrame:
+    """One row per category of case results (category, f1, precision, recall, extracted, expected, confidence), and one with a null category over all.
+
+    Means are plain ones over cases, rounded to 4 places; over all the F1 is the mean of the categories' unrounded ones,
+    and precision, recall and confidence are null.
+    """
+    mean = lambda c: F.avg(c).alias(c)
+    by = results.groupBy("category").agg(mean("f1"), mean("precision"), mean("recall"), mean("confidence"), F.sum("extracted").alias("extracted"), F.sum("expected").alias("expected"), F.count("*").alias("cases"))
+    none = F.lit(None).cast("double")
+    whole = by.agg(F.coalesce(F.avg("f1"), F.lit(0.0)).alias("f1"), F.coalesce(F.sum("extracted"), F.lit(0)).alias("extracted"), F.coalesce(F.sum("expected"), F.lit(0)).alias("expected"), F.coalesce(F.sum("cases"), F.lit(0)).alias("cases"))
+    whole = whole.withColumns({"category": F.lit(None).cast("string"), "precision": none, "recall": none, "confidence": none})
+    order = ["category", "f1", "precision", "recall", "confidence", "extracted", "expected", "cases"]
+    return by.select(order).union(whole.select(order)).withColumns({c: F.round(c, 4) for c in order[1:5]})
+
+
 def point_match(same_category: Column, *strategies: Column) -> Column:
     """Same category and any strategy; one that is null does not match."""
     out = F.lit(False)

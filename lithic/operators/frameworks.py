@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithic.functions.text import first_match, naming, route_pattern
+from lithic.operators.registry import Registry
 
 #: Fixed values: (framework, category, file names, texts in them).
 FILE_SIGNATURES = [
@@ -49,7 +52,11 @@ PYTHON_TAGS = {
 }
 #: HTTP methods of annotations; an empty one is read from the arguments.
 SPRING_METHODS = {"@GetMapping": "GET", "@PostMapping": "POST", "@PutMapping": "PUT", "@DeleteMapping": "DELETE", "@PatchMapping": "PATCH", "@RequestMapping": ""}
-PYTHON_METHODS = {f"@{owner}.{verb}": "GET" if verb == "route" else verb.upper() for owner in ("app", "bp", "router") for verb in ("route", "get", "post", "put", "delete", "patch") if (owner, verb) != ("router", "route")}
+PYTHON_METHODS = {
+    "@app.route": "GET", "@app.get": "GET", "@app.post": "POST", "@app.put": "PUT", "@app.delete": "DELETE", "@app.patch": "PATCH",
+    "@bp.route": "GET", "@bp.get": "GET", "@bp.post": "POST", "@bp.put": "PUT", "@bp.delete": "DELETE", "@bp.patch": "PATCH",
+    "@router.get": "GET", "@router.post": "POST", "@router.put": "PUT", "@router.delete": "DELETE", "@router.patch": "PATCH",
+}
 #: Kinds of middleware by what their names contain, in order.
 MIDDLEWARE_KINDS = {
     "auth": "authentication", "login": "authentication", "token": "authentication", "jwt": "authentication", "session": "authentication", "rate": "rate_limiting",
@@ -95,19 +102,45 @@ def by_nodes(nodes: DataFrame) -> DataFrame:
     return both.groupBy("framework").agg(F.least(F.sum("confidence"), F.lit(1.0)).alias("confidence"))
 
 
-def tagged(nodes: DataFrame) -> DataFrame:
-    """Nodes (language, node_type, name, annotations, tags, signature) with tags of their language's rules put behind their own."""
+#: Taggers: expressions of a node's columns that give an array of tags, for nodes of the languages they are registered with. Others may be added.
+TAGGERS = Registry()
+
+
+@TAGGERS.register(10, "java", languages=("java",))
+def _java_tags() -> Column:
     java = F.create_map(*(F.lit(x) for kv in JAVA_TAGS.items() for x in kv))
-    from_java = F.array_compact(F.transform("annotations", lambda a: F.try_element_at(java, a)))
+    return F.array_compact(F.transform("annotations", lambda a: F.try_element_at(java, a)))
+
+
+@TAGGERS.register(20, "python", languages=("python",))
+def _python_tags() -> Column:
     first = lambda a: F.coalesce(*(F.when(a.startswith(k), v) for k, v in PYTHON_TAGS.items()))
-    from_python = F.array_compact(F.transform("annotations", first))
+    return F.array_compact(F.transform("annotations", first))
+
+
+@TAGGERS.register(30, "script", languages=("typescript", "javascript"))
+def _script_tags() -> Column:
     kind = naming(F.col("name"))
-    script = F.array_compact(F.array(F.when(kind == "hook", "react-hook"), F.when((kind == "component") & F.col("node_type").isin("function", "class"), "react-component"), F.when(F.col("name").endswith("Context"), "react-context")))
-    go = F.array_compact(F.array(F.when(F.coalesce("signature", F.lit("")).rlike(r"\*gin\.Context|echo\.Context|http\.ResponseWriter"), "http-handler")))
-    vue = F.array_compact(F.array(F.when(F.col("name").rlike("^use[A-Z]"), "vue-composable"), F.when(F.col("name").isin("mounted", "created", "updated", "onMounted", "onUpdated", "onUnmounted"), "vue-lifecycle")))
+    return F.array_compact(F.array(F.when(kind == "hook", "react-hook"), F.when((kind == "component") & F.col("node_type").isin("function", "class"), "react-component"), F.when(F.col("name").endswith("Context"), "react-context")))
+
+
+@TAGGERS.register(40, "go", languages=("go",))
+def _go_tags() -> Column:
+    return F.array_compact(F.array(F.when(F.coalesce("signature", F.lit("")).rlike(r"\*gin\.Context|echo\.Context|http\.ResponseWriter"), "http-handler")))
+
+
+@TAGGERS.register(50, "vue", languages=("vue",))
+def _vue_tags() -> Column:
+    return F.array_compact(F.array(F.when(F.col("name").rlike("^use[A-Z]"), "vue-composable"), F.when(F.col("name").isin("mounted", "created", "updated", "onMounted", "onUpdated", "onUnmounted"), "vue-lifecycle")))
+
+
+def tagged(nodes: DataFrame, taggers: Registry = TAGGERS) -> DataFrame:
+    """Nodes (language, node_type, name, annotations, tags, signature) with the tags of their language's taggers, in order, put behind their own, none twice."""
     none = F.array().cast("array<string>")
-    new = F.when(F.col("language") == "java", from_java).when(F.col("language") == "python", from_python).when(F.col("language").isin("typescript", "javascript"), script).when(F.col("language") == "go", go).when(F.col("language") == "vue", vue).otherwise(none)
-    return nodes.withColumn("tags", F.array_union(F.coalesce("tags", none), F.coalesce(new, none)))
+    tags = F.coalesce("tags", none)
+    for _, build, more in taggers:
+        tags = F.array_union(tags, F.coalesce(F.when(F.col("language").isin(*more["languages"]), build()), none))
+    return nodes.withColumn("tags", tags)
 
 
 def _unquoted(arg: Column) -> Column:
@@ -154,12 +187,19 @@ def configured_routes(files: DataFrame, content: str = "content") -> DataFrame:
     return once.select(F.lit("GET").alias("http_method"), route_pattern(F.col("__p")).alias("path_pattern"), "handler", "file_path", F.lit("frontend").alias("framework"))
 
 
-def routes(nodes: DataFrame, calls: DataFrame, files: DataFrame) -> DataFrame:
-    return annotated_routes(nodes).unionByName(express_routes(calls)).unionByName(configured_routes(files))
+#: Ways to find routes, each from (nodes, calls, files). Others may be added.
+ROUTES = Registry()
+ROUTES.add(10, "annotations", lambda nodes, calls, files: annotated_routes(nodes))
+ROUTES.add(20, "express", lambda nodes, calls, files: express_routes(calls))
+ROUTES.add(30, "configurations", lambda nodes, calls, files: configured_routes(files))
+
+
+def routes(nodes: DataFrame, calls: DataFrame, files: DataFrame, ways: Registry = ROUTES) -> DataFrame:
+    return reduce(DataFrame.unionByName, [find(nodes, calls, files) for _, find, _ in ways])
 
 
-def middleware(calls: DataFrame) -> DataFrame:
-    """(name, kind, file_path, start_line) of `*.use` calls and interceptor registrations, in source order."""
+def middleware(calls: DataFrame, kinds: dict[str, str] = MIDDLEWARE_KINDS) -> DataFrame:
+    """(name, kind, file_path, start_line) of `*.use` calls and interceptor registrations, in source order; kinds by what a name contains."""
     used = calls.where((F.col("name") == "*.use") | (F.col("name") == "addInterceptors"))
     what = F.coalesce(F.nullif(F.regexp_extract(F.coalesce("qualified_name", "name"), r"use\(\s*([\w.]+)", 1), F.lit("")), F.col("name"))
-    return used.select(what.alias("name"), first_match(what, MIDDLEWARE_KINDS, "generic").alias("kind"), "file_path", "start_line").orderBy("file_path", "start_line", "name")
+    return used.select(what.alias("name"), first_match(what, kinds, "generic").alias("kind"), "file_path", "start_line").orderBy("file_path", "start_line", "name")

@@ -50,6 +50,32 @@ def extracted(cases: DataFrame, extract: Callable[[list[dict], str], list[dict]]
     return cases.select("id", "category", "code_snippets").mapInPandas(run, POINTS)
 
 
+def expanded(points: DataFrame, expand: Callable[[dict], str | None], least: float = 0.0, columns: tuple[str, ...] = ("title", "description", "category")) -> DataFrame:
+    """Points with `expansion` from `expand` (a dict of the named columns) in place of theirs, and `expansion_failed`.
+
+    Points below `least` confidence (null counts 0.5) are passed on as they are; with 0 all are asked for. Where `expand`
+    gives nothing or raises, the expansion stays as it was and the point counts as failed. Points of a partition are
+    asked for one after the other, partitions at once.
+    """
+    asked = F.coalesce("confidence", F.lit(0.5)) >= least
+    given = F.when(asked, F.struct(*columns))
+
+    @F.pandas_udf("string")
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        def one(row: dict) -> str | None:
+            try:
+                return expand(row) or None
+            except Exception:  # a caller's function: whatever it raises, its point has no new expansion
+                return None
+
+        for part in parts:
+            yield pd.Series([None if all(v is None for v in row.values()) else one(row) for row in part.to_dict("records")], index=part.index, dtype="object")
+
+    new = points.withColumn("__new", run(F.struct(*(given.getField(c).alias(c) for c in columns))))
+    old = F.col("expansion") if "expansion" in points.columns else F.lit(None).cast("string")
+    return new.withColumns({"expansion": F.coalesce("__new", old), "expansion_failed": asked & F.col("__new").isNull()}).drop("__new")
+
+
 def context(files: DataFrame, group: str, most: int = 50, chars: int = 5000) -> DataFrame:
     """(group, path, content): of each group's files the first `most` by path, each cut to `chars` at a line's end."""
     order = Window.partitionBy(group).orderBy("path")

@@ -44,6 +44,15 @@ def replaced(rows: DataFrame, path: str, partition: list[str]) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path)
 
 
+def rebuilt(rows: DataFrame, path: str, dry_run: bool = False) -> int:
+    """Write `rows` in place of the table in `path` and return how many they are; a dry run only counts them."""
+    if dry_run:
+        return rows.count()
+    watch = Observation("rebuilt")
+    rows.observe(watch, F.count("*").alias("n")).write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path)
+    return watch.get["n"]
+
+
 def snapshot(files: DataFrame, version: str, stage: str, path: str) -> None:
     """Store a stage's file hashes under its version; keyed by path, so that new file ids do not matter."""
     rows = files.select("path", "content_hash").withColumns({"analysis_version": F.lit(version), "stage": F.lit(stage)})

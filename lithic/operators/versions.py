@@ -83,6 +83,11 @@ class Versions:
         part = F.lit(version)
         return self.tables.commit([Put("points", own, part, "parts", [version]), Put("files", files.select("path", "content_hash"), part, "parts", [version]), self._with_record(row)])
 
+    def mark(self, version: str, category: str, status: str) -> int:
+        """Set the status of one category of a version, as a run does that failed or succeeded later."""
+        marked = F.transform_values("agent_status", lambda k, v: v.withField("status", F.when(k == category, status).otherwise(v["status"])))
+        return self.tables.commit([self._with_record(self.records().where(F.col("version") == version).withColumn("agent_status", marked))])
+
     def end(self, version: str, status: str) -> int:
         """Mark a version failed or cancelled and drop its points and files, all at once."""
         if status not in ("failed", "cancelled"):
@@ -112,7 +117,8 @@ class Versions:
         files (path, content_hash, ...) as they are now; those added or modified since that version, and what `reach`
         adds to the changed paths (path), go to `analyse`, which gives points like the version's. More than FULL_RATIO
         of the files changed: all go. Points of the category whose files are untouched stay, others of it are replaced,
-        other categories' points are carried over. A category that succeeded is skipped unless `force`. No points found
+        other categories' points are carried over. A category that succeeded is skipped unless `force`; a forced one, and one
+        that the version has no status for, is analysed over all files. No points found
         counts as failed: the points stay as they were, and only the status says so. Everything is one commit, after
         the analysis; if that dies, the old version is as it was. Without a completed version: an error.
         """

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from lithic.operators import evaluation as ev
+from lithic.operators import graphs as gr
 from lithic.operators import hierarchy as hi
 from lithic.operators import incremental as inc
 from lithic.operators import levels
 from lithic.operators import matching as mt
 from lithic.operators import search as se
 from lithic.operators.stored_index import StoredIndex
+from lithic.operators.versions import Versions
 from lithic.plans.queries import ORACLES, _t, query
 from lithic.sources.staging import scratch
 from lithic.streaming import guards
@@ -216,3 +220,46 @@ def aliased_imports(spark, sf):
     names = F.array(F.concat(F.lit("@/"), stem), F.concat(root, stem, ending), F.concat(F.lit("~/p"), key, ending), F.concat(F.lit("./../p"), key), F.concat(F.lit("@src/none/p"), key, F.lit("x")))
     imports = pages.select("page_id", F.posexplode(names).alias("v", "name"))
     return mt.resolved_aliases(imports, files, "name").select("page_id", "v", F.col("imported_file_id").alias("file_id"))
+
+
+@query("""
+SELECT CASE WHEN lang = 'de' AND doc_id % 20 = 3 THEN 'v1-retry-de new ' || doc_id ELSE 'v1 ' || doc_id END AS title, lang AS category, doc_id AS id, CASE WHEN lang = 'de' THEN 2 ELSE 1 END AS attempts, 'success' AS status
+FROM documents
+""")
+def category_retry(spark, sf):
+    """Documents as files with a point each; German failed in the first version and one file in twenty has changed when it is analysed again."""
+    docs = _t(spark, sf, "documents").select("doc_id", "lang", F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("path"), F.sha2("text", 256).alias("content_hash"))
+    made = lambda df, label: df.select(F.lit("").alias("version"), F.col("lang").alias("category"), F.col("doc_id").alias("id"), F.concat(F.lit(label), F.col("doc_id").cast("string")).alias("title"), F.array("path").alias("files"))
+    versions = Versions(spark, scratch(spark))
+    versions.create("v1", datetime(2024, 1, 1))
+    versions.complete("v1", made(docs, "v1 "), docs, datetime(2024, 1, 2))
+    versions.mark("v1", "de", "failed")
+    now = docs.withColumn("content_hash", F.when(F.col("doc_id") % 20 == 3, F.concat("content_hash", F.lit("!"))).otherwise(F.col("content_hash")))
+    done = versions.retry("de", now, lambda asked: made(asked.where("lang = 'de'"), "v1-retry-de new "), datetime(2024, 1, 3))
+    agents = versions.records().where(F.col("version") == done["version"]).select(F.explode("agent_status").alias("category", "s"))
+    return versions.points(done["version"]).join(agents, "category").select("title", "category", "id", "s.attempts", "s.status")
+
+
+@query("""
+WITH p AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*', ''), '[?#].*$', ''), '^/+|/+$', '', 'g') || '/P' || page_id AS path FROM pages),
+x AS (SELECT path, string_split(path, '/') AS s FROM p),
+t AS (SELECT array_to_string(s[1:n], '/') AS path, array_to_string(s[1:n - 1], '/') AS parent, s[n] AS name, max(n < len(s)) AS is_folder, count(*) AS n_files FROM (SELECT s, unnest(range(1, len(s) + 1)) AS n FROM x) GROUP BY 1, 2, 3)
+SELECT parent, CAST(row_number() OVER (PARTITION BY parent ORDER BY is_folder DESC, lower(name), name) AS INTEGER) AS at, path, name, is_folder, n_files FROM t
+""")
+def folder_listing(spark, sf):
+    from lithic.functions.text import url_path
+
+    files = _t(spark, sf, "pages").select(F.concat(url_path(F.col("url")), F.lit("/P"), F.col("page_id").cast("string")).alias("path"))
+    return gr.listing(gr.folder_tree(files, "path"))
+
+
+@query("""
+WITH r AS (SELECT event_type AS category, value / 100 AS f1, value / 200 AS precision, value / 300 AS recall, value / 400 AS confidence, event_id % 5 AS extracted, event_id % 3 AS expected FROM events),
+c AS (SELECT category, avg(f1) AS f1, avg(precision) AS precision, avg(recall) AS recall, avg(confidence) AS confidence, CAST(sum(extracted) AS BIGINT) AS extracted, CAST(sum(expected) AS BIGINT) AS expected, count(*) AS cases FROM r GROUP BY 1)
+SELECT category, round(f1, 4) AS f1, round(precision, 4) AS precision, round(recall, 4) AS recall, round(confidence, 4) AS confidence, extracted, expected, cases FROM c
+UNION ALL SELECT NULL, round(avg(f1), 4), NULL, NULL, NULL, CAST(sum(extracted) AS BIGINT), CAST(sum(expected) AS BIGINT), CAST(sum(cases) AS BIGINT) FROM c
+""")
+def summary_by_category(spark, sf):
+    e = _t(spark, sf, "events")
+    part = lambda n, name: (F.col("value") / n).alias(name)
+    return ev.category_summary(e.select(F.col("event_type").alias("category"), part(100, "f1"), part(200, "precision"), part(300, "recall"), part(400, "confidence"), (F.col("event_id") % 5).alias("extracted"), (F.col("event_id") % 3).alias("expected")))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lithic.operators.registry import Registry
+
 #: Ecosystems of manifests.
 ECOSYSTEMS = {
     "pom.xml": "maven", "build.gradle": "maven", "build.gradle.kts": "maven", "package.json": "npm", "requirements.txt": "pip",
@@ -147,13 +149,16 @@ def toml(files: DataFrame) -> DataFrame:
     return named.withColumn("version", version).select(*_OUT)
 
 
-PARSERS = {"pom": pom, "gradle": gradle, "npm": npm, "requirements": requirements, "go": go_mod, "toml": toml}
+#: Parsers of manifests: files (path, content) to rows (path, ecosystem, group_name, artifact_name, version, version_range, scope, at). Others may be added.
+PARSERS = Registry()
+for _n, (_name, _parse) in enumerate((("pom", pom), ("gradle", gradle), ("npm", npm), ("requirements", requirements), ("go", go_mod), ("toml", toml))):
+    PARSERS.add(10 * _n, _name, _parse)
 
 
-def dependencies(files: DataFrame) -> DataFrame:
+def dependencies(files: DataFrame, parsers: Registry = PARSERS) -> DataFrame:
     """Dependencies of all manifests among files (path, content), the first of each (ecosystem, group, artifact)."""
     every = None
-    for parse in PARSERS.values():
+    for _, parse, _ in parsers:
         every = parse(files) if every is None else every.unionByName(parse(files))
     first = Window.partitionBy("ecosystem", "group_name", "artifact_name").orderBy("path", "at")
     return every.withColumn("__rank", F.row_number().over(first)).where("__rank = 1").drop("__rank")

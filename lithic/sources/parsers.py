@@ -11,11 +11,14 @@ import ast
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lithic.operators.registry import Registry
+
 NODES = (
     "id string, file_path string, language string, node_type string, name string, qualified_name string, start_line int, end_line int, "
     "start_column int, end_column int, parent_id string, signature string, docstring string, annotations array<struct<name:string,args:array<string>>>, error string"
@@ -94,20 +97,20 @@ PATTERNS = {
         ("method", r"^func\s*\((?P<owner>[^)]*)\)\s*(?P<name>\w+)\s*\([^{\n]*\{"), ("function", r"^func\s+(?P<name>\w+)\s*[(\[][^{\n]*\{"),
     ],
 }
+_SPACE = re.compile(r"\s*")
 _CALL = re.compile(r"(?P<new>\bnew\s+)?(?P<name>[A-Za-z_$][\w$]*(?:\s*\.\s*[A-Za-z_$][\w$]*)*)\s*\(")
 _ANNOTATION = re.compile(r"@(?P<name>[\w.]+)(?:\((?P<args>[^()]*)\))?\s*$")
 
 
-def _end_of_block(bare: str, start: int) -> int:
-    depth = 0
-    for i in range(start, len(bare)):
-        if bare[i] == "{":
-            depth += 1
-        elif bare[i] == "}":
-            depth -= 1
-            if depth <= 0:
-                return i + 1
-    return len(bare)
+def _ends_of_blocks(bare: str) -> dict[int, int]:
+    """Place after the matching brace of every opening one that has any: one pass with a stack."""
+    ends, stack = {}, []
+    for m in re.finditer(r"[{}]", bare):
+        if m[0] == "{":
+            stack.append(m.start())
+        elif stack:
+            ends[stack.pop()] = m.end()
+    return ends
 
 
 def parse_by_pattern(path: str, lang: str, text: str) -> list[tuple]:
@@ -122,14 +125,14 @@ def parse_by_pattern(path: str, lang: str, text: str) -> list[tuple]:
         return line, i - starts[line - 1]
 
     package = re.search(r"^\s*package\s+([\w.]+)", bare, re.M)
-    found = []
+    found, ends, lines = [], _ends_of_blocks(bare), text.split("\n")
     for kind, pattern in PATTERNS[lang]:
         source = uncommented if kind == "import" else bare
         for m in re.finditer(pattern, source, re.M):
             name = m["name"]
             if kind in ("method", "object_method", "constructor") and name in _WORDS:
                 continue
-            end = _end_of_block(bare, m.end() - 1) if m[0].endswith("{") else m.end()
+            end = ends.get(m.end() - 1, len(bare)) if m[0].endswith("{") else m.end()
             owner = re.sub(r"^.*[\s*]|\*", "", (m.groupdict().get("owner") or "").strip())
             found.append((m.start("name"), end, kind, name, owner, text[m.start() : m.end()].strip().rstrip("{").strip(), m.start()))
     found.sort(key=lambda x: (x[6], -x[1]))
@@ -160,12 +163,13 @@ def parse_by_pattern(path: str, lang: str, text: str) -> list[tuple]:
         names = [*owners, *([owner] if owner else []), name]
         stem = re.sub(r"\.\w+$", "", path)
         qualified = {"java": ".".join([*([package[1]] if package else []), *names]), "go": f"{package[1] if package else ''}:{'.'.join(names)}"}.get(lang, f"{stem}:{'.'.join(names)}")
-        line, column = place(first + len(text[first:]) - len(text[first:].lstrip()))
-        above = text[: starts[line - 1]].rstrip("\n").split("\n")
-        annotations = []
-        while above and (m := _ANNOTATION.search(above[-1].strip())) and above[-1].strip().startswith("@"):
+        line, column = place(_SPACE.match(text, first).end())
+        above, annotations = line - 2, []
+        while above >= 0 and not lines[above]:
+            above -= 1
+        while above >= 0 and (m := _ANNOTATION.search(lines[above].strip())) and lines[above].strip().startswith("@"):
             annotations.insert(0, ("@" + m["name"], [a.strip() for a in (m["args"] or "").split(",") if a.strip()]))
-            above.pop()
+            above -= 1
         row = _row(path, lang, kind, name, None if kind == "import" else qualified, (line, place(max(end - 1, start))[0], column, place(max(end - 1, start))[1]), parent, None if kind == "import" else signature, None, annotations)
         rows.append(row)
         if kind not in ("import", "jsx_element", "type"):
@@ -184,25 +188,32 @@ def parse_vue(path: str, text: str) -> list[tuple]:
     return rows
 
 
-def parse(path: str, lang: str, text: str | None) -> list[tuple]:
+#: A language's parser: (path, text) to rows, registered under the language's name. Others may be added.
+PARSERS = Registry()
+PARSERS.add(10, "python", parse_python)
+PARSERS.add(20, "vue", parse_vue)
+for _n, _language in enumerate(PATTERNS):
+    PARSERS.add(30 + _n, _language, partial(parse_by_pattern, lang=_language))
+
+
+def parse(path: str, lang: str, text: str | None, parsers: dict | None = None) -> list[tuple]:
     """Rows of one file; a file that is too long or can't be parsed gives one row with an error."""
     if text is None or len(text) > MAX_CHARS:
         return [_row(path, lang, "error", "", None, (0, 0, 0, 0), error="empty" if text is None else "too long")]
     try:
-        if lang == "python":
-            return parse_python(path, text)
-        return parse_vue(path, text) if lang == "vue" else parse_by_pattern(path, lang, text)
+        return (parsers or {n: build for n, build, _ in PARSERS})[lang](path, text=text)
     except (SyntaxError, ValueError, RecursionError) as e:
         return [_row(path, lang, "error", "", None, (0, 0, 0, 0), error=type(e).__name__)]
 
 
-def nodes(files: DataFrame) -> DataFrame:
-    """Node rows of files (path, language, content) of the languages that are parsed."""
+def nodes(files: DataFrame, parsers: Registry = PARSERS) -> DataFrame:
+    """Node rows of files (path, language, content) of the languages that `parsers` has; their functions go to the executors."""
+    by_language = {n: build for n, build, _ in parsers}
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = [r for path, lang, text in zip(part["path"], part["language"], part["content"]) for r in parse(path, lang, text)]
+            rows = [r for path, lang, text in zip(part["path"], part["language"], part["content"]) for r in parse(path, lang, text, by_language)]
             yield pd.DataFrame(rows, columns=_COLUMNS)
 
-    wanted = files.where(F.col("language").isin("python", "vue", *PATTERNS))
+    wanted = files.where(F.col("language").isin(*by_language))
     return wanted.select("path", "language", "content").mapInPandas(run, NODES)
