@@ -40,8 +40,13 @@ def line_match(expected: Column, found: Column) -> Column:
     return overlap(expected, found) >= LINES
 
 
+def alike(near: Column) -> Column:
+    """Whether a cosine is that of points with one meaning."""
+    return near >= COSINE
+
+
 def semantic_match(expected: Column, found: Column) -> Column:
-    return cosine(expected, found) >= COSINE
+    return alike(cosine(expected, found))
 
 
 #: Ways in which an expected point matches a found one, as expressions of the columns expected and found (structs of title, aliases, lines, vector). Others may be added.

@@ -57,13 +57,19 @@ def suggestions(rows: DataFrame, name: str, kind: str, query: str, most: int) ->
     return found.orderBy(F.desc("n"), name, kind).limit(most)
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = 1024) -> DataFrame:
+#: Bytes of a block of queries, which is broadcast, and queries and rows multiplied at a time.
+BLOCK_BYTES, _ROWS, _COLUMNS = 32 << 20, 1024, 4096
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(query_id, id, score, rank): exact nearest vectors by cosine, rounded to 6 places, ties by id.
 
-    queries and vectors hold (id, v) of one dimension, without nulls. Queries are taken in blocks of at most `block`
-    by hash; each block goes to the tasks in one piece, and a task reports at most k rows per query and batch.
+    queries and vectors hold (id, v) of one dimension, without nulls. Queries are taken in blocks of about `block_bytes`
+    by hash, each with one read of `vectors`; a task keeps k rows per query over all that it reads. Empty tables: no rows.
     """
-    blocks = max(1, -(-queries.count() // block))
+    first = queries.select(F.size("v").alias("d")).first()
+    size = max(1, block_bytes // (8 * first["d"])) if first else 1
+    blocks = max(1, -(-queries.count() // size))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     number = F.pmod(F.xxhash64("id"), F.lit(blocks))
     found = [_block_nearest(queries.where(number == b).select("id", "v").toPandas(), vectors.select("id", "v"), k) for b in range(blocks)]
@@ -71,22 +77,33 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int = 1024) -
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def _unit(column: pd.Series) -> np.ndarray:
+    made = np.stack(column.to_numpy())
+    return made / np.sqrt((made * made).sum(axis=1, keepdims=True))
+
+
 def _block_nearest(asked: pd.DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    own = asked["id"].to_numpy()
-    unit = lambda column: (x := np.stack(column.to_numpy())) / np.sqrt((x * x).sum(axis=1, keepdims=True))
-    q = unit(asked["v"]) if len(asked) else None
+    schema = "query_id long, id long, score double"
+    if not len(asked):
+        return vectors.sparkSession.createDataFrame([], schema)
+    shared = vectors.sparkSession.sparkContext.broadcast((asked["id"].to_numpy(), _unit(asked["v"])))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, units = shared.value
+        kept_id, kept = np.full((len(own), k), np.iinfo(np.int64).max), np.full((len(own), k), -np.inf)
         for batch in batches:
-            if q is None or not len(batch):
-                continue
-            ids = batch["id"].to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids, score = ids[order], np.round(q @ unit(batch["v"].iloc[order]).T, 6) + 0.0
-            score[own[:, None] == ids[None, :]] = -np.inf
-            top = np.argsort(-score, axis=1, kind="stable")[:, :k]
-            row, at = np.repeat(np.arange(len(own)), top.shape[1]), top.ravel()
-            there = np.isfinite(score[row, at])
-            yield pd.DataFrame({"query_id": own[row[there]], "id": ids[at[there]], "score": score[row[there], at[there]]})
-
-    return vectors.mapInPandas(run, "query_id long, id long, score double")
+            for start in range(0, len(batch), _COLUMNS):
+                part = batch.iloc[start : start + _COLUMNS].sort_values("id", kind="stable")
+                ids, rows = part["id"].to_numpy(), _unit(part["v"])
+                for at in range(0, len(own), _ROWS):
+                    some = slice(at, min(len(own), at + _ROWS))
+                    score = np.round(units[some] @ rows.T, 6) + 0.0
+                    score[own[some, None] == ids[None, :]] = -np.inf
+                    top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                    both, names = np.hstack([kept[some], np.take_along_axis(score, top, 1)]), np.hstack([kept_id[some], ids[top]])
+                    order = np.lexsort((names, -both), axis=1)[:, :k]
+                    kept[some], kept_id[some] = np.take_along_axis(both, order, 1), np.take_along_axis(names, order, 1)
+        row, at = np.nonzero(np.isfinite(kept))
+        yield pd.DataFrame({"query_id": own[row], "id": kept_id[row, at], "score": kept[row, at]})
+
+    return vectors.mapInPandas(run, schema)
