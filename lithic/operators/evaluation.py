@@ -14,7 +14,7 @@ from pyspark.sql.types import DoubleType
 
 from lithic.functions.vectors import cosine, overlap
 from lithic.operators.registry import Registry
-from lithic.sources.staging import staged
+from lithic.sources.staging import staged, unstage
 
 TITLE_RATIO, COSINE, LINES = 0.8, 0.85, 0.5
 WARN, CRITICAL = 0.05, 0.1
@@ -111,7 +111,9 @@ def assigned(pairs: DataFrame, group: list[str], rounds: int = ROUNDS, few: int
             break
         first = left.groupBy("g", "e").agg(F.min("f").alias("f"))
         now = staged(first.join(left.groupBy("g", "f").agg(F.min("e").alias("e")), ["g", "e", "f"]).select("g", "e", "f"))
-        left = staged(left.join(now.select("g", "e"), ["g", "e"], "left_anti").join(now.select("g", "f"), ["g", "f"], "left_anti").select("g", "e", "f"))
+        rest = staged(left.join(now.select("g", "e"), ["g", "e"], "left_anti").join(now.select("g", "f"), ["g", "f"], "left_anti").select("g", "e", "f"))
+        unstage(left)
+        left = rest
         taken.append(now)
         before, n = n, left.count()
         if n > 0.95 * before:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithic.functions.text import words
-from lithic.sources.staging import staged
+from lithic.sources.staging import staged, unstage
 from lithic.sources.tableset import Put, TableSet, bucket
 
 PARTS = 64
@@ -68,7 +68,9 @@ class StoredIndex:
             puts.append(Put("gone", self.spark.createDataFrame([], documents.select("id", v).schema), F.lit("0")))
         frequencies = counts.groupBy("word").agg(F.sum("n").alias("n")).where("n <> 0")
         puts.append(Put("frequencies", frequencies, bucket("word", self.n), "append", order=["word"]))
-        return self.tables.commit(puts, {"update": number})
+        version = self.tables.commit(puts, {"update": number})
+        unstage(documents)
+        return version
 
     def compact(self) -> int:
         """Write live rows anew, without what is gone, as one version."""

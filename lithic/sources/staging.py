@@ -4,11 +4,19 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+import weakref
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _MADE: list[tuple[SparkSession, str]] = []
+#: Where staged tables lie, by the frame that reads them.
+_PATHS: dict[int, str] = {}
+#: Setting by which Spark deletes an execution's shuffle files as soon as it ends, and how many writes want it now.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_LOCK, _WANTED = threading.Lock(), {"n": 0, "before": "false"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,6 +36,23 @@ def file_system(spark: SparkSession, path: str):
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
+@contextmanager
+def shuffles_cleaned(spark: SparkSession):
+    """While it lasts, the shuffle files of an execution go when it ends: what was written is read from its files from then on."""
+    with _LOCK:
+        if not _WANTED["n"]:
+            _WANTED["before"] = spark.conf.get(_CLEAN, "false")
+        _WANTED["n"] += 1
+        spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        with _LOCK:
+            _WANTED["n"] -= 1
+            if not _WANTED["n"]:
+                spark.conf.set(_CLEAN, _WANTED["before"])
+
+
 def scratch(spark: SparkSession) -> str:
     """A new path in the shared folder, deleted when the interpreter ends."""
     if not _MADE:
@@ -40,8 +65,19 @@ def scratch(spark: SparkSession) -> str:
 def staged(df: DataFrame) -> DataFrame:
     """`df` written once: what reads it does not compute it again, and a lost executor costs nothing."""
     path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with shuffles_cleaned(df.sparkSession):
+        df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = path
+    weakref.finalize(out, _PATHS.pop, id(out), None)
+    return out
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete a staged table that nothing reads any more; other tables are left alone."""
+    if path := _PATHS.pop(id(df), None):
+        fs, target = file_system(df.sparkSession, path)
+        fs.delete(target, True)
 
 
 def _drop() -> None:

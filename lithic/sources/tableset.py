@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lithic.sources.staging import file_system
+from lithic.sources.staging import file_system, shuffles_cleaned
 
 _PART = "_part"
 ROWS_PER_FILE, SPREAD = 1_000_000, 8
@@ -113,7 +113,8 @@ class TableSet:
         plain = [f.name for f in put.rows.schema if not isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType)]
         salt = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in plain)), F.lit(SPREAD)) if plain else F.lit(0)
         rows = put.rows.withColumn(_PART, put.part).repartition(_PART, salt).sortWithinPartitions(_PART, *put.order)
-        rows.write.partitionBy(_PART).option("maxRecordsPerFile", ROWS_PER_FILE).parquet(f"{self.folder}/{at}")
+        with shuffles_cleaned(self.spark):
+            rows.write.partitionBy(_PART).option("maxRecordsPerFile", ROWS_PER_FILE).parquet(f"{self.folder}/{at}")
         fs, root = file_system(self.spark, f"{self.folder}/{at}")
         names = [s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory()]
         unescape = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
