@@ -1,15 +1,17 @@
 """Licence scan by a positional index of rare tokens, in DataFrame functions only.
 
-A file's licence words of high inverse document frequency (those in at most a tenth of the scanned files, and the rarest
-three of each template) are looked up in the templates' postings: their places in the file minus their places in the
-template give the places where the template may start. A start that two of them agree on is verified: the template's mandatory key phrase must stand
-there word for word, and the share of template words that stand in place is the match's score. Exact base phrases are
-reported beside the templates, wherever they stand.
+A file's licence words of high inverse document frequency are looked up in the templates' postings: their places in the
+file minus their places in the template give the places where the template may start. A start that two of them agree on
+is verified: the template's mandatory key phrase must stand there word for word, and the share of template words that
+stand in place is the match's score. Frequencies are those among the templates, words of everyday English last, and
+the words that are looked up are the two rarest of each key phrase. So every start that can be verified is found, and
+a file's labels depend on the file alone. Exact base phrases are reported beside the templates, wherever they stand.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -17,8 +19,10 @@ from pyspark.sql import functions as F
 
 from lithic.llm.common import text_or_empty
 
-#: Words of a template that are looked up at least, and share of the files that others may occur in.
-RARE, SELDOM = 3, 0.1
+#: Words of a template's key phrase that are looked up, and must agree on a start.
+RARE = 2
+#: Words of everyday English, which are looked up only if a key phrase has too few others.
+EVERYDAY = frozenset(("a", "and", "any", "are", "by", "for", "in", "into", "is", "of", "or", "the", "this", "to", "under", "with"))
 #: Share of a template's words that must stand in place, beside its key phrase.
 SHARE = 0.6
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -73,21 +77,12 @@ def _strings(values) -> Column:
     return F.array(*(F.lit(v) for v in values))
 
 
-def document_frequency(docs: DataFrame, text_col: str = "text") -> tuple[int, dict[str, int]]:
-    """Rows, and in how many of them each template word occurs; one row per template word reaches the driver."""
-    vocabulary = sorted({w for t in TEMPLATES for w in t.words})
-    found = docs.select(F.explode(F.concat(_strings(["\0"]), F.array_intersect(words_of(text_col), _strings(vocabulary)))).alias("word"))
-    counts = {r["word"]: r["n"] for r in found.groupBy("word").agg(F.count("*").alias("n")).collect()}
-    rows = counts.pop("\0", 0)
-    return rows, counts
-
-
-def rare_words(template: Template, rows: int, frequency: dict[str, int]) -> list[str]:
-    """The template's words that are looked up, by idf, highest first, ties by first place in the template."""
-    idf = lambda w: math.log((rows + 1) / (frequency.get(w, 0) + 1))
-    words = list(dict.fromkeys(template.words))
-    ranked = sorted(words, key=lambda w: (-idf(w), words.index(w)))
-    return [w for k, w in enumerate(ranked) if k < RARE or frequency.get(w, 0) <= SELDOM * rows]
+def rare_words(template: Template) -> list[str]:
+    """The words of the template's key phrase that are looked up: the highest inverse document frequencies among templates, ties by place."""
+    holds = Counter(w for t in TEMPLATES for w in set(t.words))
+    idf = lambda w: -1.0 if w in EVERYDAY else math.log((len(TEMPLATES) + 1) / holds[w])
+    words = list(dict.fromkeys(template.key.split()))
+    return sorted(words, key=lambda w: (-idf(w), words.index(w)))[:RARE]
 
 
 def _phrase_starts(words: Column, phrase: list[str]) -> Column:
@@ -109,18 +104,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every row.
 
     Null and empty texts have no words and score 0. score is the best verified template match, 1.0 where a base phrase
-    stands. Repeated rows are treated alike; other columns are ignored; an empty table gives no rows. Two passes over
-    the texts, no shuffle of texts.
+    stands. Repeated rows are treated alike; other columns are ignored; an empty table gives no rows. One pass over the
+    texts, without a shuffle; a row depends on its text alone.
     """
-    rows, frequency = document_frequency(docs, text_col)
     postings: dict[str, list[tuple[int, int]]] = {}
     for t, template in enumerate(TEMPLATES):
-        for word in rare_words(template, rows, frequency):
+        for word in rare_words(template):
             postings.setdefault(word, []).extend((t, i) for i, w in enumerate(template.words) if w == word)
     rare = sorted(postings)
     # per rare word the numbers template * _STEP - place: adding a place in the file gives template and start at once
     index = F.create_map(*(x for w in rare for x in (F.lit(w), F.array(*(F.lit((t + 1) * _STEP - i) for t, i in postings[w])))))
-    needed = [min(2, len(rare_words(t, rows, frequency))) for t in TEMPLATES]
+    needed = [len(rare_words(t)) for t in TEMPLATES]
 
     base = docs.select(F.col(id_col), words_of(text_col).alias("__words"))
     marked = base.select(

@@ -44,6 +44,57 @@ def test_templates_are_found_where_their_key_phrase_stands(spark):
     assert not got[200].labels and got[201].labels == "apache-2.0,mit" and got[202].labels == "apache-2.0"
 
 
+def matches(words):
+    """{label: best score} of templates whose key phrase stands, from every place."""
+    out = {}
+    for t in s.TEMPLATES:
+        key = t.key.split()
+        for at in range(len(words) - len(key) + 1):
+            if words[at : at + len(key)] == key:
+                start = at - t.key_at
+                share = sum(0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(t.words)) / len(t.words)
+                if share >= s.SHARE:
+                    out[t.label] = max(share, out.get(t.label, 0))
+    return out
+
+
+def test_labels_and_scores_equal_trying_every_place(spark, sf):
+    rng, texts = random.Random(11), {r.doc_id: r.text for r in table(spark, sf, "documents").select("doc_id", "text").collect()}
+    vocabulary = sorted({w for t in s.TEMPLATES for w in t.words})
+    for i in range(500):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            words = list(rng.choice(s.TEMPLATES).words)
+            for k in range(len(words)):
+                if rng.random() < 0.12:
+                    words[k] = rng.choice(vocabulary)
+            parts.append(" ".join(words[rng.randint(0, 2) : len(words) - rng.randint(0, 2)]))
+            parts.append(" ".join(rng.choices(vocabulary, k=rng.randint(0, 3))))
+        texts[10_000 + i] = " ".join(parts)
+    rows = s.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert len(rows) == len(texts) and sum(bool(r.labels) for r in rows) > 200
+    for r in rows:
+        _, places, base, words = plain(texts[r.doc_id])
+        found = matches(words)
+        assert r.labels == ",".join(sorted(base | set(found))), (texts[r.doc_id], r)
+        assert abs(r.score - (1.0 if base else max(found.values(), default=0.0))) < 1e-12
+
+
+def test_a_file_is_labelled_alike_in_any_company(spark):
+    one = (1, "released with care apache license version 2 0")
+    alike = [(100 + i, "licensed under the apache license version 2 0 " + "more words " * 5) for i in range(19)]
+    other = [(200 + i, f"nothing to see here {i}") for i in range(19)]
+    rows = [s.scan(spark.createDataFrame([one, *more], "doc_id long, text string")).where("doc_id = 1").first() for more in ([], alike, other)]
+    assert rows[0] == rows[1] == rows[2] and rows[0].labels == "apache-2.0" and rows[0].score == 0.625
+
+
+def test_long_texts_and_clashing_columns(spark):
+    text = "word " * 500_000 + s.TEMPLATES[0].text + " word" * 500_000
+    frame = spark.createDataFrame([(1, text, "x", "y", 1.0)], "doc_id long, text string, __words string, n_words string, score double")
+    row = s.scan(frame).first()
+    assert (row.n_words, row.labels, row.score) == (1_000_008, "apache-2.0", 1.0)
+
+
 def test_edge_cases(spark):
     frame = spark.createDataFrame([(1, None, 0), (1, None, 0), (None, "CC BY", 1)], "doc_id long, text string, labels int")
     rows = s.scan(frame).collect()
