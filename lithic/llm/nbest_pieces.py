@@ -21,7 +21,6 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -293,11 +292,8 @@ class Encoder:
         near = near[np.isfinite(gaps[near])]
         chosen = np.sort(near[np.lexsort((near, gaps[near]))][:n]).tolist()
         lists = [self._list(words[word[k]]) for k in chosen]
-        options = []
-        for ranks in product(*(range(len(x)) for x in lists)):
-            options.append((sum(x[0][0] - x[r][0] for x, r in zip(lists, ranks)), ranks[::-1]))
         out = []
-        for loss, ranks in sorted(options)[1 : n + 1]:
+        for loss, ranks in _least_sums([[x[0][0] - y[0] for y in x] for x in lists], n + 1)[1:]:
             parts, at = [], 0
             for k, x, r in zip(chosen, lists, ranks[::-1]):
                 parts += [own[at : ends[k]], np.frombuffer(x[r][1], dtype="<u4")]
@@ -306,6 +302,25 @@ class Encoder:
         return out
 
 
+def _least_sums(losses: list[list[float]], most: int) -> list[tuple[float, tuple[int, ...]]]:
+    """The `most` least sums of one entry per list, each list in rising order: (sum, places of the entries, last list first), ties by places.
+
+    Best first: a choice is followed by those that go one place on in one list, so the heap holds lists * most choices.
+    """
+    start = (0,) * len(losses)
+    loss_of = lambda ranks: sum(x[r] for x, r in zip(losses, ranks[::-1]))
+    heap, seen, out = [(loss_of(start), start)], {start}, []
+    while heap and len(out) < most:
+        loss, ranks = heapq.heappop(heap)
+        out.append((loss, ranks))
+        for k, x in enumerate(reversed(losses)):
+            after = (*ranks[:k], ranks[k] + 1, *ranks[k + 1 :])
+            if after[k] < len(x) and after not in seen:
+                seen.add(after)
+                heapq.heappush(heap, (loss_of(after), after))
+    return out
+
+
 def segmentations(docs: DataFrame, model_path: str, most: int = BEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, rank, score, n_pieces, ids_crc32, decoded) of the `most` best segmentations of every text, rank from 1.
 

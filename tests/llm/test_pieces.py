@@ -2,6 +2,7 @@ import itertools
 import random
 import subprocess
 import sys
+import time
 
 import numpy as np
 import pytest
@@ -98,6 +99,27 @@ def test_repeated_letters_equal_enumeration(encoder):
             assert nb.n_best(into, 6) == [(-s, own) for s, _, own in paths(into)[:6]]
 
 
+def test_least_sums_equal_all_products():
+    rng = random.Random(8)
+    for _ in range(60):
+        lists = [sorted(rng.choice((0.0, 0.0, 0.25, 1.0, rng.random())) for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(0, 4))]
+        lists = [[x - own[0] for x in own] for own in lists]
+        every = sorted((sum(x[r] for x, r in zip(lists, ranks)), ranks[::-1]) for ranks in itertools.product(*(range(len(x)) for x in lists)))
+        assert nb._least_sums(lists, 12) == every[:12]
+
+
+def test_many_best_of_a_long_text_take_little_time():
+    encoder = nb.Encoder(model_path(), 50)
+    rng = random.Random(2)
+    text = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 12))) for _ in range(200))
+    encoder([text])
+    began = time.time()
+    (found,) = encoder([text])
+    assert time.time() - began < 5 and len(found) == 50
+    assert [s for s, _ in found] == sorted((s for s, _ in found), reverse=True) and len({ids.tobytes() for _, ids in found}) == 50
+    assert all(encoder.pieces.decode(ids) == text for _, ids in found)
+
+
 def test_decoding_replaces_its_column(spark):
     rows = spark.createDataFrame([([1000], "x"), (None, "y")], "ids array<int>, decoded_text string")
     assert nb.decode(rows, model_path()).columns == ["ids", "decoded_text"]
