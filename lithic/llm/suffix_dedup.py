@@ -368,6 +368,19 @@ def _marked(docs: DataFrame, cuts: DataFrame, id_col: str, text_col: str) -> Dat
     return found.select(*(F.col("row").getField(c).alias(c) for c in docs.columns), F.col("cuts").alias(unused("__cuts", docs)))
 
 
+def _level_of(name: str) -> tuple[int, int, int | None]:
+    """(first batch, last batch, rows) of a level by its name; rows are None for what is no complete level."""
+    parts = name.split("-")
+    whole = len(parts) == 4 and parts[0] == "level" and all(p.isdigit() for p in parts[1:])
+    return (int(parts[1]), int(parts[2]), int(parts[3])) if whole else (-1, -1, None)
+
+
+def _level_order(name: str) -> tuple[int, int]:
+    """Oldest first; of levels that begin with the same batch the one that holds most."""
+    first, last, _ = _level_of(name)
+    return first, -last
+
+
 class StoredFamily:
     """A logarithmic family of batches of documents, kept in a folder: what `add` takes is compared with all before it.
 
@@ -375,21 +388,49 @@ class StoredFamily:
     ones. A new batch meets the slices of every level under its own anchors, where a `SuffixFamily` scans them in order
     of age; then it becomes a level, and levels of like size merge. A batch is compared with its distinct anchors'
     slices only; slices that stand in an older level are not stored again.
+
+    A level's folder is named after the batches it holds and its rows, and gets that name when it is complete, so the
+    folder alone tells the family's state: another object, after a restart too, goes on with it. What a step that died
+    left behind, unnamed levels and ones that a merged level has taken in, is deleted on opening. One writer at a time.
     """
 
     COLUMNS = ("key", "slice", "age", "id", "tie", "lo", "n")
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self.age = spark, folder.rstrip("/"), 0
+        self.spark, self.folder = spark, folder.rstrip("/")
+        #: (path, rows) of the levels, oldest first, and the number of the next batch.
         self.levels: list[tuple[str, int]] = []
-
-    def _write(self, slices: DataFrame) -> tuple[str, int]:
-        path = f"{self.folder}/level-{uuid.uuid4().hex}"
-        slices.repartition("key").sortWithinPartitions("key").select(*self.COLUMNS).write.parquet(path)
-        return path, self.spark.read.parquet(path).count()
+        self.age = 0
+        fs, at = self._at(self.folder)
+        names = sorted((s.getPath().getName() for s in fs.listStatus(at)), key=_level_order) if fs.exists(at) else []
+        for name in names:
+            first, last, rows = _level_of(name)
+            if rows is None or last < self.age:
+                if name.startswith("level-"):
+                    delete(spark, f"{self.folder}/{name}")
+                continue
+            self.levels.append((f"{self.folder}/{name}", rows))
+            self.age = last + 1
+
+    def _at(self, path: str):
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), target
+
+    def _write(self, slices: DataFrame, first: int, last: int) -> tuple[str, int]:
+        made = f"{self.folder}/level-new-{uuid.uuid4().hex}"
+        slices.repartition("key").sortWithinPartitions("key").select(*self.COLUMNS).write.parquet(made)
+        rows = self.spark.read.parquet(made).count()
+        path = f"{self.folder}/level-{first}-{last}-{rows}"
+        fs, at = self._at(made)
+        if not fs.rename(at, self._at(path)[1]):
+            raise OSError(f"{path} could not be put in place")
+        return path, rows
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """As `repeats`, for a new batch: bytes go that a window covers which starts earlier in it or in any batch before."""
+        """As `repeats`, for a new batch: bytes go that a window covers which starts earlier in it or in any batch before.
+
+        The batch is in the family when this returns; what it returns is still to be read.
+        """
         key, tie = _keys(id_col, text_col)
         texts = docs.select(text_or_empty(text_col).alias("text"), key.alias("id"), tie.alias("tie")).where(F.octet_length("text") >= LENGTH)
         made = texts.mapInArrow(lambda batches: _slices(batches, every=True), "key long, slice binary, id long, tie long, lo long, n long")
@@ -401,11 +442,12 @@ class StoredFamily:
         fresh = new.where("slice is not null").dropDuplicates(["key", "slice"])
         for path, _ in self.levels:
             fresh = fresh.join(self.spark.read.parquet(path).select("key", "slice"), ["key", "slice"], "left_anti")
-        self.levels.append(self._write(fresh))
+        self.levels.append(self._write(fresh, self.age, self.age))
         unstage(new)
         while len(self.levels) > 1 and self.levels[-2][1] < 2 * self.levels[-1][1]:
             pair = [self.levels.pop()[0] for _ in range(2)]
-            self.levels.append(self._write(self.spark.read.parquet(*pair)))
+            spans = [_level_of(path.rsplit("/", 1)[-1]) for path in pair]
+            self.levels.append(self._write(self.spark.read.parquet(*pair), spans[1][0], spans[0][1]))
             for path in pair:
                 delete(self.spark, path)
         self.age += 1

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import shutil
 
 import numpy as np
 import pytest
@@ -111,6 +112,30 @@ def test_batches_of_documents_against_a_stored_family(spark, tmp_path):
     assert len(list(tmp_path.iterdir())) == len(family.levels)
 
 
+def test_a_stored_family_goes_on_in_another_object(spark, tmp_path):
+    rows = planted()
+    expected = brute(rows)
+    order = sorted(rows)
+    for part, cut in enumerate(((0, 25), (25, 50), (50, len(order)))):
+        family = s.StoredFamily(spark, str(tmp_path))  # as after a restart
+        assert family.age == part
+        got = {r.doc_id: tuple(r[1:]) for r in family.add(spark.createDataFrame(order[slice(*cut)], "doc_id long, text string")).collect()}
+        assert got == {i: expected[i] for i, _ in order[slice(*cut)]}
+
+
+def test_leavings_of_a_step_that_died_are_deleted(spark, tmp_path):
+    family = s.StoredFamily(spark, str(tmp_path))
+    text = "".join(chr(97 + i * i % 23) + str(i) for i in range(400))
+    docs = lambda i: spark.createDataFrame([(i, text)], "doc_id long, text string")
+    assert family.add(docs(1)).first().n_removed == 0
+    level = family.levels[0][0].rsplit("/", 1)[-1]
+    (tmp_path / "level-new-abc").mkdir()
+    shutil.copytree(tmp_path / level, tmp_path / level.replace("level-0-0", "level-0-1"))  # a merge that did not delete what it took in
+    again = s.StoredFamily(spark, str(tmp_path))
+    assert again.age == 2 and len(again.levels) == 1 and sorted(p.name for p in tmp_path.iterdir()) == [level.replace("level-0-0", "level-0-1")]
+    assert again.add(docs(2)).first().n_removed == len(text)
+
+
 def test_places_of_a_gram_within_one_text_are_dealt_out(spark, monkeypatch):
     """A gram that comes very often in one text is hot, and its windows go to many keys."""
     monkeypatch.setattr(s, "HOT", 500)
