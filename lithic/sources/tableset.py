@@ -112,7 +112,8 @@ class TableSet:
         at = f"data/{uuid.uuid4().hex}"
         plain = [f.name for f in put.rows.schema if not isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType)]
         salt = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in plain)), F.lit(SPREAD)) if plain else F.lit(0)
-        rows = put.rows.withColumn(_PART, put.part).repartition(_PART, salt).sortWithinPartitions(_PART, *put.order)
+        # parts are named after the shuffle, which then carries the rows alone
+        rows = put.rows.repartition(put.part, salt).withColumn(_PART, put.part).sortWithinPartitions(_PART, *put.order)
         with shuffles_cleaned(self.spark):
             rows.write.partitionBy(_PART).option("maxRecordsPerFile", ROWS_PER_FILE).parquet(f"{self.folder}/{at}")
         fs, root = file_system(self.spark, f"{self.folder}/{at}")
