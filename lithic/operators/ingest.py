@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lithic.operators.tables import one_per_key, upserted, with_errors
+from lithic.sources.staging import staged, unstage
+from lithic.sources.tableset import Put, TableSet
 
 #: Rows of a file that an append writes at most.
 ROWS_PER_FILE = 1_000_000
@@ -77,6 +79,30 @@ def upsert_stream(stream: DataFrame, spark: SparkSession, path: str, keys: list[
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def upsert_parts(stream: DataFrame, spark: SparkSession, path: str, keys: list[str], at: str, checkpoint: str, parts: int = 64):
+    """Keep a table of the latest row per key from a stream, in parts by hash of the key: a batch rewrites the parts it touches and no other.
+
+    A key's row gives way to one of the same or a later `at`, within a batch and between batches, so late rows do not
+    undo newer ones. A batch is one commit that carries its number, so one that runs again after a crash changes
+    nothing. Read with TableSet(spark, path).read("rows").
+    """
+    tables = TableSet(spark, path)
+    key = F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("string")
+
+    def put(batch: DataFrame, number: int) -> None:
+        if tables.manifest()["note"].get("batch", -1) >= number:
+            return
+        newest = staged(one_per_key(batch, keys, [F.desc(at)]))
+        touched = [r.part for r in newest.select(key.alias("part")).distinct().collect()]  # at most `parts`
+        old = tables.read("rows", touched) if tables.has("rows") else newest.limit(0)
+        both = one_per_key(old.select(newest.columns).withColumn("__new", F.lit(0)).unionByName(newest.withColumn("__new", F.lit(1))), keys, [F.desc(at), F.desc("__new")]).drop("__new")
+        tables.commit([Put("rows", both, key, "parts", touched, keys)], {"batch": number})
+        tables.vacuum(2)
+        unstage(newest)
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 REPORTERS: dict[str, Callable[[DataFrame, str], None]] = {
     "json": lambda report, path: report.coalesce(1).write.mode("overwrite").json(path),
     "history": lambda report, path: report.withColumn("at", F.current_timestamp()).write.mode("append").json(path),

@@ -67,8 +67,10 @@ def repository(spark: SparkSession, root: str, most: int = MAX_FILES) -> DataFra
     clean_root = root.rstrip("/") + "/"
     relative = F.regexp_replace("path", "^.*?" + clean_root.replace(".", r"\."), "")
     wanted = raw.where(F.col("length") <= MAX_BYTES).select(relative.alias("path"), "content").where(is_wanted(F.col("path")))
-    decoded = wanted.select("path", F.decode("content", "UTF-8").alias("content"))
-    return profiled(decoded).orderBy("path").limit(most)
+    profiles = profiled(wanted.select("path", F.decode("content", "UTF-8").alias("content")))
+    # the order is found among paths alone; contents are only read for those that stay
+    first = profiles.select("path").orderBy("path").limit(most)
+    return profiles.join(first, "path", "left_semi")
 
 
 def resumed(spark: SparkSession, table: str, version: str) -> DataFrame:

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from lithic.operators import hooks, ingest
+from lithic.sources.tableset import TableSet
 
 
 def test_ingestion_counts_and_keeps_the_first(spark, tmp_path):
@@ -30,6 +31,22 @@ def test_stream_of_upserts(spark, tmp_path):
     assert sorted((r.k, r.v) for r in spark.read.parquet(str(tmp_path / "t" / "v=1")).collect()) == [(1, "a"), (2, "c"), (3, "d")]
 
 
+def test_upserts_rewrite_the_parts_they_touch(spark, tmp_path):
+    tables = TableSet(spark, str(tmp_path / "t"))
+    folders = lambda: {f for own in tables.manifest()["tables"]["rows"]["parts"].values() for f in own}
+    run = lambda: ingest.upsert_parts(spark.readStream.schema("k long, v string, at int").parquet(str(tmp_path / "in")), spark, str(tmp_path / "t"), ["k"], "at", str(tmp_path / "c"), 16).awaitTermination()
+    spark.createDataFrame([(k, "a", 5) for k in range(100)], "k long, v string, at int").write.parquet(str(tmp_path / "in"))
+    run()
+    before = folders()
+    spark.createDataFrame([(7, "new", 6), (8, "late", 4), (9, "same", 5), (7, "old", 1)], "k long, v string, at int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run()
+    got = {r.k: r.v for r in tables.read("rows").collect()}
+    assert len(got) == 100 and {k: v for k, v in got.items() if v != "a"} == {7: "new", 9: "same"} and len(before - folders()) <= 3
+    version = tables.manifest()["version"]
+    run()
+    assert tables.manifest()["version"] == version and tables.manifest()["note"]["batch"] == 1
+
+
 def test_hooks(spark, tmp_path):
     rows = spark.createDataFrame([("a", "b")], "t string, d string")
 

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from lithic.plans import queries
-from lithic.plans import kept, records, runs, structure  # noqa: F401  register their queries
+from lithic.plans import kept, records, runs, structure, views  # noqa: F401  register their queries
 
 SF = "/root/testdata/sf0.001"
 
