@@ -17,7 +17,7 @@ def plain(pairs):
     return sorted(out)
 
 
-@pytest.mark.parametrize("few", [0, 50, 10**9])
+@pytest.mark.parametrize("few", [0, 10**9])
 def test_rounds_equal_the_plain_loop(spark, few):
     rng = random.Random(9)
     sparse = [(rng.choice(("a", "b", None)), rng.randrange(60), rng.randrange(60)) for _ in range(500)]

@@ -21,7 +21,7 @@ def test_updates_equal_an_index_made_anew(spark, tmp_path):
     docs = {i: text() for i in range(400)}
     index = StoredIndex(spark, str(tmp_path / "i"), 16)
     index.update(frame(spark, docs), None, "doc_id", ["title", "text"])
-    for n in range(3):
+    for n in range(2):
         before = {t: files(index, t) for t in ("postings", "documents", "frequencies")}
         changed = {i: text() for i in (*rng.sample(sorted(docs), 4), 1000 + n)}
         gone = rng.sample(sorted(set(docs) - set(changed)), 2) + [99999] + list(changed)[:1]
