@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from lithic.operators.frameworks import tagged
 
+# Joins here have hints: sizes are estimated from files that nodes may be exploded from, and a broadcast of them fills the driver.
+
 #: Share of nodes without a parent from which on a file's parents are taken from spans.
 ORPHANS = 0.5
 _TREE = "file string, id string, parent_id string, depth int, entry long, exit long"
@@ -87,7 +89,7 @@ def tree(nodes: DataFrame, orphans: float = ORPHANS) -> DataFrame:
     """
     whole = nodes.where("file_id is not null and id is not null")
     share = whole.groupBy("file_id").agg((F.count_if(F.col("parent_id").isNull()) < F.count("*") * orphans).alias("given"))
-    kept = whole.join(share, "file_id").select(
+    kept = whole.join(share.hint("merge"), "file_id").select(
         F.col("file_id").cast("string").alias("file"), F.col("id").cast("string").alias("id"), F.col("parent_id").cast("string").alias("parent_id"), "given",
         F.col("start_line").alias("a"), F.coalesce("start_column", F.lit(0)).alias("b"), F.col("end_line").cast("long").alias("y"), F.coalesce(F.col("end_column").cast("long"), F.lit(_LAST)).alias("z"), F.col("id").alias("tie"),
     )
@@ -126,7 +128,7 @@ def with_descendant(numbered: DataFrame, wanted: str, out: str) -> DataFrame:
     order = Window.partitionBy("file_id").orderBy("entry").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counted = numbered.withColumn("__n", F.sum(F.coalesce(F.col(wanted).cast("int"), F.lit(0))).over(order))
     ends = counted.where("entry is not null").select(F.col("file_id").alias("__file"), F.col("entry").alias("__entry"), F.col("__n").alias("__end"))
-    joined = counted.join(ends, (F.col("file_id") == F.col("__file")) & (F.col("exit") == F.col("__entry")), "left")
+    joined = counted.join(ends.hint("merge"), (F.col("file_id") == F.col("__file")) & (F.col("exit") == F.col("__entry")), "left")
     return joined.withColumn(out, F.coalesce(F.col("__end") > F.col("__n"), F.lit(False))).drop("__n", "__file", "__entry", "__end")
 
 
@@ -138,7 +140,7 @@ def tagged_in_tree(nodes: DataFrame) -> DataFrame:
     """
     script = F.col("language").isin("typescript", "javascript")
     seen = (F.col("node_type") == "jsx_element") | ((F.col("node_type") == "import") & F.lower("name").contains("react"))
-    numbered = tree(nodes).drop("parent_id").join(nodes, ["file_id", "id"]).withColumn("__react", seen)
+    numbered = tree(nodes).drop("parent_id").join(nodes.hint("merge"), ["file_id", "id"]).withColumn("__react", seen)
     marked = with_descendant(numbered, "__react", "__holds").drop("__react", "entry", "exit", "depth")
     own = F.coalesce("__own", F.array().cast("array<string>"))
     named = tagged(marked.withColumn("__own", F.col("tags")))
