@@ -101,14 +101,16 @@ def prefix_matches(left: DataFrame, right: DataFrame, left_key: str, right_key:
 
 
 def resolved_paths(imports: DataFrame, files: DataFrame, path: str) -> DataFrame:
-    """Imports with imported_file_id: the first of the module path's possible files that exists, or a file with another ending."""
-    listed = imports.withColumn("__import", F.xxhash64(*imports.columns))
-    tried = listed.select("__import", F.posexplode(F.array(*(F.concat(F.col(path), F.lit(e)) for e in MODULE_ENDINGS))).alias("__at", "__path"))
-    exact = tried.join(files.select(F.col("path").alias("__path"), "file_id"), "__path").select("__import", "__at", "file_id")
-    stem = files.select(F.regexp_replace("path", r"\.[^./]+$", "").alias(path), "file_id").groupBy(path).agg(F.min("file_id").alias("file_id"))
-    other = listed.select("__import", path).join(stem, path).select("__import", F.lit(len(MODULE_ENDINGS)).alias("__at"), "file_id")
-    found = exact.union(other).groupBy("__import").agg(F.min_by("file_id", "__at").alias("imported_file_id"))
-    return listed.join(found, "__import", "left").drop("__import")
+    """Imports with imported_file_id: the first of the module path's possible files that exists, or a file with another ending.
+
+    Files are listed under the module paths they may stand for, so imports are shuffled once, as they are. The join is
+    hinted: its sides may be far larger than the files from which Spark estimates them.
+    """
+    whole = F.col("path")
+    bases = [F.when(whole.endswith(e), F.left(whole, F.length(whole) - len(e))) for e in MODULE_ENDINGS]
+    stands = files.select("file_id", F.posexplode(F.array(*bases, F.regexp_replace("path", r"\.[^./]+$", ""))).alias("__at", "__base")).where("__base is not null")
+    best = stands.groupBy("__base").agg(F.min_by("file_id", F.struct("__at", F.col("file_id").isNull(), "file_id")).alias("imported_file_id"))
+    return imports.join(best.hint("merge"), F.col(path) == F.col("__base"), "left").drop("__base")
 
 
 #: Beginnings of import names that stand for the source folder, and endings that are tried, in order.
