@@ -209,8 +209,9 @@ def _links(spark, sf):
     pages = _t(spark, sf, "pages").withColumn("path", tx.url_path(F.col("url")))
     targets = F.regexp_extract_all("html", F.lit('href="(/[^"#?]*)'), F.lit(1))
     links = pages.select("page_id", F.explode(targets).alias("t")).select("page_id", F.btrim("t", F.lit("/")).alias("target"))
-    prefixes = pages.select("path", F.explode(tx.path_prefixes(F.col("path"))).alias("target")).distinct()
-    return links, links.distinct().join(prefixes, "target", "left").groupBy("page_id", "target").agg(F.max("path").alias("path"))
+    # one path per prefix before the join: a link to a folder would else meet every path below it
+    last = pages.select("path", F.explode(tx.path_prefixes(F.col("path"))).alias("target")).groupBy("target").agg(F.max("path").alias("path"))
+    return links, links.distinct().join(last, "target", "left").select("page_id", "target", "path")
 
 
 @query(_LINKS + "SELECT page_id, target, path, CASE WHEN path IS NULL THEN 'external' WHEN starts_with(target, '.') THEN 'relative' ELSE 'absolute' END AS import_type FROM resolved")
