@@ -16,6 +16,13 @@ def folder(spark, tmp_path_factory):
     return sf
 
 
+def test_no_join_makes_a_row_per_link_and_path(spark, folder):
+    df = queries.QUERIES["import_edges"](spark, folder)
+    got = {(r.page_id, r.target): (r.path, r.import_type) for r in df.collect()}
+    want = {(i, t): p for i in (1, *range(1000, 1300)) for t, p in (("en", ("en/1299", "absolute")), ("en/1000", ("en/1000", "absolute")), ("gone", (None, "external")))}
+    assert got == want | {(2, "fr"): ("fr", "absolute")} and df.count() == len(got)
+
+
 def test_joined_rows_stay_as_many_as_links(spark, folder):
     def most(node):
         if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
@@ -26,7 +33,7 @@ def test_joined_rows_stay_as_many_as_links(spark, folder):
         own = node.metrics().get("numOutputRows").get().value() if "Join" in node.nodeName() else 0
         return max([own, *(most(below.apply(i)) for i in range(below.size()))])
 
-    for name, n in (("import_stats", 904),):
+    for name, n in (("import_edges", 904), ("import_stats", 904)):
         df = queries.QUERIES[name](spark, folder)
         df.collect()
         assert 0 < most(df._jdf.queryExecution().executedPlan()) <= n
