@@ -2,7 +2,7 @@
 
 import pytest
 
-from lithic.plans import queries
+from lithic.plans import queries, views  # noqa: F401  register their queries
 
 
 @pytest.fixture(scope="module")
@@ -33,11 +33,14 @@ def test_joined_rows_stay_as_many_as_links(spark, folder):
         own = node.metrics().get("numOutputRows").get().value() if "Join" in node.nodeName() else 0
         return max([own, *(most(below.apply(i)) for i in range(below.size()))])
 
-    for name, n in (("import_edges", 904), ("import_stats", 904)):
+    for name, n in (("import_edges", 904), ("import_stats", 904), ("linked_files", 904)):
         df = queries.QUERIES[name](spark, folder)
         df.collect()
         assert 0 < most(df._jdf.queryExecution().executedPlan()) <= n
 
 
-def test_counts_of_links(spark, folder):
+def test_counts_and_lists_of_links(spark, folder):
     assert tuple(queries.QUERIES["import_stats"](spark, folder).first()) == (904, 603, 301)
+    got = {r.path: (r.imports, r.importers) for r in queries.QUERIES["linked_files"](spark, folder).collect()}
+    names = [f"en/{i}" for i in range(1000, 1300)]
+    assert got["en/1299"] == ("en/1000", ",".join(names[:-1])) and got["en/1000"] == ("en/1299", ",".join(names[1:])) and got["en/1100"] == ("en/1000,en/1299", "") and got["fr"] == ("", "")
