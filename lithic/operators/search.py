@@ -67,16 +67,20 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, block_bytes: int = B
     queries and vectors hold (id, v) of one dimension, without nulls. Queries are taken in blocks of about `block_bytes`
     by hash, each with one read of `vectors`; a task keeps k rows per query over all that it reads. Empty tables: no rows.
     """
-    first = queries.select(F.size("v").alias("d")).first()
-    size = max(1, block_bytes // (8 * first["d"])) if first else 1
-    blocks = max(1, -(-queries.count() // size))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    number = F.pmod(F.xxhash64("id"), F.lit(blocks))
-    found = [_block_nearest(queries.where(number == b).select("id", "v").toPandas(), vectors.select("id", "v"), k) for b in range(blocks)]
+    found = [_block_nearest(block.toPandas(), vectors.select("id", "v"), k) for block in _blocks(queries.select("id", "v"), block_bytes)]
     scored = reduce(DataFrame.union, found)
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def _blocks(queries: DataFrame, block_bytes: int) -> list[DataFrame]:
+    """Queries (id, v, ...) in parts of about `block_bytes` of doubles, by hash."""
+    width, n = queries.agg(F.max(F.size("v")), F.count("*")).first()
+    blocks = max(1, -(-n // max(1, block_bytes // (8 * max(1, width or 1)))))
+    number = F.pmod(F.xxhash64("id"), F.lit(blocks))
+    return [queries.where(number == b) for b in range(blocks)]
+
+
 def _unit(column: pd.Series) -> np.ndarray:
     made = np.stack(column.to_numpy())
     return made / np.sqrt((made * made).sum(axis=1, keepdims=True))
@@ -107,3 +111,59 @@ def _block_nearest(asked: pd.DataFrame, vectors: DataFrame, k: int) -> DataFrame
         yield pd.DataFrame({"query_id": own[row], "id": kept_id[row, at], "score": kept[row, at]})
 
     return vectors.mapInPandas(run, schema)
+
+
+def alike_counts(queries: DataFrame, vectors: DataFrame, least: float, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(id, pairs, matches, closest) of queries (id, label, v): all other rows of `vectors` with the label, those whose cosine is `least` or more, and the largest cosine.
+
+    As in `vectors.cosine`, pairs of null, empty or zero vectors, vectors with null components or of unequal lengths have
+    0.0. Rows without id or label take no part. Queries are taken in blocks as in `nearest`; a task keeps three numbers
+    per query over all that it reads, so neither pairs nor the rows of a label are shuffled.
+    """
+    whole = lambda df: df.where("id is not null and label is not null").select("id", "label", F.when(F.forall("v", lambda x: x.isNotNull()), F.col("v")).otherwise(F.array().cast("array<double>")).alias("v"))
+    asked, rows = whole(queries), whole(vectors)
+    parts = reduce(DataFrame.union, (_block_alike(block.toPandas(), rows, least) for block in _blocks(asked, block_bytes)))
+    largest = F.max(F.coalesce("closest", F.lit(float("nan"))))  # pandas hands NaN over as null
+    return parts.groupBy("id").agg(F.sum("pairs").alias("pairs"), F.sum("matches").alias("matches"), largest.alias("closest"))
+
+
+def _alike_groups(rows: pd.DataFrame) -> Iterator[tuple]:
+    """(label, width, places, vectors, norms) of rows with one label and one length."""
+    for (label, width), at in rows.groupby(["label", rows["v"].map(len)]).indices.items():
+        made = np.stack(rows["v"].to_numpy()[at]).astype(np.float64)
+        yield label, width, at, made, np.sqrt((made * made).sum(axis=1))
+
+
+def _cosines(a: np.ndarray, a_norms: np.ndarray, b: np.ndarray, b_norms: np.ndarray) -> np.ndarray:
+    if not a.shape[1] or a.shape[1] != b.shape[1]:
+        return np.zeros((len(a), len(b)))
+    size = a_norms[:, None] * b_norms[None, :]
+    with np.errstate(invalid="ignore"):
+        return np.where(size == 0, 0.0, a @ b.T / np.where(size == 0, 1.0, size))
+
+
+def _block_alike(asked: pd.DataFrame, vectors: DataFrame, least: float) -> DataFrame:
+    shared = vectors.sparkSession.sparkContext.broadcast(asked)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = shared.value["id"].to_numpy()
+        by_label: dict = {}
+        for label, *group in _alike_groups(shared.value):
+            by_label.setdefault(label, []).append(group)
+        pairs, matches, closest = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64), np.full(len(own), -np.inf)
+        for batch in batches:
+            ids = batch["id"].to_numpy()
+            for label, _, rows, b, b_norms in _alike_groups(batch):
+                for _, places, a, a_norms in by_label.get(label, ()):
+                    for x in range(0, len(places), _ROWS):
+                        some = places[x : x + _ROWS]
+                        for y in range(0, len(rows), _COLUMNS):
+                            near = _cosines(a[x : x + _ROWS], a_norms[x : x + _ROWS], b[y : y + _COLUMNS], b_norms[y : y + _COLUMNS])
+                            other = own[some, None] != ids[None, rows[y : y + _COLUMNS]]
+                            pairs[some] += other.sum(axis=1)
+                            matches[some] += (other & ~(near < least)).sum(axis=1)  # NaN is above all, as in Spark
+                            closest[some] = np.maximum(closest[some], np.where(other, near, -np.inf).max(axis=1))
+        met = pairs > 0
+        yield pd.DataFrame({"id": own[met], "pairs": pairs[met], "matches": matches[met], "closest": closest[met]})
+
+    return vectors.mapInPandas(run, "id long, pairs long, matches long, closest double")

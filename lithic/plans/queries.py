@@ -358,10 +358,9 @@ p AS (SELECT a.vec_id, list_cosine_similarity(a.v, b.v) AS c FROM v a JOIN v b O
 SELECT vec_id, count(*) AS pairs, count(*) FILTER (WHERE c >= 0.85) AS matches, round(max(c), 6) AS closest FROM p GROUP BY vec_id
 """)
 def semantic_match(spark, sf):
-    v = _t(spark, sf, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    pairs = v.where("vec_id % 50 = 0").alias("a").join(v.alias("b"), (F.col("a.label") == F.col("b.label")) & (F.col("b.vec_id") != F.col("a.vec_id")))
-    near = pairs.select(F.col("a.vec_id"), vc.cosine(F.col("a.v"), F.col("b.v")).alias("c"))
-    return near.groupBy("vec_id").agg(F.count("*").alias("pairs"), F.count_if(ev.alike(F.col("c"))).alias("matches"), F.round(F.max("c"), 6).alias("closest"))
+    v = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("v"))
+    found = se.alike_counts(v.where("id % 50 = 0"), v, ev.COSINE)
+    return found.select(F.col("id").alias("vec_id"), "pairs", "matches", F.round("closest", 6).alias("closest"))
 
 
 @query("""
