@@ -2,10 +2,12 @@
 
 import random
 
+import duckdb
 import pyarrow as pa
 import pytest
 
 from lithic.operators import graphs
+from lithic.plans import queries
 
 
 def written(node):
@@ -86,3 +88,12 @@ def test_chunks_and_batches(monkeypatch, chunk, rows):
     lists = [r for b in graphs._count_walks(True, iter(batches)) for r in b.to_pylist()]
     assert sorted((r["start"], node, r["depth"], n) for r in lists for node, n in zip(r["nodes"], r["ns"])) == want
     assert max(len(r["nodes"]) for r in lists) <= 3
+
+
+def test_call_chain_goes_three_deep_from_every_node(spark, sf):
+    edges = duckdb.sql(f"SELECT DISTINCT l_suppkey, l_partkey FROM '{sf}/lineitem.parquet'").fetchall()
+    want = counts([e for e in edges if e[0] != e[1]], [a for a, _ in edges], 3)
+    got = queries.QUERIES["call_chain"](spark, sf).select("start", "node", "depth", "n").collect()
+    assert sorted(map(tuple, got)) == want and {x[2] for x in want} == {1, 2, 3}
+    lineitem = duckdb.read_parquet(f"{sf}/lineitem.parquet")  # noqa: F841  read by the SQL
+    assert sorted(duckdb.sql(queries.ORACLES["call_chain"]).fetchall()) == want
