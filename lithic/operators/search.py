@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,8 +58,8 @@ def suggestions(rows: DataFrame, name: str, kind: str, query: str, most: int) ->
     return found.orderBy(F.desc("n"), name, kind).limit(most)
 
 
-#: Bytes of a block of queries, which is broadcast, and queries and rows multiplied at a time.
-BLOCK_BYTES, _ROWS, _COLUMNS = 32 << 20, 1024, 4096
+#: Bytes of a block of queries, which `nearest` broadcasts, and queries and rows multiplied at a time, there and in a cell.
+BLOCK_BYTES, _ROWS, _COLUMNS, _TILE = 32 << 20, 1024, 4096, 512
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -117,21 +118,85 @@ def alike_counts(queries: DataFrame, vectors: DataFrame, least: float, block_byt
     """(id, pairs, matches, closest) of queries (id, label, v): all other rows of `vectors` with the label, those whose cosine is `least` or more, and the largest cosine.
 
     As in `vectors.cosine`, pairs of null, empty or zero vectors, vectors with null components or of unequal lengths have
-    0.0. Rows without id or label take no part. Queries are taken in blocks as in `nearest`; a task keeps three numbers
-    per query over all that it reads, so neither pairs nor the rows of a label are shuffled.
+    0.0. Rows without id or label take no part. A label's rows are dealt by hash into blocks of about `block_bytes`, and
+    each two blocks meet in one cell, so a row is shuffled once per block of its label and a task holds two blocks; the
+    driver gets no more than the labels of more than one block. Given the same frame twice, a pair is computed once.
     """
+    same = queries is vectors
     whole = lambda df: df.where("id is not null and label is not null").select("id", "label", F.when(F.forall("v", lambda x: x.isNotNull()), F.col("v")).otherwise(F.array().cast("array<double>")).alias("v"))
-    asked, rows = whole(queries), whole(vectors)
-    parts = reduce(DataFrame.union, (_block_alike(block.toPandas(), rows, least) for block in _blocks(asked, block_bytes)))
-    largest = F.max(F.coalesce("closest", F.lit(float("nan"))))  # pandas hands NaN over as null
-    return parts.groupBy("id").agg(F.sum("pairs").alias("pairs"), F.sum("matches").alias("matches"), largest.alias("closest"))
-
-
-def _alike_groups(rows: pd.DataFrame) -> Iterator[tuple]:
-    """(label, width, places, vectors, norms) of rows with one label and one length."""
-    for (label, width), at in rows.groupby(["label", rows["v"].map(len)]).indices.items():
-        made = np.stack(rows["v"].to_numpy()[at]).astype(np.float64)
-        yield label, width, at, made, np.sqrt((made * made).sum(axis=1))
+    rows = whole(vectors).withColumn("asked", F.lit(same))
+    rows = rows if same else rows.union(whole(queries).withColumn("asked", F.lit(True)))
+    width = max(1, rows.agg(F.max(F.size("v"))).first()[0] or 1)
+    most = max(1, block_bytes // (8 * width))
+    counts = rows.groupBy("label").agg(F.count("*").alias("n"))
+    n_labels, large = counts.agg(F.count("*"), F.collect_list(F.when(F.col("n") > most, F.struct("label", "n")))).first()
+    blocks = {label: -(-n // most) for label, n in large}
+    of = F.coalesce(F.create_map(*(F.lit(x) for pair in blocks.items() for x in pair))[F.col("label")], F.lit(1)) if blocks else F.lit(1)
+    dealt = rows.withColumn("n", of).withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("met"))
+    first = F.col("own") <= F.col("met") if same else F.col("asked")
+    place = {"i": F.when(first, F.col("own")).otherwise(F.col("met")), "j": F.when(first, F.col("met")).otherwise(F.col("own"))}
+    cells = dealt.select("label", *(x.cast("int").alias(k) for k, x in place.items()), (~first).cast("int").alias("side"), F.col("id").cast("long").alias("id"), "v")
+    n_cells = n_labels - len(blocks) + sum(k * (k + 1) // 2 if same else k * k for k in blocks.values())
+    tasks = min(8 * n_cells, max(200, n_cells)) or 1  # more than cells, so that few share a task
+    sorted_cells = cells.repartition(tasks, "label", "i", "j").sortWithinPartitions("label", "i", "j", "side", "id")
+    parts = sorted_cells.mapInArrow(partial(_alike_cells, least, same, _TILE), "id long, pairs long, matches long, closest double")
+    return parts.groupBy("id").agg(F.sum("pairs").alias("pairs"), F.sum("matches").alias("matches"), F.max("closest").alias("closest"))
+
+
+def _alike_cells(least: float, same: bool, tile: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of each cell of successive rows (label, i, j, side, id, v): side 0 meets side 1, or itself in a cell of one block."""
+    cell, held = None, []
+    for batch in batches:
+        names = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
+        cuts = [0, *(x for x in range(1, len(names)) if not _equal(names[x - 1], names[x])), len(names)]
+        for x, y in zip(cuts, cuts[1:]):
+            if y > x:
+                if held and not _equal(cell, names[x]):
+                    yield from _alike_cell(held, same, cell[1] == cell[2], least, tile)
+                    held = []
+                cell = names[x]
+                held.append(batch.slice(x, y - x))
+    if held:
+        yield from _alike_cell(held, same, cell[1] == cell[2], least, tile)
+
+
+def _equal(a: tuple, b: tuple) -> bool:
+    return all(x == y or (x != x and y != y) for x, y in zip(a, b))  # NaN is a label like any other
+
+
+def _alike_cell(held: list[pa.RecordBatch], same: bool, diagonal: bool, least: float, tile: int) -> Iterator[pa.RecordBatch]:
+    table = pa.Table.from_batches(held)
+    side, ids = table.column("side").to_numpy(), table.column("id").to_numpy()
+    v = table.column("v").combine_chunks()
+    sizes, values = v.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), v.flatten().to_numpy(zero_copy_only=False)
+    begin = np.cumsum(sizes) - sizes
+    groups: tuple = ([], [])
+    for at, found in enumerate(groups):
+        for size in np.unique(sizes[side == at]):
+            rows = np.flatnonzero((side == at) & (sizes == size))
+            made = values[begin[rows][:, None] + np.arange(size)]
+            found.append((rows, made, np.sqrt((made * made).sum(axis=1))))
+    pairs, matches, closest = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), np.full(len(ids), -np.inf)
+    alone = same and diagonal
+    for rows, a, a_norms in groups[0]:
+        for others, b, b_norms in groups[0] if alone else groups[1]:
+            once = alone and others is rows  # what is right of the diagonal counts for both
+            for x in range(0, len(rows), tile):
+                for y in range(x if once else 0, len(others), tile):
+                    p, q = rows[x : x + tile], others[y : y + tile]
+                    near = _cosines(a[x : x + tile], a_norms[x : x + tile], b[y : y + tile], b_norms[y : y + tile])
+                    hits, rivals = ~(near < least), None  # NaN is above all, as in Spark
+                    if ids[p[0]] <= ids[q[-1]] and ids[q[0]] <= ids[p[-1]]:  # rows are in the order of their ids
+                        rivals = ids[p][:, None] != ids[q][None, :]
+                        hits &= rivals
+                        near = np.where(rivals, near, -np.inf)
+                    for own, axis in ((p, 1), (q, 0)) if y > x and once or same and not diagonal else ((p, 1),):
+                        pairs[own] += near.shape[axis] if rivals is None else rivals.sum(axis=axis)
+                        matches[own] += np.count_nonzero(hits, axis=axis)
+                        closest[own] = np.maximum(closest[own], near.max(axis=axis))
+    met = pairs > 0
+    if met.any():
+        yield pa.RecordBatch.from_arrays([pa.array(c[met]) for c in (ids, pairs, matches, closest)], ["id", "pairs", "matches", "closest"])
 
 
 def _cosines(a: np.ndarray, a_norms: np.ndarray, b: np.ndarray, b_norms: np.ndarray) -> np.ndarray:
@@ -139,31 +204,6 @@ def _cosines(a: np.ndarray, a_norms: np.ndarray, b: np.ndarray, b_norms: np.ndar
         return np.zeros((len(a), len(b)))
     size = a_norms[:, None] * b_norms[None, :]
     with np.errstate(invalid="ignore"):
+        if a_norms.min() * b_norms.min() > 0:  # none is 0 or NaN
+            return np.divide(a @ b.T, size, out=size)
         return np.where(size == 0, 0.0, a @ b.T / np.where(size == 0, 1.0, size))
-
-
-def _block_alike(asked: pd.DataFrame, vectors: DataFrame, least: float) -> DataFrame:
-    shared = vectors.sparkSession.sparkContext.broadcast(asked)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = shared.value["id"].to_numpy()
-        by_label: dict = {}
-        for label, *group in _alike_groups(shared.value):
-            by_label.setdefault(label, []).append(group)
-        pairs, matches, closest = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64), np.full(len(own), -np.inf)
-        for batch in batches:
-            ids = batch["id"].to_numpy()
-            for label, _, rows, b, b_norms in _alike_groups(batch):
-                for _, places, a, a_norms in by_label.get(label, ()):
-                    for x in range(0, len(places), _ROWS):
-                        some = places[x : x + _ROWS]
-                        for y in range(0, len(rows), _COLUMNS):
-                            near = _cosines(a[x : x + _ROWS], a_norms[x : x + _ROWS], b[y : y + _COLUMNS], b_norms[y : y + _COLUMNS])
-                            other = own[some, None] != ids[None, rows[y : y + _COLUMNS]]
-                            pairs[some] += other.sum(axis=1)
-                            matches[some] += (other & ~(near < least)).sum(axis=1)  # NaN is above all, as in Spark
-                            closest[some] = np.maximum(closest[some], np.where(other, near, -np.inf).max(axis=1))
-        met = pairs > 0
-        yield pd.DataFrame({"id": own[met], "pairs": pairs[met], "matches": matches[met], "closest": closest[met]})
-
-    return vectors.mapInPandas(run, "id long, pairs long, matches long, closest double")
